@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import add_months, as_date, parse_month
 from panelcast.functions.metrics import smape_mean
-from panelcast.operators import encode, features, naive
+from panelcast.operators import arima, encode, features, folds, learn, mlp, naive, smoothing
 from panelcast.operators import panel as P
-from panelcast.plans import report
-from panelcast.sources import wide
-from panelcast.sources.tables import panel_from_tables
+from panelcast.plans import backtest, report
 from panelcast.session import shared_path
+from panelcast.sources import store, wide
+from panelcast.sources.tables import panel_from_tables
 
 # The tables ship from 1995-01 to 2001-11: 1999 and 2000 are the test years.
 START, END = "1995-01-01", "2001-01-01"
@@ -351,6 +351,219 @@ def backtest_naive(spark, folder):
     return _round(means, 6, "mean_smape")
 
 
+# --- Holt-Winters ----------------------------------------------------------------------------
+
+HW_PARAMS = ("alpha", "beta", "gamma")
+
+
+def _hw_best(spark: SparkSession, folder: str, cutoffs=(LAST,), **options) -> DataFrame:
+    options = {"init": "heuristic", **options}
+    return smoothing.tune_holt_winters(_series(spark, folder, cutoffs), **options)
+
+
+@query
+def param_grid(spark, folder):
+    """Every series with every parameter set, counted per product."""
+    sets = F.explode(smoothing.grid_column())
+    pairs = _series(spark, folder).select("Product", sets.alias("g")).select("Product", "g.*")
+    return pairs.groupBy("Product", *HW_PARAMS).agg(F.count("*").alias("series"))
+
+
+@query
+def hw_fixed(spark, folder):
+    fixed = [F.lit(v) for v in (0.5, 0.1, 0.3)]
+    series = smoothing.forecast_holt_winters(_series(spark, folder), *fixed, init="heuristic")
+    return _round(P.forecast_rows(series), 2, "pred")
+
+
+@query
+def hw_grid_best(spark, folder):
+    best = _hw_best(spark, folder).select("Country", "Product", *HW_PARAMS, "mae", "status")
+    return _round(best, 2, "mae")
+
+
+@query
+def hw_forecast(spark, folder):
+    rows = report.score(P.forecast_rows(_hw_best(spark, folder)))
+    return _round(_round(rows, 2, "pred"), 5, "smape")
+
+
+@query
+def hw_validation(spark, folder):
+    rows = P.forecast_rows(_hw_best(spark, folder, select_on="validation"))
+    return _round(rows, 2, "pred")
+
+
+@query
+def hw_lsq(spark, folder):
+    return report.score(P.forecast_rows(_hw_best(spark, folder, init="lsq")))
+
+
+@query
+def param_freq(spark, folder):
+    return report.parameter_frequency(_hw_best(spark, folder), HW_PARAMS)
+
+
+@query
+def params_roundtrip(spark, folder):
+    """Tune, save the parameters, read them back and refit from them."""
+    path = shared_path(spark, "best-params")
+    tuned = _hw_best(spark, folder, CUTOFFS)
+    store.write_params(store.best_params(tuned, HW_PARAMS), path)
+    saved = store.read_params(spark, path, model="tes")
+    series = store.with_params(_series(spark, folder, CUTOFFS), saved, "tes", HW_PARAMS)
+    refit = smoothing.forecast_holt_winters(series, init="heuristic")
+    return _round(P.forecast_rows(refit), 2, "pred")
+
+
+@query
+def predictions_roundtrip(spark, folder):
+    path = shared_path(spark, "predictions")
+    store.write_predictions(_naive_forecasts(spark, folder), path)
+    saved = store.read_predictions(spark, path, year=1999)
+    return _round(report.rank_by(saved, ["model", "Product"]), 6, "mean_smape")
+
+
+@query
+def backtest_hw(spark, folder):
+    rows = report.score(P.forecast_rows(_hw_best(spark, folder, CUTOFFS)))
+    means = rows.groupBy(F.year("cutoff").alias("year"), "Product").agg(
+        F.avg("smape").alias("mean_smape"), F.count("*").alias("n")
+    )
+    return _round(means, 5, "mean_smape")
+
+
+# --- seasonal ARIMA --------------------------------------------------------------------------
+
+
+def _arima_fixed(spark: SparkSession, folder: str, order) -> DataFrame:
+    series = arima.forecast_arima(_series(spark, folder), order)
+    return _round(P.forecast_rows(series), 2, "pred")
+
+
+@query
+def arima_random_walk(spark, folder):
+    return _arima_fixed(spark, folder, (0, 1, 0, 0, 0, 0))
+
+
+@query
+def arima_seasonal_naive(spark, folder):
+    return _arima_fixed(spark, folder, (0, 0, 0, 0, 1, 0))
+
+
+@query
+def arima_seasonal_walk(spark, folder):
+    return _arima_fixed(spark, folder, (0, 1, 0, 0, 1, 0))
+
+
+@query
+def arima_ar(spark, folder):
+    return _arima_fixed(spark, folder, (1, 1, 0, 0, 0, 0))
+
+
+@query
+def arima_seasonal_ar(spark, folder):
+    return _arima_fixed(spark, folder, (0, 1, 0, 1, 1, 0))
+
+
+@query
+def arima_ar_grid_best(spark, folder):
+    """Search over the orders whose fit is one least-squares quotient."""
+    orders = [o for o in arima.GRID if o[2] == o[5] == 0 and o[0] + o[3] <= 1]
+    best = arima.tune_arima(_series(spark, folder), orders)
+    kept = best.select("Country", "Product", *arima.ORDER_COLUMNS, "mae", "status")
+    return _round(kept, 2, "mae")
+
+
+@query
+def arima_grid_best(spark, folder):
+    best = arima.tune_arima(_series(spark, folder))
+    return best.select("Country", "Product", *arima.ORDER_COLUMNS, "mae", "n_failed", "status")
+
+
+@query
+def arima_forecast(spark, folder):
+    return report.score(P.forecast_rows(arima.tune_arima(_series(spark, folder))))
+
+
+# --- regressors ------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return learn.assemble(learn.training_frame(_complete(spark, folder), LAST))
+
+
+def _regressor(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    return report.score(learn.forecast_regressor(_vectors(spark, folder), model))
+
+
+@query
+def fold_sizes(spark, folder):
+    rows = P.label_split(_complete(spark, folder), LAST).where("split = 'train'")
+    placed = folds.with_folds(rows.select(*folds.ROW_ORDER))
+    return placed.groupBy("fold", "Product").agg(F.count("*").alias("n"))
+
+
+@query
+def standardize(spark, folder):
+    rows = features.lag_features(_complete(spark, folder))
+    names = [c for c in rows.columns if "lag" in c]
+    filled = encode.fill_zero(rows)
+    scaled = folds.standardize(filled, names, filled.where(F.col("Time") < F.lit(as_date(LAST))))
+    return _round(scaled, 6, *names)
+
+
+@query
+def rf_forecast(spark, folder):
+    return _regressor(spark, folder, "rf")
+
+
+@query
+def gbm_forecast(spark, folder):
+    return _regressor(spark, folder, "gbm")
+
+
+@query
+def xgb_forecast(spark, folder):
+    return _regressor(spark, folder, "xgb")
+
+
+@query
+def catb_forecast(spark, folder):
+    return _regressor(spark, folder, "catb")
+
+
+@query
+def lgbm_forecast(spark, folder):
+    return _regressor(spark, folder, "lgbm")
+
+
+@query
+def mlp_forecast(spark, folder):
+    return report.score(mlp.forecast_mlp(_vectors(spark, folder)))
+
+
+@query
+def regressor_search(spark, folder):
+    grid = {"maxDepth": [5, 10], "numTrees": [10]}
+    return learn.tune_regressor(_vectors(spark, folder), "rf", grid)
+
+
+@query
+def mlp_search(spark, folder):
+    grid = {"alpha": [0.1, 0.01], "hidden": [(16, 8)]}
+    return mlp.tune_mlp(_vectors(spark, folder), grid, max_iter=20)
+
+
+@query
+def model_leaderboard(spark, folder):
+    """All models on the last test year: tuned per-series models and default regressors."""
+    panel = P.offset_values(_panel(spark, folder))
+    slow = backtest.backtest_series(panel, START, (LAST,))
+    fast = backtest.backtest_regressors(panel, START, (LAST,), ("rf", "gbm", "mlp"))
+    return report.leaderboard(slow.unionByName(fast))
+
+
 # --- flagship --------------------------------------------------------------------------------
 
 

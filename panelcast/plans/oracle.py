@@ -86,6 +86,90 @@ def _ewm_sql(partition: str, order: str) -> str:
     means AS (SELECT "Country", "Product", "Time", "Import", {", ".join(columns)} FROM pasts)"""
 
 
+_LEVELS = "[0.1, 0.3, 0.5, 0.7, 0.9]"
+_HW_GRID = f"""SELECT a, b, g FROM (SELECT unnest({_LEVELS}) AS a), (SELECT unnest({_LEVELS}) AS b),
+  (SELECT unnest({_LEVELS}) AS g)"""
+
+
+def _hw(grid: str, cutoffs: str) -> str:
+    """CTEs ``fits`` (forecast and error of every series and parameter set) and ``best``."""
+    return f"""RECURSIVE {_SERIES_OK}, grid AS ({grid}),
+ys AS (
+  SELECT "Country", "Product", cutoff, list("Import" ORDER BY "Time") FILTER (WHERE is_train) AS y,
+         list("Import" ORDER BY "Time") FILTER (WHERE NOT is_train) AS actual
+  FROM history WHERE cutoff IN ({cutoffs}) GROUP BY 1, 2, 3),
+begun AS (
+  SELECT *, list_sum(y[1:12]) / 12 AS m1, list_sum(y[13:24]) / 12 AS m2 FROM ys),
+hw AS (
+  SELECT "Country", "Product", cutoff, y, actual, a, b, g, 0 AS t, m1 AS l, (m2 - m1) / 12 AS tr,
+         [v - m1 for v in y[1:12]] AS s
+  FROM begun, grid
+  UNION ALL
+  SELECT "Country", "Product", cutoff, y, actual, a, b, g, t + 1,
+         a * (y[t + 1] - s[1]) + (1 - a) * (l + tr),
+         b * (a * (y[t + 1] - s[1]) + (1 - a) * (l + tr) - l) + (1 - b) * tr,
+         list_append(s[2:12], g * (y[t + 1] - l - tr) + (1 - g) * s[1])
+  FROM hw WHERE t < len(y)),
+fits AS (
+  SELECT *, [l + i * tr + s[i] for i in range(1, 13)] AS pred FROM hw WHERE t = len(y)),
+errors AS (
+  SELECT *, round(list_sum([abs(actual[i] - pred[i]) for i in range(1, 13)]) / 12, 6) AS mae
+  FROM fits),
+best AS (
+  SELECT * FROM errors QUALIFY row_number() OVER (
+    PARTITION BY "Country", "Product", cutoff ORDER BY mae, a, b, g) = 1),
+best_rows AS (
+  SELECT "Country", "Product", cutoff, CAST(cutoff + to_months(CAST(i - 1 AS INTEGER)) AS DATE)
+         AS "Time", 'tes' AS model, pred[i] AS pred, actual[i] AS real
+  FROM best, (SELECT unnest(range(1, 13)) AS i))"""
+
+
+# Orders whose fit is a quotient of two sums: an AR or a seasonal AR term at most.
+_AR_ORDERS = """SELECT p, d, 0 AS q, sp, sd, 0 AS sq
+  FROM (SELECT unnest([0, 1]) AS p), (SELECT unnest([0, 1]) AS d), (SELECT unnest([0, 1]) AS sp),
+       (SELECT unnest([0, 1]) AS sd) WHERE p + sp <= 1"""
+
+
+def _ar(orders: str) -> str:
+    """CTE ``ar_fits``: forecast and error of every series and order."""
+    return f"""{_SERIES_OK}, orders_ AS ({orders}),
+ys AS (
+  SELECT "Country", "Product", cutoff, list("Import" ORDER BY "Time") FILTER (WHERE is_train) AS y,
+         list("Import" ORDER BY "Time") FILTER (WHERE NOT is_train) AS actual
+  FROM history WHERE cutoff = DATE '2000-01-01' GROUP BY 1, 2, 3),
+seasonal AS (
+  SELECT *, CASE WHEN sd = 1 THEN [y[i] - y[i - 12] for i in range(13, len(y) + 1)] ELSE y END AS u
+  FROM ys, orders_),
+differenced AS (
+  SELECT *, CASE WHEN d = 1 THEN [u[i] - u[i - 1] for i in range(2, len(u) + 1)] ELSE u END AS w,
+         CASE WHEN sp = 1 THEN 12 ELSE 1 END AS k FROM seasonal),
+slopes AS (
+  SELECT *, CASE WHEN p + sp = 0 THEN 0.0 ELSE greatest(-0.99, least(0.99,
+      list_sum([w[i] * w[i - k] for i in range(k + 1, len(w) + 1)])
+      / list_sum([w[i - k] * w[i - k] for i in range(k + 1, len(w) + 1)]))) END AS c
+  FROM differenced),
+ahead AS (
+  SELECT *, [CASE WHEN sp = 1 THEN c * w[len(w) - 12 + h] ELSE pow(c, h) * w[len(w)] END
+             for h in range(1, 13)] AS wf FROM slopes),
+summed AS (
+  SELECT *, CASE WHEN d = 1 THEN [u[len(u)] + list_sum(wf[1:h]) for h in range(1, 13)]
+            ELSE wf END AS uf FROM ahead),
+ar_preds AS (
+  SELECT *, CASE WHEN sd = 1 THEN [y[len(y) - 12 + h] + uf[h] for h in range(1, 13)]
+            ELSE uf END AS pred FROM summed),
+ar_fits AS (
+  SELECT *, round(list_sum([abs(actual[i] - pred[i]) for i in range(1, 13)]) / 12, 6) AS mae
+  FROM ar_preds)"""
+
+
+def _ar_rows(p: int, d: int, sp: int, sd: int) -> str:
+    order = f"SELECT {p} AS p, {d} AS d, 0 AS q, {sp} AS sp, {sd} AS sd, 0 AS sq"
+    return f"""WITH {_ar(order)} SELECT "Country", "Product", cutoff,
+        CAST(cutoff + to_months(CAST(i - 1 AS INTEGER)) AS DATE) AS "Time", 'sarima' AS model,
+        round(pred[i], 2) AS pred, actual[i] AS real
+        FROM ar_fits, (SELECT unnest(range(1, 13)) AS i)"""
+
+
 _BY_SERIES = '(PARTITION BY "Country", "Product" ORDER BY "Time")'
 _BY_COUNTRY = '(PARTITION BY "Country" ORDER BY "Product", "Time")'
 _EWM = ", ".join(f'round(e{_tag(a)}, 2) AS "Import_ewm_alpha_{_tag(a)}"' for a in ALPHAS)
@@ -226,4 +310,69 @@ def oracle_sql() -> dict[str, str]:
         max(real) AS "Import", {cells} FROM scored GROUP BY 1, 2, 3"""
     q["backtest_naive"] = f"""WITH {_NAIVE} SELECT CAST(year(cutoff) AS INTEGER) AS year, model,
         round(avg(smape), 6) AS mean_smape, COUNT(*) AS n FROM scored GROUP BY 1, 2"""
+
+    both = "DATE '1999-01-01', DATE '2000-01-01'"
+    last = "DATE '2000-01-01'"
+    q["param_grid"] = f"""WITH {_SERIES_OK}, grid AS ({_HW_GRID}) SELECT "Product", CAST(a AS DOUBLE)
+        AS alpha, CAST(b AS DOUBLE) AS beta, CAST(g AS DOUBLE) AS gamma, COUNT(*) AS series
+        FROM (SELECT DISTINCT "Country", "Product" FROM history WHERE cutoff = {last}), grid
+        GROUP BY 1, 2, 3, 4"""
+    rounded = 'SELECT * REPLACE (round(pred, 2) AS pred) FROM best_rows'
+    q["hw_fixed"] = f"WITH {_hw('SELECT 0.5 AS a, 0.1 AS b, 0.3 AS g', last)} {rounded}"
+    named = 'CAST(a AS DOUBLE) AS alpha, CAST(b AS DOUBLE) AS beta, CAST(g AS DOUBLE) AS gamma'
+    q["hw_grid_best"] = f"""WITH {_hw(_HW_GRID, last)} SELECT "Country", "Product", {named},
+        round(mae, 2) AS mae, 'ok' AS status FROM best"""
+    q["hw_forecast"] = f"""WITH {_hw(_HW_GRID, last)} SELECT * REPLACE (round(pred, 2) AS pred),
+        round(200.0 * abs(pred - real) / (abs(pred) + abs(real)), 5) AS smape FROM best_rows"""
+    # Parameters chosen on 1999 forecast 2000, for series complete up to the end of 2000.
+    q["hw_validation"] = f"""WITH {_hw(_HW_GRID, both)} SELECT f."Country", f."Product", f.cutoff,
+        CAST(f.cutoff + to_months(CAST(i - 1 AS INTEGER)) AS DATE) AS "Time", 'tes' AS model,
+        round(f.pred[i], 2) AS pred, f.actual[i] AS real
+        FROM fits f JOIN best c ON c."Country" = f."Country" AND c."Product" = f."Product"
+         AND c.a = f.a AND c.b = f.b AND c.g = f.g AND c.cutoff = DATE '1999-01-01',
+        (SELECT unnest(range(1, 13)) AS i) WHERE f.cutoff = {last}"""
+    q["param_freq"] = f"""WITH {_hw(_HW_GRID, last)} SELECT {named}, COUNT(*) AS wins
+        FROM best GROUP BY 1, 2, 3"""
+    q["params_roundtrip"] = f"WITH {_hw(_HW_GRID, both)} {rounded}"
+    q["predictions_roundtrip"] = f"""WITH {_NAIVE} SELECT model, "Product",
+        round(avg(smape), 6) AS mean_smape FROM scored WHERE year("Time") = 1999 GROUP BY 1, 2"""
+    q["backtest_hw"] = f"""WITH {_hw(_HW_GRID, both)} SELECT CAST(year(cutoff) AS INTEGER) AS year,
+        "Product", round(avg(200.0 * abs(pred - real) / (abs(pred) + abs(real))), 5) AS mean_smape,
+        COUNT(*) AS n FROM best_rows GROUP BY 1, 2"""
+
+    q["arima_random_walk"] = _ar_rows(0, 1, 0, 0)
+    q["arima_seasonal_naive"] = _ar_rows(0, 0, 0, 1)
+    q["arima_seasonal_walk"] = _ar_rows(0, 1, 0, 1)
+    q["arima_ar"] = _ar_rows(1, 1, 0, 0)
+    q["arima_seasonal_ar"] = _ar_rows(0, 1, 1, 1)
+    q["arima_ar_grid_best"] = f"""WITH {_ar(_AR_ORDERS)} SELECT "Country", "Product",
+        p, d, q, sp, sd, sq, round(mae, 2) AS mae, 'ok' AS status FROM ar_fits
+        QUALIFY row_number() OVER (PARTITION BY "Country", "Product"
+                                   ORDER BY mae, p, d, q, sp, sd, sq) = 1"""
+
+    q["fold_sizes"] = f"""WITH {_COMPLETE} SELECT CAST(fold AS INTEGER) AS fold, "Product",
+        COUNT(*) AS n FROM (SELECT "Product", ntile(5) OVER (ORDER BY "Product", "Country", "Time")
+        - 1 AS fold FROM complete WHERE "Time" < {last}) GROUP BY 1, 2"""
+    scaled = ", ".join(
+        f'round(("Import_lag_{k}" - avg("Import_lag_{k}") FILTER (WHERE "Time" < {last}) OVER ())'
+        f' / stddev_pop("Import_lag_{k}") FILTER (WHERE "Time" < {last}) OVER (), 6)'
+        f' AS "Import_lag_{k}"'
+        for k in LAGS
+    )
+    q["standardize"] = f"""WITH {_COMPLETE}, lagged AS (SELECT *, {filled} FROM complete)
+        SELECT "Country", "Product", "Time", "Import", {scaled} FROM lagged"""
+
+    q["hardest_product"] = f"""WITH {_PANEL}, months AS (
+        SELECT CAST(m AS DATE) AS "Time" FROM
+        generate_series(DATE '1995-01-01', DATE '2000-12-01', INTERVAL 1 MONTH) AS g(m)),
+        dense AS (
+          SELECT k."Country", k."Product", m."Time", coalesce(p."Import", 0.0) + 1.0 AS v
+          FROM (SELECT DISTINCT "Country", "Product" FROM panel) k CROSS JOIN months m
+          LEFT JOIN panel p ON p."Country" = k."Country" AND p."Product" = k."Product"
+          AND p."Time" = m."Time")
+        SELECT t."Product",
+          round(avg(200.0 * abs(b.v - t.v) / (abs(b.v) + abs(t.v))), 6) AS mean_smape
+        FROM dense t JOIN dense b ON b."Country" = t."Country" AND b."Product" = t."Product"
+         AND b."Time" = t."Time" - INTERVAL 12 MONTH
+        WHERE t."Time" >= DATE '2000-01-01' GROUP BY 1 ORDER BY 2, 1"""
     return q
