@@ -165,14 +165,15 @@ def header_parse(spark, folder):
 @query
 def wide_join(spark, folder):
     path = shared_path(spark, "wide-reports")
-    wide.write_wide_reports(_panel(spark, folder), path, _report_months())
+    panel = store.saved(_panel(spark, folder), shared_path(spark, "panel"))
+    wide.write_wide_reports(panel, path, _report_months())
     return wide.join_reports(wide.read_wide_reports(spark, path)).where("Import IS NOT NULL")
 
 
 @query
 def wide_conflicts(spark, folder):
     """Two reports share 1997: the second one carries revised June values."""
-    panel = _panel(spark, folder)
+    panel = store.saved(_panel(spark, folder), shared_path(spark, "panel"))
     months = _report_months()
     path = shared_path(spark, "wide-conflicts")
     wide.write_wide_reports(panel, path, {"first": {**months["y1996"], **months["y1997"]}})

@@ -18,6 +18,12 @@ def _write(df: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """Write a table that several later plans read, and read it back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_predictions(scored: DataFrame, path: str) -> None:
     _write(scored.withColumn("year", F.year("Time")), path, "year")
 

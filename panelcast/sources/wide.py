@@ -6,8 +6,9 @@ import csv
 from collections.abc import Sequence
 from datetime import date, datetime
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import as_date, null_if_nan
@@ -82,6 +83,17 @@ def write_wide_reports(panel: DataFrame, path: str, reports: dict[str, dict[str,
         wide.write.partitionBy("product").option("header", True).csv(f"{path}/{name}")
 
 
+def _decoded(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _product_of(file: str) -> Column:
+    """Product of a file URL: its folder. A ``product=`` folder was escaped once more on writing."""
+    folder = F.regexp_extract(_decoded(F.col(file)), "/([^/]+)/[^/]+$", 1)
+    value = F.regexp_replace(folder, "^product=", "")
+    return F.when(folder.startswith("product="), _decoded(value)).otherwise(folder)
+
+
 def read_wide_reports(
     spark: SparkSession,
     path: str,
@@ -97,9 +109,7 @@ def read_wide_reports(
     columns by position. Files of a product with equal headers are parts of one report;
     ``n_reports`` is the number of reports of that product.
     """
-    product = F.regexp_extract(
-        F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), r"/(?:product=)?([^/]+)/[^/]+$", 1
-    )
+    product = _product_of("_file")
     if format == "parquet":
         wide = (
             spark.read.option("mergeSchema", True)
@@ -142,7 +152,7 @@ def read_wide_reports(
         wide = (
             spark.read.schema(schema)
             .option("header", True)
-            .csv(row.files)
+            .csv([unquote(f) for f in row.files])
             .withColumn("_file", F.col("_metadata.file_path"))
             .withColumns({"Product": product, "report": F.lit(report)})
         )
@@ -167,7 +177,7 @@ def _reconciled(reports: DataFrame) -> DataFrame:
     )
 
 
-def _agrees():
+def _agrees() -> Column:
     same = F.col("n_values").isin(0) | (
         (F.col("n_values") == F.col("n_rows")) & (F.col("low") == F.col("Import"))
     )
