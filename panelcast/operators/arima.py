@@ -195,7 +195,8 @@ def _search(orders: tuple):
             mae=mae, pred=pred, n_failed=n_failed.astype("int32"), status=status
         )
 
-    return best
+    # A filter on the result must not make the optimizer run the search a second time.
+    return best.asNondeterministic()
 
 
 def _refit(horizon: int):

@@ -3,7 +3,11 @@
 By default every window stays inside one series. ``keys=("Country",), order=("Product", "Time")``
 gives the country-wide variant, in which a window may begin in the previous product of the country.
 Such a group has no size bound, so it is cut into blocks of consecutive rows; each block also
-carries the rows before it that its windows can see.
+carries copies of the earlier rows that its windows can see.
+
+An exponentially weighted mean is a ratio of two running sums, with weights that grow along the
+block. The block length keeps the smallest weight of its own rows, 0.1 ** 255, inside the range of a
+double; for earlier rows a weight of zero is exact, as 0.1 ** 17 already vanishes in the sum.
 """
 
 from __future__ import annotations
@@ -23,21 +27,31 @@ WINDOWS = (2, 3, 4, 5, 6, 9, 12)
 ALPHAS = (0.9, 0.7, 0.5, 0.2, 0.1)
 EWM_LAGS = (1, 2, 3, 4, 5, 6, 12, 24)
 
-# Rows per block of a country-wide group, and the number of earlier rows an exponentially weighted
-# mean reads there. 0.9 ** 400 is below the resolution of a double.
-BLOCK = 4096
+# Rows per block, and the number of earlier rows an exponentially weighted mean reads: 0.9 ** 400 is
+# below the resolution of a double.
+BLOCK = 256
 EWM_REACH = 400
 
 
 def _blocks(panel: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int) -> DataFrame:
-    """Cut groups into blocks. Rows that a later block needs are copied into it, marked _halo."""
-    placed = with_position(panel, [*keys, *order], "_pos")
-    block = F.floor(F.col("_pos") / BLOCK)
-    last = F.floor((F.col("_pos") + reach) / BLOCK)
+    """Cut groups into blocks: _block, and _at, the place in it; negative for copied earlier rows."""
+    if set(KEYS) <= set(keys):
+        group = Window.partitionBy(*keys)
+        placed = panel.withColumns(
+            {
+                "_pos": F.row_number().over(group.orderBy(*order)) - 1,
+                "_end": F.count("*").over(group) - 1,
+            }
+        )
+        last = F.least(F.col("_pos") + reach, "_end")
+    else:
+        placed = with_position(panel, [*keys, *order], "_pos")
+        last = F.col("_pos") + reach
+    spread = F.sequence(F.floor(F.col("_pos") / BLOCK), F.floor(last / BLOCK))
     return (
-        placed.withColumn("_block", F.explode(F.sequence(block, last)))
-        .withColumn("_halo", F.col("_block") > block)
-        .drop("_pos")
+        placed.withColumn("_block", F.explode(spread))
+        .withColumn("_at", F.col("_pos") - F.col("_block") * BLOCK)
+        .drop("_pos", "_end")
     )
 
 
@@ -50,7 +64,7 @@ def _grouped(
 
 
 def _released(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("_halo")).drop("_block", "_halo") if "_halo" in df.columns else df
+    return df.where("_at >= 0").drop("_block", "_at") if "_at" in df.columns else df
 
 
 def lag_columns(window, lags: Sequence[int] = LAGS) -> dict[str, Column]:
@@ -69,40 +83,26 @@ def rolling_columns(window, windows: Sequence[int] = WINDOWS) -> dict[str, Colum
     return out
 
 
-def _ewm_array(values: Column, alpha: float) -> Column:
-    """Exponentially weighted means after each element: one pass over the array of a series."""
-    keep = F.lit(1.0 - alpha)
-
-    def step(acc: Column, x: Column) -> Column:
-        weighted = acc["n"] * keep + F.coalesce(x, F.lit(0.0))
-        weight = acc["d"] * keep + F.when(x.isNull(), 0.0).otherwise(1.0)
-        mean = F.try_divide(weighted, weight)
-        return F.struct(
-            F.concat(acc["out"], F.array(mean)).alias("out"),
-            weighted.alias("n"),
-            weight.alias("d"),
-        )
-
-    start = F.struct(
-        F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("n"), F.lit(0.0).alias("d")
-    )
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+def _ewm_of(window: Window, alpha: float) -> Column:
+    """Mean up to each row. A missing value adds nothing, but ages the values before it."""
+    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = F.pow(F.lit(1.0 - alpha), F.lit(BLOCK - 1) - F.col("_at"))
+    known = F.when(F.col("Import").isNotNull(), weight)
+    total = F.sum(known * F.col("Import")).over(running)
+    return F.try_divide(total, F.sum(known).over(running))
 
 
 def _with_ewm(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], alphas: Sequence[float]
-) -> DataFrame:
-    """Add the column ``_ewm_<alpha>`` for each alpha, unlagged."""
-    rest = [c for c in df.columns if c not in group]
-    fields = [*order, *[c for c in rest if c not in order]]
-    rows = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))
-    means = [_ewm_array(F.col("_rows.Import"), a).alias(f"_ewm_{alpha_tag(a)}") for a in alphas]
-    zipped = F.arrays_zip(F.col("_rows").alias("_row"), *means)
-    return rows.select(*group, F.explode(zipped).alias("_z")).select(
-        *group,
-        *[F.col(f"_z._row.{c}").alias(c) for c in fields],
-        *[F.col(f"_z._ewm_{alpha_tag(a)}").alias(f"_ewm_{alpha_tag(a)}") for a in alphas],
-    )
+    panel: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    alphas: Sequence[float],
+    reach: int,
+) -> tuple[DataFrame, Window]:
+    """Blocks with a column ``_ewm_<alpha>`` per alpha, and the window over a block."""
+    window = Window.partitionBy(*keys, "_block").orderBy(*order)
+    means = {f"_ewm_{alpha_tag(a)}": _ewm_of(window, a) for a in alphas}
+    return _blocks(panel, keys, order, reach).withColumns(means), window
 
 
 def ewm_columns(
@@ -144,9 +144,13 @@ def ewm(
     order: Sequence[str] = ("Time",),
 ) -> DataFrame:
     """Exponentially weighted means up to and including each row, one column per alpha."""
-    df, group = _grouped(panel, keys, order, EWM_REACH)
+    df, _ = _with_ewm(panel, keys, order, alphas, EWM_REACH)
     names = {f"_ewm_{alpha_tag(a)}": f"Import_ewm_alpha_{alpha_tag(a)}" for a in alphas}
-    return _released(_with_ewm(df, group, order, alphas)).withColumnsRenamed(names)
+    return _released(df).withColumnsRenamed(names)
+
+
+def _without_means(df: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    return _released(df.drop(*[f"_ewm_{alpha_tag(a)}" for a in alphas]))
 
 
 def ewm_features(
@@ -156,11 +160,8 @@ def ewm_features(
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ("Time",),
 ) -> DataFrame:
-    df, group = _grouped(panel, keys, order, EWM_REACH + max(lags))
-    df = _with_ewm(df, group, order, alphas)
-    window = Window.partitionBy(*group).orderBy(*order)
-    columns = df.withColumns(ewm_columns(window, alphas, lags))
-    return _released(columns.drop(*[f"_ewm_{alpha_tag(a)}" for a in alphas]))
+    df, window = _with_ewm(panel, keys, order, alphas, EWM_REACH + max(lags))
+    return _without_means(df.withColumns(ewm_columns(window, alphas, lags)), alphas)
 
 
 def build_features(
@@ -174,16 +175,13 @@ def build_features(
 ) -> DataFrame:
     """All derived columns, with month and year. One shuffle by series serves every one of them."""
     reach = max(*lags, *windows, EWM_REACH + max(ewm_lags))
-    df, group = _grouped(panel, keys, order, reach)
-    df = _with_ewm(df, group, order, alphas)
-    window = Window.partitionBy(*group).orderBy(*order)
+    df, window = _with_ewm(panel, keys, order, alphas, reach)
     columns = {
         **lag_columns(window, lags),
         **rolling_columns(window, windows),
         **ewm_columns(window, alphas, ewm_lags),
     }
-    wide = df.withColumns(columns).drop(*[f"_ewm_{alpha_tag(a)}" for a in alphas])
-    return date_parts(_released(wide))
+    return date_parts(_without_means(df.withColumns(columns), alphas))
 
 
 def feature_names(df: DataFrame) -> list[str]:

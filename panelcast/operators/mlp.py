@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -85,31 +86,40 @@ def _penalised(flat, shapes) -> np.ndarray:
     return flat * np.concatenate(mask)
 
 
-def total_gradients(data: DataFrame, jobs: dict[int, tuple]) -> dict[int, tuple]:
+def total_gradients(
+    data: DataFrame, jobs: dict[int, tuple], many_parts: bool = True
+) -> dict[int, tuple]:
     """One pass: rows used, summed loss and gradient of every job (weights, shapes, left-out fold).
 
-    Each partition emits one vector per job; these are summed in groups, then across groups.
+    Each partition emits one vector per job; these are summed in groups, then across groups. With
+    few partitions the groups are left out.
     """
 
-    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy())
             label, fold = batch["label"].to_numpy(), batch["fold"].to_numpy()
+            x = batch["x"].flatten().to_numpy().reshape(len(label), -1)
             for key, (flat, shapes, left_out) in jobs.items():
-                rows = fold != left_out
+                rows = slice(None) if left_out < 0 else fold != left_out
                 loss, grad = batch_gradient(x[rows], label[rows], flat, shapes)
                 old = sums.setdefault(key, [0, 0.0, np.zeros_like(flat)])
-                sums[key] = [old[0] + int(rows.sum()), old[1] + loss, old[2] + grad]
+                sums[key] = [old[0] + len(label[rows]), old[1] + loss, old[2] + grad]
         if sums:
             n, loss, grad = zip(*sums.values())
-            yield pd.DataFrame({"job": list(sums), "n": n, "loss": loss, "grad": list(grad)})
-
-    vectors = data.mapInPandas(partials, "job int, n long, loss double, grad array<double>").select(
-        "job", "n", "loss", array_to_vector("grad").alias("grad"),
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array(n), pa.array(loss), pa.array(list(grad))],
+                ["job", "n", "loss", "grad"],
+            )
+
+    vectors = data.mapInArrow(partials, "job int, n long, loss double, grad array<double>").select(
+        "job",
+        "n",
+        "loss",
+        array_to_vector("grad").alias("grad"),
         (F.spark_partition_id() % FAN_IN).alias("part"),
     )
-    for keys in (["job", "part"], ["job"]):
+    for keys in (["job", "part"], ["job"]) if many_parts else (["job"],):
         vectors = vectors.groupBy(*keys).agg(
             F.sum("n").alias("n"),
             F.sum("loss").alias("loss"),
@@ -170,9 +180,10 @@ def train_networks(
     }
     points = {k: next(run) for k, run in runs.items()}
     done: dict[int, tuple[np.ndarray, list]] = {}
+    many_parts = data.rdd.getNumPartitions() > FAN_IN
     while points:
         jobs = {k: (x, shapes[k], settings[k].get("left_out", -1)) for k, x in points.items()}
-        sums = total_gradients(data, jobs)
+        sums = total_gradients(data, jobs, many_parts)
         following = {}
         for k, x in points.items():
             n, loss, grad = sums[k]

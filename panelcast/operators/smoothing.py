@@ -164,7 +164,8 @@ def _search(grid: tuple, init: str):
             }
         )
 
-    return best
+    # A filter on the result must not make the optimizer run the search a second time.
+    return best.asNondeterministic()
 
 
 def _refit(init: str, horizon: int):

@@ -79,3 +79,24 @@ def test_jitter_is_seeded(make_panel):
 def test_features_need_one_shuffle(make_panel):
     plan = features.build_features(_random(make_panel))._jdf.queryExecution().executedPlan()
     assert plan.toString().count("Exchange") == 1
+
+
+@pytest.mark.parametrize("keys", [["Country", "Product"], ["Country"]])
+def test_means_of_long_series_equal_pandas(make_panel, keys):
+    """Series longer than a block, with signs, gaps and very unequal sizes."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(0, 1, 700) * 10.0 ** rng.integers(-3, 6, 700)
+    values = [None if i % 97 == 5 else v for i, v in enumerate(values)]
+    panel = make_panel({("a", "x"): values, ("a", "y"): values[:300], ("b", "x"): values[:40]})
+    order = ("Time",) if len(keys) == 2 else ("Product", "Time")
+    out = _frame(features.ewm_features(panel, [0.9, 0.5, 0.1], [1], tuple(keys), order))
+    groups = _frame(panel).groupby(keys)["Import"]
+    for alpha in (0.9, 0.5, 0.1):
+        expected = groups.transform(lambda x: x.shift(1).ewm(alpha=alpha).mean())
+        # Sums of mixed signs: compare on the scale of the values that enter.
+        size = groups.transform(lambda x: x.abs().shift(1).ewm(alpha=alpha).mean())
+        error = (out[f"Import_ewm_alpha_{features.alpha_tag(alpha)}_lag_1"] - expected).abs()
+        assert (error / size).max() < 1e-12
+        assert out[f"Import_ewm_alpha_{features.alpha_tag(alpha)}_lag_1"].isna().equals(
+            expected.isna()
+        )
