@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelcast.functions.expressions import alpha_tag, triangular_weights
 from panelcast.operators.panel import KEYS, date_parts
@@ -67,23 +68,26 @@ def _released(df: DataFrame) -> DataFrame:
     return df.where("_at >= 0").drop("_block", "_at") if "_at" in df.columns else df
 
 
-def lag_columns(window, lags: Sequence[int] = LAGS) -> dict[str, Column]:
-    return {f"Import_lag_{k}": F.lag("Import", k).over(window) for k in lags}
-
+def _with_lags_and_means(
+    df: DataFrame, window: WindowSpec, lags: Sequence[int], windows: Sequence[int]
+) -> DataFrame:
+    """Lag and rolling columns, from one shared lag column per distance.
 
-def rolling_columns(window, windows: Sequence[int] = WINDOWS) -> dict[str, Column]:
-    """Weighted mean of the previous n values; NULL until n of them exist."""
-    out = {}
+    A rolling value is the weighted mean of the previous n values; NULL until n of them exist.
+    """
+    steps = sorted({*lags, *range(1, max(windows, default=0) + 1)})
+    shared = {f"_lag_{k}": F.lag("Import", k).over(window) for k in steps}
+    columns = {f"Import_lag_{k}": F.col(f"_lag_{k}") for k in lags}
     for n in windows:
         terms = [
-            F.lit(weight) * F.lag("Import", k).over(window)
+            F.lit(weight) * F.col(f"_lag_{k}")
             for k, weight in enumerate(triangular_weights(n), start=1)
         ]
-        out[f"Import_roll_mean_{n}"] = sum(terms[1:], terms[0])
-    return out
+        columns[f"Import_roll_mean_{n}"] = sum(terms[1:], terms[0])
+    return df.withColumns(shared).withColumns(columns).drop(*shared)
 
 
-def _ewm_of(window: Window, alpha: float) -> Column:
+def _ewm_of(window: WindowSpec, alpha: float) -> Column:
     """Mean up to each row. A missing value adds nothing, but ages the values before it."""
     running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     weight = F.pow(F.lit(1.0 - alpha), F.lit(BLOCK - 1) - F.col("_at"))
@@ -98,7 +102,7 @@ def _with_ewm(
     order: Sequence[str],
     alphas: Sequence[float],
     reach: int,
-) -> tuple[DataFrame, Window]:
+) -> tuple[DataFrame, WindowSpec]:
     """Blocks with a column ``_ewm_<alpha>`` per alpha, and the window over a block."""
     window = Window.partitionBy(*keys, "_block").orderBy(*order)
     means = {f"_ewm_{alpha_tag(a)}": _ewm_of(window, a) for a in alphas}
@@ -106,7 +110,7 @@ def _with_ewm(
 
 
 def ewm_columns(
-    window, alphas: Sequence[float] = ALPHAS, lags: Sequence[int] = EWM_LAGS
+    window: WindowSpec, alphas: Sequence[float] = ALPHAS, lags: Sequence[int] = EWM_LAGS
 ) -> dict[str, Column]:
     """Lags of the unlagged means: shifting first or averaging first gives the same values."""
     return {
@@ -123,7 +127,8 @@ def lag_features(
     order: Sequence[str] = ("Time",),
 ) -> DataFrame:
     df, group = _grouped(panel, keys, order, max(lags))
-    return _released(df.withColumns(lag_columns(Window.partitionBy(*group).orderBy(*order), lags)))
+    window = Window.partitionBy(*group).orderBy(*order)
+    return _released(_with_lags_and_means(df, window, lags, ()))
 
 
 def rolling_features(
@@ -134,7 +139,7 @@ def rolling_features(
 ) -> DataFrame:
     df, group = _grouped(panel, keys, order, max(windows))
     window = Window.partitionBy(*group).orderBy(*order)
-    return _released(df.withColumns(rolling_columns(window, windows)))
+    return _released(_with_lags_and_means(df, window, (), windows))
 
 
 def ewm(
@@ -176,12 +181,9 @@ def build_features(
     """All derived columns, with month and year. One shuffle by series serves every one of them."""
     reach = max(*lags, *windows, EWM_REACH + max(ewm_lags))
     df, window = _with_ewm(panel, keys, order, alphas, reach)
-    columns = {
-        **lag_columns(window, lags),
-        **rolling_columns(window, windows),
-        **ewm_columns(window, alphas, ewm_lags),
-    }
-    return date_parts(_without_means(df.withColumns(columns), alphas))
+    df = _with_lags_and_means(df, window, lags, windows)
+    df = df.withColumns(ewm_columns(window, alphas, ewm_lags))
+    return date_parts(_without_means(df, alphas))
 
 
 def feature_names(df: DataFrame) -> list[str]:

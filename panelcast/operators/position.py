@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.session import checkpoint, shuffle_partitions
+from panelcast.session import checkpoint
 
 # Rows of one partition are numbered in the low bits, partitions in the high bits.
 _INDEX_BITS = 33
@@ -20,9 +20,8 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     before it. Only those counts, one row per partition, pass through a single task. The sorted
     rows are checkpointed, since range bounds are sampled and a recomputation could move them.
     """
-    count = shuffle_partitions(df.sparkSession)
     tagged = (
-        df.repartitionByRange(count, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )

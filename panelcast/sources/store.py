@@ -55,6 +55,20 @@ def best_params(tuned: DataFrame, params: Sequence[str]) -> DataFrame:
     )
 
 
+def best_regressor_params(tuned: DataFrame, year: int) -> DataFrame:
+    """The winner of a regressor search as a row of the same table, for no particular series."""
+    none = F.lit(None).cast("string")
+    return tuned.where("best").select(
+        "model",
+        F.lit(year).alias("year"),
+        none.alias("Product"),
+        none.alias("Country"),
+        "params",
+        F.lit(None).cast("double").alias("mae"),
+        F.lit("ok").alias("status"),
+    )
+
+
 def write_params(params: DataFrame, path: str) -> None:
     _write(params, path, "model", "year")
 

@@ -235,10 +235,14 @@ def test_trees_beat_the_seasonal_naive_and_repeat(vectors, series, model):
     assert once.agg(mean).first()[0] < base.agg(mean).first()[0]
 
 
-def test_search_returns_one_best_candidate(vectors):
+def test_search_returns_one_best_candidate(spark, vectors, tmp_path):
     tuned = learn.tune_regressor(vectors, "rf", {"maxDepth": [2, 6], "numTrees": [5]}, folds=5)
     assert tuned.count() == 2 and tuned.where("best").count() == 1
     assert learn.best_settings(tuned) == {"maxDepth": 6, "numTrees": 5}
+    path = str(tmp_path / "params")
+    store.write_params(store.best_regressor_params(tuned, 2018), path)
+    saved = store.read_params(spark, path, "rf", 2018)
+    assert learn.best_settings(saved) == {"maxDepth": 6, "numTrees": 5}
 
 
 def test_network_gradient_equals_differences():
