@@ -8,7 +8,7 @@ batch, and orders that lack a term are lanes with that coefficient held at zero.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
+from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ BOUND = 0.99
 # Values an order needs beyond those that differencing and conditioning use up.
 SPARE = 8
 MAX_STEPS = 80
+STARTS = (0.0, 0.4)
 TOLERANCE = 1e-6
 
 ORDER_COLUMNS = ("p", "d", "q", "sp", "sd", "sq")
@@ -73,52 +74,58 @@ def _residuals(w: np.ndarray, coef: np.ndarray, used: np.ndarray, gradient: bool
     )
 
 
-def _fit(w: np.ndarray, free: np.ndarray, used: np.ndarray, start: float):
-    """Coefficients (4, lane) and sums of squares from one start, for all lanes together."""
+def _fit(w: np.ndarray, free: np.ndarray, used: np.ndarray, start: np.ndarray):
+    """Coefficients (4, lane) and sums of squares, for all lanes together."""
     coef = np.where(free, start, 0.0)
     errors, slope = _residuals(w, coef, used)
     sse = (errors**2).sum(axis=0)
     damping = np.full(w.shape[1], 1e-3)
     live = np.flatnonzero(free.any(axis=0) & np.isfinite(sse))
     errors, slope = errors[:, live], slope[:, :, live]
+    going = np.ones(len(live), dtype=bool)
     for _ in range(MAX_STEPS):
-        if not len(live):
+        if not going.any():
             break
         now = coef[:, live]
         pull = np.einsum("til,tl->il", slope, errors)
         pinned = ((now >= BOUND) & (pull < 0)) | ((now <= -BOUND) & (pull > 0))
         moves = free[:, live] & ~pinned
-        normal = np.einsum("til,tjl->lij", slope, slope) * (moves.T[:, :, None] & moves.T[:, None])
+        normal = np.zeros((len(live), 4, 4))
+        for i, j in combinations_with_replacement(range(4), 2):
+            inner = np.einsum("tl,tl->l", slope[:, i], slope[:, j]) * (moves[i] & moves[j])
+            normal[:, i, j] = normal[:, j, i] = inner
         scale = np.einsum("lii->li", normal)
-        normal = normal + np.eye(4) * np.where(
-            moves.T, damping[live][:, None] * scale + 1e-12, 1.0
-        )[:, None]
+        ridge = np.where(moves.T, damping[live][:, None] * scale + 1e-12, 1.0)
+        normal = normal + np.eye(4) * ridge[:, None]
         step = np.linalg.solve(normal, np.where(moves, pull, 0.0).T[:, :, None])[:, :, 0].T
         trial = np.clip(now - step, -BOUND, BOUND)
         errors_new, slope_new = _residuals(w[:, live], trial, used[:, live])
         sse_new = (errors_new**2).sum(axis=0)
         # The last, tiny steps change the sum by less than its rounding: accept those too.
-        better = sse_new <= sse[live] * (1 + 1e-13)
+        better = going & (sse_new <= sse[live] * (1 + 1e-13))
         moved = np.abs(trial - now).max(axis=0)
         coef[:, live] = np.where(better, trial, now)
         sse[live] = np.where(better, sse_new, sse[live])
         damping[live] = np.where(better, damping[live] * 0.1, damping[live] * 10)
-        errors = np.where(better, errors_new, errors)
-        slope = np.where(better, slope_new, slope)
-        going = (moved > TOLERANCE) & (damping[live] < 1e12)
-        live, errors, slope = live[going], errors[:, going], slope[:, :, going]
+        np.copyto(errors, errors_new, where=better)
+        np.copyto(slope, slope_new, where=better)
+        going &= (moved > TOLERANCE) & (damping[live] < 1e12)
+        if going.mean() < 0.8:
+            live, errors, slope = live[going], errors[:, going], slope[:, :, going]
+            going = going[going]
     return coef, sse
 
 
-def _forecast(y: np.ndarray, errors: np.ndarray, coef: np.ndarray, d: int, sd: int, horizon: int):
+def _forecast(
+    y: np.ndarray, errors: np.ndarray, coef: np.ndarray, d: np.ndarray, sd: np.ndarray, horizon: int
+) -> np.ndarray:
     """Forecasts (horizon, lane) on the undifferenced scale; future errors are zero."""
-    n, lanes = y.shape
+    lanes = y.shape[1]
     ar, ma, sar, sma = coef
     poly = np.zeros((2 * PERIOD + 3, lanes))
     poly[0] = 1.0
-    for factor, k, times in ((ar, 1, 1), (sar, PERIOD, 1), (1.0, 1, d), (1.0, PERIOD, sd)):
-        for _ in range(times):
-            poly = poly - factor * _lag(poly, k)
+    for factor, k in ((ar, 1), (sar, PERIOD), (d, 1), (sd, PERIOD)):
+        poly = poly - factor * _lag(poly, k)
     past = np.concatenate([np.zeros((2 * PERIOD + 3, lanes)), y, np.zeros((horizon, lanes))])
     shocks = np.concatenate([np.zeros((PERIOD + 1, lanes)), errors, np.zeros((horizon, lanes))])
     for h in range(horizon):
@@ -140,34 +147,41 @@ def fit_orders(
     Returns forecasts (series, order, horizon), NaN where the history is too short, and
     coefficients (series, order, 4).
     """
-    table = np.array(orders)
-    preds = np.full((len(y), len(table), horizon), np.nan)
-    coefs = np.full((len(y), len(table), 4), np.nan)
-    for d, sd in {(o[1], o[4]) for o in orders}:
-        which = np.flatnonzero((table[:, 1] == d) & (table[:, 4] == sd))
+    n_series, n = y.shape
+    p, d, q, sp, sd, sq = np.array(orders).T
+    gone = d + PERIOD * sd
+    first = gone + p + PERIOD * sp
+    enough = n - first >= SPARE
+    preds = np.full((n_series, len(orders), horizon), np.nan)
+    coefs = np.full((n_series, len(orders), 4), np.nan)
+    if not enough.any():
+        return preds, coefs
+    # Differenced histories, aligned at their last value; what differencing used up stays unused.
+    levels = {}
+    for one, season in {(a, b) for a, b in zip(d[enough], sd[enough])}:
         w = y.T
-        for lag in [1] * d + [PERIOD] * sd:
+        for lag in [1] * one + [PERIOD] * season:
             w = w[lag:] - w[:-lag]
-        p, q, sp, sq = table[which][:, [0, 2, 3, 5]].T
-        first = p + PERIOD * sp
-        enough = len(w) - first >= SPARE
-        which, first = which[enough], first[enough]
-        if not len(which):
-            continue
-        free = np.stack([p, q, sp, sq])[:, enough].astype(bool)
-        free = np.repeat(free[:, None], len(y), axis=1).reshape(4, -1)
-        used = np.arange(len(w))[:, None] >= np.tile(first, len(y))[None]
-        lanes = np.repeat(w, len(which), axis=1)
-        with np.errstate(all="ignore"):
-            coef, sse = _fit(lanes, free, used, 0.0)
-            other, other_sse = _fit(lanes, free, used, 0.4)
-            coef = np.where(other_sse < sse * (1 - 1e-9), other, coef)
-            errors = _residuals(lanes, coef, used, gradient=False)
-            ahead = _forecast(
-                np.repeat(y.T, len(which), axis=1), errors, coef, d, sd, horizon
-            )
-        preds[:, which] = ahead.T.reshape(len(y), len(which), horizon)
-        coefs[:, which] = coef.T.reshape(len(y), len(which), 4)
+        levels[one, season] = np.concatenate([np.zeros((n - len(w), n_series)), w])
+    kept = np.flatnonzero(enough)
+    lanes = np.stack([levels[d[k], sd[k]] for k in kept], axis=2).reshape(n, -1)
+
+    def per_lane(values: np.ndarray) -> np.ndarray:
+        return np.tile(values[kept], n_series)
+
+    free = np.stack([per_lane(v) for v in (p, q, sp, sq)]).astype(bool)
+    used = np.arange(n)[:, None] >= per_lane(first)
+    with np.errstate(all="ignore"):
+        # Both starts are lanes of one call; the second wins only with a clearly smaller sum.
+        start = np.repeat(STARTS, lanes.shape[1])
+        both, sums = _fit(*(np.tile(v, len(STARTS)) for v in (lanes, free, used)), start)
+        (coef, other), (sse, other_sse) = np.split(both, 2, axis=1), np.split(sums, 2)
+        coef = np.where(other_sse < sse * (1 - 1e-9), other, coef)
+        errors = _residuals(lanes, coef, used, gradient=False)
+        history = np.repeat(y.T, len(kept), axis=1)
+        ahead = _forecast(history, errors, coef, per_lane(d), per_lane(sd), horizon)
+    preds[:, kept] = ahead.T.reshape(n_series, len(kept), horizon)
+    coefs[:, kept] = coef.T.reshape(n_series, len(kept), 4)
     return preds, coefs
 
 
@@ -177,7 +191,7 @@ def _search(orders: tuple):
         chosen, mae = np.full((len(y), 6), np.nan), np.full(len(y), np.nan)
         n_failed, status = np.full(len(y), len(orders)), np.full(len(y), "no_fit", dtype=object)
         pred = np.full(len(y), None, dtype=object)
-        for rows, history in _batches(y, size=64):
+        for rows, history in _batches(y, size=32):
             real = np.stack([np.asarray(v, dtype=float) for v in actual.iloc[rows]])
             ahead, _ = fit_orders(history, orders, real.shape[1])
             errors = np.abs(real[:, None, :] - ahead).mean(axis=2).round(MAE_DIGITS)
