@@ -27,7 +27,7 @@ BOUND = 0.99
 SPARE = 8
 MAX_STEPS = 80
 STARTS = (0.0, 0.4)
-TOLERANCE = 1e-6
+TOLERANCE = 1e-8
 
 ORDER_COLUMNS = ("p", "d", "q", "sp", "sd", "sq")
 BEST = (

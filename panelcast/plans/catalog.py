@@ -78,7 +78,8 @@ def panel_base(spark, folder):
 
 @query
 def period_bounds(spark, folder):
-    return P.within_period(panel_from_tables(spark, folder), START, END)
+    """The bounds go into the source too: a filter on the month alone cannot reach its scan."""
+    return P.within_period(_panel(spark, folder), START, END)
 
 
 @query
@@ -165,8 +166,7 @@ def header_parse(spark, folder):
 @query
 def wide_join(spark, folder):
     path = shared_path(spark, "wide-reports")
-    panel = store.saved(_panel(spark, folder), shared_path(spark, "panel"))
-    wide.write_wide_reports(panel, path, _report_months())
+    wide.write_wide_reports(_panel(spark, folder), path, _report_months())
     return wide.join_reports(wide.read_wide_reports(spark, path)).where("Import IS NOT NULL")
 
 

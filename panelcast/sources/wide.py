@@ -75,12 +75,17 @@ def pivot_months(panel: DataFrame, months: dict[str, date]) -> DataFrame:
 
 
 def write_wide_reports(panel: DataFrame, path: str, reports: dict[str, dict[str, date]]) -> None:
-    """Write ``<path>/<report>/product=<p>/*.csv``, one report per entry of month columns."""
-    for name, months in reports.items():
-        first, last = min(months.values()), max(months.values())
-        part = panel.where(F.col("Time").between(F.lit(first), F.lit(last)))
-        wide = pivot_months(part, months).withColumnRenamed("Product", "product")
-        wide.write.partitionBy("product").option("header", True).csv(f"{path}/{name}")
+    """Write ``<path>/<report>/product=<p>/*.csv``, one report per entry of month columns.
+
+    The panel is pivoted once for all reports. A report holds the importers with a value in it.
+    """
+    months = {label: day for part in reports.values() for label, day in part.items()}
+    wide = pivot_months(panel, months).withColumnRenamed("Product", "product").persist()
+    for name, part in reports.items():
+        report = wide.where(F.coalesce(*[F.col(f"`{c}`") for c in part]).isNotNull())
+        report = report.select("product", ID, *[F.col(f"`{c}`") for c in part])
+        report.write.partitionBy("product").option("header", True).csv(f"{path}/{name}")
+    wide.unpersist()
 
 
 def _decoded(text: Column) -> Column:
