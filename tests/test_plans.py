@@ -61,15 +61,27 @@ def test_features_keep_the_partitioning_for_later_series_work(make_panel):
     assert _plan(features.build_features(panel)).count("Exchange") == 1
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
-    before = shared_dir(spark)
-    assert shared_dir(spark) == before and shared_path(spark, "t") != shared_path(spark, "t")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-        assert shared_path(spark, "t").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class _Session:
+    """Stands in for a session on a cluster, whose setting cannot change while it runs."""
+
+    def __init__(self, master, folder):
+        self.sparkContext, self.conf = self, {"spark.checkpoint.dir": folder}
+        self.master, self.used = master, None
+
+    def getCheckpointDir(self):
+        return self.used
+
+    def setCheckpointDir(self, folder):
+        self.used = folder
+
+
+def test_shared_folder_follows_the_session(spark):
+    assert shared_dir(spark) == shared_dir(spark) and shared_path(spark, "t") != shared_path(spark, "t")
+    cluster = _Session("spark://host:7077", "hdfs:///shared")
+    assert shared_dir(cluster) == cluster.used == "hdfs:///shared"
+    assert shared_path(cluster, "t").startswith("hdfs:///shared/t-")
+    with pytest.raises(ValueError):
+        shared_dir(_Session("yarn", None))
 
 
 def test_every_report_covers_both_test_years(make_panel):
