@@ -9,8 +9,9 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month header layouts that may be read; anything else becomes NULL instead of a guess.
-MONTH_FORMATS = ("yyyy-MM", "yyyy-'M'MM", "yyyy-MM-dd")
+# The month layouts that may be read, as Spark patterns and their strptime twins.
+# Anything else is missing or an error, never a guess.
+MONTH_FORMATS = {"yyyy-MM": "%Y-%m", "yyyy-'M'MM": "%Y-M%m", "yyyy-MM-dd": "%Y-%m-%d"}
 
 
 def as_date(value: str | date | int) -> date:
@@ -26,7 +27,7 @@ def add_months(day: date, months: int) -> date:
     return date(index // 12, index % 12 + 1, 1)
 
 
-def parse_month(column: Column | str, formats: Sequence[str] = MONTH_FORMATS) -> Column:
+def parse_month(column: Column | str, formats: Sequence[str] = tuple(MONTH_FORMATS)) -> Column:
     """Date of a month label, tried against an explicit list of formats."""
     label = F.col(column) if isinstance(column, str) else column
     return F.coalesce(*[F.try_to_timestamp(label, F.lit(f)).cast("date") for f in formats])

@@ -11,19 +11,16 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.expressions import as_date, null_if_nan
+from panelcast.functions.expressions import MONTH_FORMATS, as_date, null_if_nan
 
 ID = "Importers"
 
-# Month header layouts that may be read, as Spark patterns and their strptime twins.
-HEADER_FORMATS = {"yyyy-MM": "%Y-%m", "yyyy-'M'MM": "%Y-M%m", "yyyy-MM-dd": "%Y-%m-%d"}
 
-
-def month_of(label: str, formats: Sequence[str] = tuple(HEADER_FORMATS)) -> date | None:
+def month_of(label: str, formats: Sequence[str] = tuple(MONTH_FORMATS)) -> date | None:
     """Month of one header label, or None when no listed format fits."""
     for fmt in formats:
         try:
-            return datetime.strptime(label, HEADER_FORMATS[fmt]).date()
+            return datetime.strptime(label, MONTH_FORMATS[fmt]).date()
         except ValueError:
             continue
     return None
@@ -33,7 +30,7 @@ def month_columns(
     columns: Sequence[str],
     start: str | date | int | None = None,
     end: str | date | int | None = None,
-    formats: Sequence[str] = tuple(HEADER_FORMATS),
+    formats: Sequence[str] = tuple(MONTH_FORMATS),
 ) -> dict[str, date]:
     """Month columns within [start, end). An unreadable header is an error, never a guess.
 
@@ -105,9 +102,9 @@ def read_wide_reports(
     start: str | date | int | None = None,
     end: str | date | int | None = None,
     format: str = "csv",
-    formats: Sequence[str] = tuple(HEADER_FORMATS),
+    formats: Sequence[str] = tuple(MONTH_FORMATS),
 ) -> DataFrame:
-    """All wide files below ``path`` as ``reports(Product, Importers, report, n_reports, Time, Import)``.
+    """All wide files below ``path``: ``Product, Importers, report, n_reports, Time, Import``.
 
     The product is the name of the folder that holds a file (a ``product=`` prefix is dropped).
     CSV files are read once per distinct header, since a reader given several headers matches
