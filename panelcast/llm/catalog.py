@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, dedup, shards
-from panelcast.llm.common import text_of
+from panelcast.llm import chat, decontaminate, dedup, shards
+from panelcast.llm.common import row_key, stored, text_of
 from panelcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,26 @@ def op2_chat_formatting(spark, folder):
     )
 
 
+@query
+def op7_decontamination(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    hits = decontaminate.contamination(docs, read_table(spark, folder, "benchmark"))
+    rows = docs.select(
+        "doc_id",
+        *row_key(),
+        F.size(decontaminate.words_of()).cast("long").alias("n_words"),
+    )
+    zero = F.lit(0).cast("long")
+    return rows.join(stored(hits, "hits"), ["_k1", "_k2"], "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", zero).alias("n_hit"),
+        F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
 @query
 def op10_extendible_shards(spark, folder):
     return shards.assign_shards(read_table(spark, folder, "documents"), SHARD_BYTES)

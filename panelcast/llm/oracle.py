@@ -35,6 +35,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_SQL["op7_decontamination"] = r"""
+WITH cut AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id, text FROM documents
+  UNION ALL SELECT 'b', item_id::VARCHAR, text FROM benchmark
+), words AS (
+  SELECT side, id, row_number() OVER () AS r,
+    list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda w: w <> '') AS w
+  FROM cut
+), items AS (
+  SELECT DISTINCT id AS item, w[s:s + 9] AS win
+  FROM words, generate_series(1, greatest(1, len(w) - 9)) AS g(s) WHERE side = 'b' AND len(w) > 0
+), sizes AS (SELECT DISTINCT len(win) AS n FROM items
+), places AS (
+  SELECT r, s, n, w[s:s + n - 1] AS win
+  FROM words, sizes, generate_series(1, len(w) - n + 1) AS g(s) WHERE side = 'd'
+), hits AS (SELECT p.r, p.s, p.n, i.item FROM places p JOIN items i USING (win)
+), covered AS (
+  SELECT r, count(DISTINCT pos) AS n_hit FROM (
+    SELECT r, unnest(range(s, s + n)) AS pos FROM (SELECT DISTINCT r, s, n FROM hits)) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list
+  FROM hits GROUP BY r
+)
+SELECT id::BIGINT AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r) WHERE side = 'd'
+"""
+
 _SQL["op10_extendible_shards"] = f"""
 WITH hashed AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
