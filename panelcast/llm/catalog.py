@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, decontaminate, dedup, shards
+from panelcast.llm import chat, decontaminate, dedup, jaccard, shards
 from panelcast.llm.common import row_key, stored, text_of
 from panelcast.sources.tables import read_table
 
@@ -59,6 +59,12 @@ def op2_chat_formatting(spark, folder):
     )
 
 
+@query
+def op3_jaccard_join(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    return jaccard.similar_documents(docs, size=3, percent=90).drop("_k2")
+
+
 @query
 def op7_decontamination(spark, folder):
     docs = read_table(spark, folder, "documents")
