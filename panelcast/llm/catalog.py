@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, decontaminate, dedup, jaccard, shards
+from panelcast.llm import chat, decontaminate, dedup, jaccard, langid, pieces, shards
 from panelcast.llm.common import row_key, stored, text_of
 from panelcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
+#: Vocabulary file of op4: a public tokenizer of the machine, read on the driver.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Byte limit of a shard of op10.
 SHARD_BYTES = 1 << 20
 
@@ -65,6 +67,30 @@ def op3_jaccard_join(spark, folder):
     return jaccard.similar_documents(docs, size=3, percent=90).drop("_k2")
 
 
+@query
+def op4_sentencepiece(spark, folder, vocabulary: str = VOCABULARY):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = pieces.load_pieces(vocabulary)
+    coded = pieces.encode_documents(docs, model)
+    read = pieces.decode_documents(coded, model)
+    return read.select(
+        "doc_id",
+        "n_pieces",
+        "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == text_of()).alias("round_trip"),
+    )
+
+
+@query
+def op5_language_id(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = langid.held_out("doc_id", 5)
+    net = langid.fit(docs.where(~held & F.col("doc_id").isNotNull()))
+    found = langid.label_documents(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_decontamination(spark, folder):
     docs = read_table(spark, folder, "documents")
