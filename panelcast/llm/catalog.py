@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, decontaminate, dedup, jaccard, langid, pieces, shards
+from panelcast.llm import chat, decontaminate, dedup, hmm, jaccard, langid, pieces, shards
 from panelcast.llm.common import row_key, stored, text_of
 from panelcast.sources.tables import read_table
 
@@ -91,6 +91,12 @@ def op5_language_id(spark, folder):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_hmm_scoring(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    return hmm.score_documents(docs, langid.held_out("doc_id", 10))
+
+
 @query
 def op7_decontamination(spark, folder):
     docs = read_table(spark, folder, "documents")
