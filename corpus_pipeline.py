@@ -1,22 +1,64 @@
-"""The corpus pipeline: each stage works on the rows that the stage before has kept."""
+"""The corpus pipeline: each stage works on the rows that the stage before has kept.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
+All but the last return the columns of ``documents``. ``run`` applies them and stores each result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import dedup
+from panelcast.llm import decontaminate, dedup, jaccard, langid, pieces
+from panelcast.llm.catalog import VOCABULARY
 from panelcast.llm.common import stored
 from panelcast.sources.tables import read_table
 
+#: A document whose best language has less of its bytes than this is rejected.
+MIN_SCORE = 0.3
+#: Near duplicates: words of a shingle, and least similarity in percent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go: those without a letter, or of a low score."""
+    labelled = docs.where(~langid.held_out("doc_id", 5) & F.col("doc_id").isNotNull())
+    found = langid.label_documents(docs, langid.fit(labelled))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return kept.drop("lang_pred", "score")
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the one with the largest doc_id."""
+    """Of equal texts, the document with the largest doc_id stays."""
     return dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similar texts, the document with the smallest doc_id stays."""
+    return jaccard.drop_similar(docs, NEAR_WORDS, NEAR_PERCENT)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids of the pieces and their number; documents that lose text by it stay flagged."""
+    model = pieces.load_pieces(VOCABULARY)
+    read = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    return read.withColumn("round_trip", F.col("decoded") == F.col("text")).drop("decoded")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("sentencepiece", encoded),
+]
 
-#: The stages learn models and reach into a vocabulary file, which SQL does not express.
+#: Stages learn a network and read a vocabulary file, which SQL does not express.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, decontaminate, dedup, hmm, jaccard, langid, pieces, shards
+from panelcast.llm import (
+    chat,
+    decontaminate,
+    dedup,
+    hmm,
+    jaccard,
+    langid,
+    links,
+    pieces,
+    pii,
+    shards,
+)
 from panelcast.llm.common import row_key, stored, text_of
 from panelcast.sources.tables import read_table
 
@@ -117,6 +128,38 @@ def op7_decontamination(spark, folder):
     )
 
 
+@query
+def op8_pii(spark, folder):
+    found = pii.find_spans(read_table(spark, folder, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(pii.KINDS[:4])
+    ]
+    base = pii.span_list(F.col("base"))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.col("base"), F.col("terms")).alias("spans"),
+        F.size("terms").cast("long").alias("n_term"),
+    )
+
+
+#: Rules of op9: fixed values.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@query
+def op9_url_filter(spark, folder):
+    return links.judge_pages(read_table(spark, folder, "pages"), URL_RULES)
+
+
 @query
 def op10_extendible_shards(spark, folder):
     return shards.assign_shards(read_table(spark, folder, "documents"), SHARD_BYTES)

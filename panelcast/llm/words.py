@@ -66,7 +66,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_sets(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of ``size`` words. A text of fewer words, but
     not none, has its whole sequence as its only shingle."""
-    factors = [np.uint64(2 * i + 1) * _BASE for i in range(size)]
+    factors = (2 * np.arange(size, dtype=np.uint64) + np.uint64(1)) * _BASE
     n = len(words) - size + 1
     whole = np.zeros(max(n, 0), np.uint64)
     for i, factor in enumerate(factors):
@@ -77,8 +77,8 @@ def shingle_sets(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.nd
         if high - low >= size:
             out.append(np.unique(whole[low : high - size + 1]))
         elif high > low:
-            part = words[low:high] * np.array(factors[: high - low])
-            out.append(mix(np.array([part.sum(dtype=np.uint64) + np.uint64(high - low)])))
+            part = words[low:high] * factors[: high - low]
+            out.append(mix(part.sum(dtype=np.uint64, keepdims=True) + np.uint64(high - low)))
         else:
             out.append(whole[:0])
     return out
