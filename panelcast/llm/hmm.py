@@ -17,7 +17,6 @@ row per block.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,11 +38,13 @@ SYMBOLS, STATES, ROUNDS = 1 << 15, 6, 5
 BLOCK_BYTES, SEGMENT, PIECES = 8 << 20, 256, 32
 #: Smoothing of counts, and weight of the corpus in the emissions of a state, in tokens.
 ADD, PRIOR = 0.1, 200.0
+#: Compression of the blocks' token numbers, which are small for frequent words.
+CODEC = "zstd"
 END = b""
 
 _Batches = Iterator[pa.RecordBatch]
 _BLOCK = (
-    "block string, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, "
+    "ids array<long>, held array<boolean>, sizes array<int>, tokens binary, "
     "words array<binary>, counts array<long>"
 )
 
@@ -77,18 +78,22 @@ def _blocks(batches: _Batches) -> _Batches:
             counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(seen))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([uuid.uuid4().hex]),
                     pa.array([batch.column(0).slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
                     pa.array([held.tolist()], pa.list_(pa.bool_())),
                     pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([tokens.tobytes()], pa.binary()),
+                    pa.array([pa.compress(tokens.tobytes(), CODEC, asbytes=True)], pa.binary()),
                     pa.array([list(seen)], pa.list_(pa.binary())),
                     pa.array([counts], pa.list_(pa.int64())),
                 ],
-                ["block", "ids", "held", "sizes", "tokens", "words", "counts"],
+                ["ids", "held", "sizes", "tokens", "words", "counts"],
             )
 
 
+def _tokens(packed: pa.BinaryScalar, sizes: np.ndarray) -> np.ndarray:
+    raw = pa.decompress(packed.as_buffer(), int(sizes.sum()) * 4, CODEC)
+    return np.frombuffer(raw, np.int32)
+
+
 def _symbol(words) -> np.ndarray:
     codes = [1 + zlib.crc32(w) % (SYMBOLS - 1) if w else 0 for w in words]
     return np.array(codes, np.int64)
@@ -182,7 +187,7 @@ def expected_counts(model: Model, codes: np.ndarray, begins, sizes):
 def _segments(batch: pa.RecordBatch, row: int):
     sizes = np.array(batch.column(1)[row].as_py(), np.int64)
     held = np.array(batch.column(0)[row].as_py(), bool)
-    codes = _symbol(batch.column(3)[row].as_py())[np.frombuffer(batch.column(2)[row].as_buffer(), np.int32)]
+    codes = _symbol(batch.column(3)[row].as_py())[_tokens(batch.column(2)[row], sizes)]
     begins = (np.cumsum(sizes) - sizes)[~held]
     sizes = sizes[~held]
     parts = -(-sizes // SEGMENT)
@@ -207,7 +212,7 @@ def _expect(model, batches: _Batches) -> _Batches:
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([-1, *range(PIECES)], pa.int32()),
-            pa.array([head.tobytes(), *[p.tobytes() for p in pieces]], pa.binary()),
+            pa.array([head.tobytes(), *[p.astype(np.float32).tobytes() for p in pieces]], pa.binary()),
         ],
         ["piece", "sums"],
     )
@@ -217,7 +222,8 @@ def _add(batches: _Batches) -> _Batches:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(sums.as_buffer(), np.float64)
+            part = np.frombuffer(sums.as_buffer(), np.float64 if piece < 0 else np.float32)
+            part = part.astype(np.float64)
             total[piece] = total[piece] + part if piece in total else part
     yield pa.RecordBatch.from_arrays(
         [pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
@@ -270,7 +276,7 @@ def _score(model, log_base, total: int, kinds: int, batches: _Batches) -> _Batch
             known = np.zeros(len(symbols), np.int64)
             if at.is_valid:
                 known[np.array(at.as_py(), np.int64)] = c.as_py()
-            tokens = np.frombuffer(tokens.as_buffer(), np.int32)
+            tokens = _tokens(tokens, sizes)
             codes = symbols[tokens]
             begins = np.cumsum(sizes) - sizes
             word = np.log10(known + ADD) - over
@@ -309,7 +315,9 @@ def score_documents(
     rows = docs.select(
         F.col(id_col).cast("long"), F.coalesce(held_out, F.lit(False)), F.col(text_col)
     )
-    blocks = stored(rows.mapInArrow(_blocks, _BLOCK), "blocks")
+    blocks = rows.mapInArrow(_blocks, _BLOCK)
+    # what is read back is the numbers as they were written, once
+    blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     counts = word_counts(blocks)
     per_symbol = counts.groupBy("symbol").agg(F.sum("c"), F.count("*")).collect()
     seen, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
