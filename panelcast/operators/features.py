@@ -5,9 +5,12 @@ gives the country-wide variant, in which a window may begin in the previous prod
 Such a group has no size bound, so it is cut into blocks of consecutive rows; each block also
 carries copies of the earlier rows that its windows can see.
 
-An exponentially weighted mean is a ratio of two running sums, with weights that grow along the
-block. The block length keeps the smallest weight of its own rows, 0.1 ** 255, inside the range of a
-double; for earlier rows a weight of zero is exact, as 0.1 ** 17 already vanishes in the sum.
+An exponentially weighted mean changes at rows with a value only, and is carried on to the rows
+after them over a gap of any length. At a row with a value it is a ratio of two running sums, with
+weights that grow along the block. That row's own weight, 0.1 ** 255 or more, is inside the range of
+a double, and rows more than ``EWM_REACH`` before it weigh less than its last bit: there a weight of
+zero is exact. In country-wide groups, a block whose rows hold no value yet takes the last mean of
+the blocks before it, one row per block.
 """
 
 from __future__ import annotations
@@ -28,15 +31,22 @@ WINDOWS = (2, 3, 4, 5, 6, 9, 12)
 ALPHAS = (0.9, 0.7, 0.5, 0.2, 0.1)
 EWM_LAGS = (1, 2, 3, 4, 5, 6, 12, 24)
 
-# Rows per block, and the number of earlier rows an exponentially weighted mean reads: 0.9 ** 400 is
+# Rows per block, and the earlier rows that count in the mean of a row with a value: 0.9 ** 400 is
 # below the resolution of a double.
 BLOCK = 256
 EWM_REACH = 400
 
 
+def _bounded(keys: Sequence[str]) -> bool:
+    """Is a group part of one series, and so no longer than the calendar?"""
+    return set(KEYS) <= set(keys)
+
+
 def _blocks(panel: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int) -> DataFrame:
-    """Cut groups into blocks: _block, and _at, the place in it; negative for copied earlier rows."""
-    if set(KEYS) <= set(keys):
+    """Cut groups into blocks: _block, and _at, the place in it; negative for copied earlier rows.
+
+    In country-wide groups copies reach back ``reach`` rows; inside a series, to its beginning."""
+    if _bounded(keys):
         group = Window.partitionBy(*keys)
         placed = panel.withColumns(
             {
@@ -44,7 +54,7 @@ def _blocks(panel: DataFrame, keys: Sequence[str], order: Sequence[str], reach:
                 "_end": F.count("*").over(group) - 1,
             }
         )
-        last = F.least(F.col("_pos") + reach, "_end")
+        last = F.col("_end")
     else:
         placed = with_position(panel, [*keys, *order], "_pos")
         last = F.col("_pos") + reach
@@ -59,7 +69,7 @@ def _blocks(panel: DataFrame, keys: Sequence[str], order: Sequence[str], reach:
 def _grouped(
     panel: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int
 ) -> tuple[DataFrame, list[str]]:
-    if set(KEYS) <= set(keys):
+    if _bounded(keys):
         return panel, list(keys)
     return _blocks(panel, keys, order, reach), [*keys, "_block"]
 
@@ -87,13 +97,30 @@ def _with_lags_and_means(
     return df.withColumns(shared).withColumns(columns).drop(*shared)
 
 
-def _ewm_of(window: WindowSpec, alpha: float) -> Column:
-    """Mean up to each row. A missing value adds nothing, but ages the values before it."""
-    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _ewm_of(running: WindowSpec, alpha: float) -> Column:
+    """Mean at each row with a value. A missing value adds nothing, but ages those before it."""
     weight = F.pow(F.lit(1.0 - alpha), F.lit(BLOCK - 1) - F.col("_at"))
     known = F.when(F.col("Import").isNotNull(), weight)
     total = F.sum(known * F.col("Import")).over(running)
-    return F.try_divide(total, F.sum(known).over(running))
+    return F.when(
+        F.col("Import").isNotNull(), F.try_divide(total, F.sum(known).over(running))
+    )
+
+
+def _carried(known: DataFrame, keys: Sequence[str], means: Sequence[str], reach: int) -> DataFrame:
+    """Per block, the last means before the ``reach`` rows that it copies from blocks before it."""
+    own = known.where(F.col("Import").isNotNull())
+    back = max(1, -(-reach // BLOCK))
+    early = F.when(F.col("_at") < back * BLOCK - reach, F.struct(*means))
+    last = own.groupBy(*keys, "_block").agg(
+        F.max_by(F.struct(*means), "_at").alias("_last"),
+        F.max_by(early, F.when(early.isNotNull(), F.col("_at"))).alias("_early"),
+    )
+    blocks = known.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "left")
+    order = Window.partitionBy(*keys).orderBy("_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1 - back)
+    carry = F.coalesce(F.lag("_early", back).over(order), F.last("_last", ignorenulls=True).over(before))
+    return blocks.select(*keys, "_block", carry.alias("_carry"))
 
 
 def _with_ewm(
@@ -103,10 +130,34 @@ def _with_ewm(
     alphas: Sequence[float],
     reach: int,
 ) -> tuple[DataFrame, WindowSpec]:
-    """Blocks with a column ``_ewm_<alpha>`` per alpha, and the window over a block."""
-    window = Window.partitionBy(*keys, "_block").orderBy(*order)
-    means = {f"_ewm_{alpha_tag(a)}": _ewm_of(window, a) for a in alphas}
-    return _blocks(panel, keys, order, reach).withColumns(means), window
+    """Rows with a column ``_ewm_<alpha>`` per alpha, and a window that sees ``reach`` rows back."""
+    block = Window.partitionBy(*keys, "_block").orderBy(*order)
+    running = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = [f"_ewm_{alpha_tag(a)}" for a in alphas]
+    means = {name: _ewm_of(running, a) for name, a in zip(names, alphas)}
+    # Copies have served the sums; their own means, of weights far below the block's, are no use.
+    known = _blocks(panel, keys, order, EWM_REACH).withColumns(means).where("_at >= 0")
+    if _bounded(keys):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = {n: F.last(n, ignorenulls=True).over(running) for n in names}
+        return known.drop("_block", "_at").withColumns(filled), window
+    steps = F.sequence(F.lit(0), F.floor((F.col("_at") + reach) / BLOCK).cast("int"))
+    copied = (
+        known.withColumn("_step", F.explode(steps))
+        .withColumns(
+            {
+                "_block": F.col("_block") + F.col("_step"),
+                "_at": F.col("_at") - BLOCK * F.col("_step"),
+            }
+        )
+        .drop("_step")
+    )
+    filled = copied.withColumns({n: F.last(n, ignorenulls=True).over(running) for n in names})
+    joined = filled.join(_carried(known, keys, names, reach), [*keys, "_block"], "left")
+    return joined.withColumns({n: F.coalesce(n, F.col("_carry")[n]) for n in names}).drop(
+        "_carry"
+    ), block
 
 
 def ewm_columns(
@@ -149,7 +200,7 @@ def ewm(
     order: Sequence[str] = ("Time",),
 ) -> DataFrame:
     """Exponentially weighted means up to and including each row, one column per alpha."""
-    df, _ = _with_ewm(panel, keys, order, alphas, EWM_REACH)
+    df, _ = _with_ewm(panel, keys, order, alphas, 0)
     names = {f"_ewm_{alpha_tag(a)}": f"Import_ewm_alpha_{alpha_tag(a)}" for a in alphas}
     return _released(df).withColumnsRenamed(names)
 
@@ -165,7 +216,7 @@ def ewm_features(
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ("Time",),
 ) -> DataFrame:
-    df, window = _with_ewm(panel, keys, order, alphas, EWM_REACH + max(lags))
+    df, window = _with_ewm(panel, keys, order, alphas, max(lags))
     return _without_means(df.withColumns(ewm_columns(window, alphas, lags)), alphas)
 
 
@@ -179,7 +230,7 @@ def build_features(
     ewm_lags: Sequence[int] = EWM_LAGS,
 ) -> DataFrame:
     """All derived columns, with month and year. One shuffle by series serves every one of them."""
-    reach = max(*lags, *windows, EWM_REACH + max(ewm_lags))
+    reach = max(*lags, *windows, *ewm_lags)
     df, window = _with_ewm(panel, keys, order, alphas, reach)
     df = _with_lags_and_means(df, window, lags, windows)
     df = df.withColumns(ewm_columns(window, alphas, ewm_lags))

@@ -100,3 +100,39 @@ def test_means_of_long_series_equal_pandas(make_panel, keys):
         assert out[f"Import_ewm_alpha_{features.alpha_tag(alpha)}_lag_1"].isna().equals(
             expected.isna()
         )
+
+
+def test_means_survive_gaps_of_any_length(spark):
+    """A gap inside a block, one over several blocks, and one before the first value."""
+    import numpy as np
+
+    gaps = {"P": (191, 330), "Q": (301, 1100), "R": (0, 700)}
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    order = 0
+    state = {k: (None, 0.0) for k in ("wide", *gaps)}
+    for product, (low, high) in gaps.items():
+        for i in range(1200):
+            value = None if low <= i < high else float(rng.random())
+            day = f"{1900 + i // 12}-{i % 12 + 1:02d}-01"
+            rows.append(("A", product, day, value))
+            for group in ("wide", product):
+                mean, weight = state[group]
+                weight *= 0.1
+                if value is not None:
+                    mean = value if mean is None else (mean * weight + value) / (weight + 1)
+                    weight += 1
+                state[group] = (mean, weight)
+                want[(group == "wide", product, day)] = mean
+            order += 1
+    panel = spark.createDataFrame(rows, "Country string, Product string, Time string, Import double")
+    panel = panel.selectExpr("Country", "Product", "CAST(Time AS DATE) AS Time", "Import")
+    for across in (False, True):
+        options = {"keys": ("Country",), "order": ("Product", "Time")} if across else {}
+        found = features.ewm(panel, alphas=(0.9,), **options).collect()
+        assert len(found) == 3600
+        for r in found:
+            mean = want[(across, r.Product, str(r.Time))]
+            got = r["Import_ewm_alpha_09"]
+            assert (got is None) == (mean is None), (across, r.Product, r.Time)
+            assert mean is None or abs(got - mean) < 1e-12
