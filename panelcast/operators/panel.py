@@ -51,9 +51,16 @@ def label_split(panel: DataFrame, cutoff: Day) -> DataFrame:
     return panel.withColumn("split", F.when(before, "train").otherwise("test"))
 
 
-def _month_counts(start: Day, end: Day, keys: Sequence[str]) -> dict[str, Column]:
+def _months_with_value(inside: Column | None = None) -> Column:
+    """Aggregate: the distinct months that hold a value. The calendar bounds the set."""
     has_value = F.col("Import").isNotNull() & ~F.isnan("Import")
-    present = F.count_if(has_value).over(Window.partitionBy(*keys))
+    found = has_value if inside is None else inside & has_value
+    return F.size(F.collect_set(F.when(found, F.col("Time"))))
+
+
+def _month_counts(start: Day, end: Day, keys: Sequence[str]) -> dict[str, Column]:
+    months = F.collect_set(F.when(F.col("Import").isNotNull() & ~F.isnan("Import"), F.col("Time")))
+    present = F.size(months.over(Window.partitionBy(*keys)))
     return {"_present": present, "_expected": F.lit(months_between(start, end))}
 
 
@@ -62,6 +69,8 @@ def complete_series(
 ) -> DataFrame:
     """Rows in the period, of series that have a value for each of its months.
 
+    Months are counted once, so a repeated month doesn't stand in for a missing one.
+
     The count is a window over the series, so the panel is read and shuffled once, and later
     per-series operators reuse that partitioning.
     """
@@ -75,8 +84,7 @@ def incomplete_series(
     """One row per series of the panel that lacks months in the period, with how many."""
     expected = months_between(start, end)
     inside = (F.col("Time") >= F.lit(as_date(start))) & (F.col("Time") < F.lit(as_date(end)))
-    present = F.count_if(inside & F.col("Import").isNotNull() & ~F.isnan("Import"))
-    missing = F.lit(expected) - present
+    missing = F.lit(expected) - _months_with_value(inside)
     return (
         panel.groupBy(*keys).agg(missing.cast("int").alias("missing")).where(F.col("missing") > 0)
     )

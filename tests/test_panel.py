@@ -129,3 +129,11 @@ def test_standardize_uses_training_rows(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (9.0, 5.0)], "a double, c double")
     out = folds.standardize(df, ["a", "c"], df.where("a < 5")).orderBy("a").collect()
     assert [tuple(r) for r in out] == [(-1.0, 0.0), (1.0, 0.0), (7.0, 0.0)]
+
+
+def test_a_repeated_month_does_not_hide_a_missing_one(spark, make_panel):
+    panel = make_panel({("A", "x"): [1.0] * 11, ("B", "x"): [1.0] * 12})
+    twice = panel.unionByName(panel.where("Country = 'A' AND month(Time) = 1"))
+    assert {r.Country for r in P.complete_series(twice, "2012-01-01", "2013-01-01").collect()} == {"B"}
+    lacking = P.incomplete_series(twice, "2012-01-01", "2013-01-01").collect()
+    assert [(r.Country, r.missing) for r in lacking] == [("A", 1)]
