@@ -28,9 +28,10 @@ def add_months(day: date, months: int) -> date:
 
 
 def parse_month(column: Column | str, formats: Sequence[str] = tuple(MONTH_FORMATS)) -> Column:
-    """Date of a month label, tried against an explicit list of formats."""
+    """First day of the month of a label, tried against an explicit list of formats."""
     label = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(*[F.try_to_timestamp(label, F.lit(f)).cast("date") for f in formats])
+    days = [F.try_to_timestamp(label, F.lit(f)).cast("date") for f in formats]
+    return F.trunc(F.coalesce(*days), "month")
 
 
 def null_if_nan(column: Column | str) -> Column:

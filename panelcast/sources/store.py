@@ -1,12 +1,17 @@
-"""Saved tables: scored predictions by year, and best parameters by model and year."""
+"""Saved tables: scored predictions by year, model and cutoff, and best parameters by key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.expressions import as_date
+from panelcast.session import shared_path
+
 
 def _write(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace only the partitions that ``df`` holds."""
@@ -25,7 +30,9 @@ def saved(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:
-    _write(scored.withColumn("year", F.year("Time")), path, "year")
+    """Save forecasts. Those of another year, model or cutoff stay as they are."""
+    named = [c for c in ("model", "cutoff") if c in scored.columns]
+    _write(scored.withColumn("year", F.year("Time")), path, "year", *named)
 
 
 def read_predictions(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
@@ -47,6 +54,7 @@ def best_params(tuned: DataFrame, params: Sequence[str]) -> DataFrame:
     return tuned.select(
         "model",
         F.year("cutoff").alias("year"),
+        "cutoff",
         "Product",
         "Country",
         _by_name(params).alias("params"),
@@ -55,12 +63,14 @@ def best_params(tuned: DataFrame, params: Sequence[str]) -> DataFrame:
     )
 
 
-def best_regressor_params(tuned: DataFrame, year: int) -> DataFrame:
+def best_regressor_params(tuned: DataFrame, cutoff: str | date | int) -> DataFrame:
     """The winner of a regressor search as a row of the same table, for no particular series."""
+    day = as_date(cutoff)
     none = F.lit(None).cast("string")
     return tuned.where("best").select(
         "model",
-        F.lit(year).alias("year"),
+        F.lit(day.year).alias("year"),
+        F.lit(day).alias("cutoff"),
         none.alias("Product"),
         none.alias("Country"),
         "params",
@@ -69,8 +79,26 @@ def best_regressor_params(tuned: DataFrame, year: int) -> DataFrame:
     )
 
 
+_PARAM_KEYS = ("model", "cutoff", "Product", "Country")
+
+
 def write_params(params: DataFrame, path: str) -> None:
-    _write(params, path, "model", "year")
+    """Save parameters. Rows of other models, cutoffs and series stay; equal keys are replaced."""
+    spark = params.sparkSession
+    try:
+        before = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        _write(params, path, "model", "year")
+        return
+    new = saved(params, shared_path(spark, "new-params"))
+    touched = before.join(new.select("model", "year").distinct(), ["model", "year"], "left_semi")
+    keys = new.select(*[F.col(k).alias(f"_{k}") for k in _PARAM_KEYS])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _PARAM_KEYS]
+    kept = touched.join(keys, same, "left_anti").select(*new.columns)
+    merged = saved(kept.unionByName(new), shared_path(spark, "merged-params"))
+    _write(merged, path, "model", "year")
 
 
 def read_params(
@@ -87,10 +115,9 @@ def with_params(
 ) -> DataFrame:
     """Give each series its saved parameters of a model as columns; unfitted series drop out."""
     wanted = params.where((F.col("model") == model) & (F.col("status") == "ok")).select(
-        F.col("year").alias("_year"),
+        "cutoff",
         "Product",
         "Country",
         *[F.col("params")[name].cast(kind).alias(name) for name in names],
     )
-    keyed = series.withColumn("_year", F.year("cutoff"))
-    return keyed.join(wanted, ["_year", "Product", "Country"]).drop("_year")
+    return series.join(wanted, ["cutoff", "Product", "Country"])

@@ -5,24 +5,28 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 from datetime import date, datetime
-from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import MONTH_FORMATS, as_date, null_if_nan
+from panelcast.session import shared_path
+from panelcast.sources.store import saved
 
 ID = "Importers"
 
 
 def month_of(label: str, formats: Sequence[str] = tuple(MONTH_FORMATS)) -> date | None:
-    """Month of one header label, or None when no listed format fits."""
+    """First day of the month of one header label, or None when no listed format fits in full."""
     for fmt in formats:
         try:
-            return datetime.strptime(label, MONTH_FORMATS[fmt]).date()
+            day = datetime.strptime(label, MONTH_FORMATS[fmt]).date()
         except ValueError:
             continue
+        # strptime also takes a month of one digit, which the column parser does not
+        if day.strftime(MONTH_FORMATS[fmt]) == label:
+            return day.replace(day=1)
     return None
 
 
@@ -71,17 +75,22 @@ def pivot_months(panel: DataFrame, months: dict[str, date]) -> DataFrame:
     return wide.toDF("Product", ID, *months)
 
 
-def write_wide_reports(panel: DataFrame, path: str, reports: dict[str, dict[str, date]]) -> None:
-    """Write ``<path>/<report>/product=<p>/*.csv``, one report per entry of month columns.
+def write_wide_reports(
+    panel: DataFrame, path: str, reports: dict[str, dict[str, date]], format: str = "csv"
+) -> None:
+    """Write ``<path>/<report>/product=<p>/*``, one report per entry of month columns.
 
-    The panel is pivoted once for all reports. A report holds the importers with a value in it.
+    The panel is pivoted once for all reports, and dealt by product and part of the importers, so
+    that a product fills a few files. A report holds the importers with a value in it.
     """
     months = {label: day for part in reports.values() for label, day in part.items()}
-    wide = pivot_months(panel, months).withColumnRenamed("Product", "product").persist()
+    wide = pivot_months(panel, months).withColumnRenamed("Product", "product")
+    wide = wide.repartition("product", F.pmod(F.xxhash64(ID), F.lit(8))).persist()
     for name, part in reports.items():
         report = wide.where(F.coalesce(*[F.col(f"`{c}`") for c in part]).isNotNull())
         report = report.select("product", ID, *[F.col(f"`{c}`") for c in part])
-        report.write.partitionBy("product").option("header", True).csv(f"{path}/{name}")
+        out = report.write.partitionBy("product").option("header", True)
+        out.format(format).save(f"{path}/{name}")
     wide.unpersist()
 
 
@@ -96,6 +105,132 @@ def _product_of(file: str) -> Column:
     return F.when(folder.startswith("product="), _decoded(value)).otherwise(folder)
 
 
+#: Files of which one row each is broadcast to the rows; beyond that both sides are shuffled.
+BROADCAST_FILES = 100_000
+
+
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """(file, header): the first line of each file, as one small aggregate per file."""
+    order = F.struct("_start", "_line")
+    return (
+        lines.withColumn("_line", F.monotonically_increasing_id())
+        .groupBy("_file")
+        .agg(F.min_by("value", order).alias("header"))
+    )
+
+
+def _by_file(rows: DataFrame, files: DataFrame) -> DataFrame:
+    few = files.count() <= BROADCAST_FILES
+    return rows.join(F.broadcast(files) if few else files, "_file")
+
+
+def _counted(files: DataFrame) -> DataFrame:
+    """Files with ``n_reports``, the number of reports of their product."""
+    counts = files.groupBy("Product").agg(F.countDistinct("report").cast("int").alias("n_reports"))
+    return files.join(counts, "Product")
+
+
+def _layouts(headers: Sequence[str], start, end, formats) -> list[tuple]:
+    """(header, report, place of the importer, month of each column) of the distinct headers."""
+    out = []
+    for report, header in enumerate(sorted(headers)):
+        columns = [c.strip() for c in next(csv.reader([header]))]
+        months = month_columns(columns, start, end, formats)
+        out.append((header, report, columns.index(ID), [months.get(c) for c in columns]))
+    return out
+
+
+def _csv_cells(spark: SparkSession, path: str, start, end, formats) -> DataFrame:
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .text(path)
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+        )
+    )
+    firsts = saved(_first_lines(lines), shared_path(spark, "headers"))
+    # The distinct headers are what the driver needs to know; their number does not grow with files.
+    headers = [r.header for r in firsts.select("header").distinct().collect()]
+    if not headers:
+        raise ValueError(f"no report below {path}")
+    bad = [h for h in headers if ID not in [c.strip() for c in next(csv.reader([h]), [])]]
+    if bad:
+        names = firsts.where(F.col("header").isin(bad)).limit(5).select("_file").collect()
+        raise ValueError(f"no column {ID!r} in the header of {[unquote(r._file) for r in names]}")
+    layouts = _layouts(headers, start, end, formats)
+    known = spark.createDataFrame(
+        layouts, "header string, report int, _id int, _months array<date>"
+    )
+    files = firsts.join(known, "header").withColumn("Product", _product_of("_file"))
+    files = saved(_counted(files), shared_path(spark, "files"))
+    width = max(len(months) for *_, months in layouts)
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    rows = _by_file(lines, files).where("value <> header and trim(value) <> ''")
+    parsed = rows.withColumn("_row", F.from_csv("value", fields)).withColumn(
+        "_cells", F.array(*[F.col(f"_row.c{i}") for i in range(width)])
+    )
+    inside = F.filter(
+        F.arrays_zip(F.col("_months").alias("Time"), F.col("_cells").alias("cell")),
+        lambda x: x["Time"].isNotNull(),
+    )
+    # Importers of a report outside the period still count for presence in all reports.
+    return parsed.select(
+        "Product",
+        F.get("_cells", F.col("_id")).alias(ID),
+        "report",
+        "n_reports",
+        F.explode_outer(inside).alias("x"),
+    ).select(
+        "Product",
+        ID,
+        "report",
+        "n_reports",
+        F.col("x.Time").alias("Time"),
+        null_if_nan(F.col("x.cell").try_cast("double")).alias("Import"),
+    )
+
+
+def _parquet_cells(spark: SparkSession, path: str, start, end, formats) -> DataFrame:
+    wide = (
+        spark.read.option("mergeSchema", True)
+        .option("recursiveFileLookup", True)
+        .parquet(path)
+        .withColumn("_file", F.col("_metadata.file_path"))
+    )
+    columns = [c for c in wide.columns if c not in ("_file", "product")]
+    if ID not in columns:
+        raise ValueError(f"no column {ID!r} below {path}")
+    every = month_columns(columns, None, None, formats)
+    months = month_columns(columns, start, end, formats)
+    # A folder holds the months for which it has any value; the merged schema no longer tells.
+    has = [F.when(F.max(F.col(f"`{c}`").isNotNull()), F.lit(c)) for c in every]
+    folder = F.regexp_replace("_file", "/[^/]+$", "/")
+    wide = wide.withColumns({"_file": folder, "Product": _product_of("_file")})
+    files = wide.groupBy("_file", "Product").agg(F.array_compact(F.array(*has)).alias("_labels"))
+    files = saved(files, shared_path(spark, "files"))
+    layouts = sorted(r._labels for r in files.select("_labels").distinct().collect())
+    known = spark.createDataFrame(list(enumerate(layouts)), "report int, _labels array<string>")
+    files = _counted(files.join(known, "_labels"))
+    rows = _by_file(wide.drop("Product"), saved(files, shared_path(spark, "files")))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("label"),
+                F.lit(day).alias("Time"),
+                null_if_nan(F.col(f"`{c}`").try_cast("double")).alias("Import"),
+            )
+            for c, day in months.items()
+        ]
+    ) if months else F.array().cast("array<struct<label:string,Time:date,Import:double>>")
+    held = F.filter(cells, lambda x: F.array_contains("_labels", x["label"]))
+    return rows.select(
+        "Product", ID, "report", "n_reports", F.explode_outer(held).alias("x")
+    ).select("Product", ID, "report", "n_reports", "x.Time", "x.Import")
+
+
 def read_wide_reports(
     spark: SparkSession,
     path: str,
@@ -107,64 +242,16 @@ def read_wide_reports(
     """All wide files below ``path``: ``Product, Importers, report, n_reports, Time, Import``.
 
     The product is the name of the folder that holds a file (a ``product=`` prefix is dropped).
-    CSV files are read once per distinct header, since a reader given several headers matches
-    columns by position. Files of a product with equal headers are parts of one report;
-    ``n_reports`` is the number of reports of that product.
-    """
-    product = _product_of("_file")
-    if format == "parquet":
-        wide = (
-            spark.read.option("mergeSchema", True)
-            .option("recursiveFileLookup", True)
-            .parquet(path)
-            .withColumn("_file", F.col("_metadata.file_path"))
-        )
-        months = month_columns([c for c in wide.columns if c != "_file"], start, end, formats)
-        tagged = wide.withColumns({"Product": product, "report": F.lit(0), "n_reports": F.lit(1)})
-        ids = ["Product", ID, "report", "n_reports"]
-        return unpivot_months(tagged, ids, months).drop("Label").where("Import IS NOT NULL")
+    Files of a product with equal months are parts of one report; ``n_reports`` is the number of
+    reports of that product. Empty cells stay as NULL values in both formats.
 
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("_file"))
-    )
-    # One row per distinct header: what the driver needs to plan the scans, as any file listing.
-    headers = (
-        lines.where(F.col("value").rlike(f'^"?{ID}"?(,|$)'))
-        .groupBy("value")
-        .agg(F.collect_set("_file").alias("files"), F.collect_set(product).alias("products"))
-        .orderBy("value")
-        .collect()
-    )
-    if not headers:
-        raise ValueError(f"no report with a header starting {ID!r} below {path}")
-    n_reports: dict[str, int] = {}
-    for row in headers:
-        for name in row.products:
-            n_reports[name] = n_reports.get(name, 0) + 1
-    counts = spark.createDataFrame(sorted(n_reports.items()), "Product string, n_reports int")
-
-    frames = []
-    for report, row in enumerate(headers):
-        columns = next(csv.reader([row.value]))
-        months = month_columns(columns, start, end, formats)
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        wide = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .csv([unquote(f) for f in row.files])
-            .withColumn("_file", F.col("_metadata.file_path"))
-            .withColumns({"Product": product, "report": F.lit(report)})
-        )
-        if months:
-            frames.append(unpivot_months(wide, ["Product", ID, "report"], months).drop("Label"))
-        else:
-            # Outside the period, yet its importers still count for presence in all reports.
-            empty = {"Time": F.lit(None).cast("date"), "Import": F.lit(None).cast("double")}
-            frames.append(wide.select("Product", ID, "report").withColumns(empty))
-    return reduce(DataFrame.unionByName, frames).join(counts, "Product")
+    Every CSV file must have a header with the importers' column, in any place and with spaces
+    around names, and months elsewhere: any other file is an error that names it. All headers are
+    read by one scan and all rows by a second one. Parquet files of one folder are parts of one
+    report, and a month without any value in a folder counts as absent from it.
+    """
+    cells = _parquet_cells if format == "parquet" else _csv_cells
+    return cells(spark, path, start, end, formats)
 
 
 def _reconciled(reports: DataFrame) -> DataFrame:

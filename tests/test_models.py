@@ -240,7 +240,7 @@ def test_search_returns_one_best_candidate(spark, vectors, tmp_path):
     assert tuned.count() == 2 and tuned.where("best").count() == 1
     assert learn.best_settings(tuned) == {"maxDepth": 6, "numTrees": 5}
     path = str(tmp_path / "params")
-    store.write_params(store.best_regressor_params(tuned, 2018), path)
+    store.write_params(store.best_regressor_params(tuned, "2018-01-01"), path)
     saved = store.read_params(spark, path, "rf", 2018)
     assert learn.best_settings(saved) == {"maxDepth": 6, "numTrees": 5}
 
