@@ -99,22 +99,22 @@ def incomplete_series(spark, folder):
 
 @query
 def offset_shift(spark, folder):
-    return P.offset_values(_panel(spark, folder))
+    return P.offset_values(panel_from_tables(spark, folder))
 
 
 @query
 def select_countries(spark, folder):
-    return P.select_countries(_panel(spark, folder), ["NATION_2", "NATION_3", "NATION_11"])
+    return P.select_countries(panel_from_tables(spark, folder), ["NATION_2", "NATION_3", "NATION_11"])
 
 
 @query
 def date_parts(spark, folder):
-    return P.date_parts(_panel(spark, folder))
+    return P.date_parts(panel_from_tables(spark, folder))
 
 
 @query
 def split_counts(spark, folder):
-    rows = P.label_split(_panel(spark, folder), LAST)
+    rows = P.label_split(panel_from_tables(spark, folder), LAST)
     return rows.groupBy("Product", "split").agg(F.count("*").alias("n"))
 
 
@@ -134,9 +134,10 @@ def difference(spark, folder):
 
 
 def _report_months() -> dict[str, dict]:
+    """One report per year of the tables."""
     first = as_date(START)
     reports = {}
-    for year in range(P.months_between(START, END) // 12):
+    for year in range(7):
         months = [add_months(first, 12 * year + m) for m in range(12)]
         reports[f"y{months[0].year}"] = {d.strftime("%Y-M%m"): d for d in months}
     return reports
@@ -149,7 +150,7 @@ def _all_months() -> dict:
 @query
 def wide_unpivot(spark, folder):
     months = _all_months()
-    table = wide.pivot_months(_panel(spark, folder), months)
+    table = wide.pivot_months(panel_from_tables(spark, folder), months)
     long = wide.unpivot_months(table, ["Product", wide.ID], months)
     return long.select("Product", F.col(wide.ID).alias("Country"), "Time", "Import")
 
@@ -157,7 +158,7 @@ def wide_unpivot(spark, folder):
 @query
 def header_parse(spark, folder):
     months = _all_months()
-    table = wide.pivot_months(_panel(spark, folder), months)
+    table = wide.pivot_months(panel_from_tables(spark, folder), months)
     labels = wide.unpivot_months(table, ["Product", wide.ID], months).where("Import IS NOT NULL")
     parsed = labels.withColumn("parsed", parse_month("Label", ("yyyy-'M'MM",)))
     return parsed.groupBy("Label", "parsed").agg(F.count("*").alias("n"))
@@ -166,20 +167,27 @@ def header_parse(spark, folder):
 @query
 def wide_join(spark, folder):
     path = shared_path(spark, "wide-reports")
-    wide.write_wide_reports(_panel(spark, folder), path, _report_months())
+    wide.write_wide_reports(panel_from_tables(spark, folder), path, _report_months())
     return wide.join_reports(wide.read_wide_reports(spark, path)).where("Import IS NOT NULL")
 
 
+@query
+def wide_join_parquet(spark, folder):
+    path = shared_path(spark, "wide-reports")
+    wide.write_wide_reports(panel_from_tables(spark, folder), path, _report_months(), "parquet")
+    reports = wide.read_wide_reports(spark, path, format="parquet")
+    return wide.join_reports(reports).where("Import IS NOT NULL")
+
+
 @query
 def wide_conflicts(spark, folder):
-    """Two reports share 1997: the second one carries revised June values."""
-    panel = store.saved(_panel(spark, folder), shared_path(spark, "panel"))
-    months = _report_months()
+    """Every year is reported twice: the second time with revised June values."""
+    panel = store.saved(panel_from_tables(spark, folder), shared_path(spark, "panel"))
     path = shared_path(spark, "wide-conflicts")
-    wide.write_wide_reports(panel, path, {"first": {**months["y1996"], **months["y1997"]}})
+    wide.write_wide_reports(panel, path, {"first": _all_months()})
     revised = F.when(F.month("Time") == 6, F.col("Import") + 1.0).otherwise(F.col("Import"))
-    second = panel.withColumn("Import", revised)
-    wide.write_wide_reports(second, path, {"second": {**months["y1997"], **months["y1998"]}})
+    second = {f"second-{name}": part for name, part in _report_months().items()}
+    wide.write_wide_reports(panel.withColumn("Import", revised), path, second)
     return wide.wide_conflicts(wide.read_wide_reports(spark, path))
 
 
@@ -232,19 +240,63 @@ def ewm_lags(spark, folder):
 
 @query
 def feature_frame(spark, folder):
-    out = features.build_features(_complete(spark, folder))
+    return _rounded_features(features.build_features(_complete(spark, folder)))
+
+
+def _gappy(spark: SparkSession, folder: str) -> DataFrame:
+    """Every series with one row per month, every seventh month of which has no value."""
+    dense = P.densify(_panel(spark, folder), START, END, fill=None)
+    seventh = (12 * F.year("Time") + F.month("Time")) % 7 == 3
+    return dense.withColumn("Import", F.when(~seventh, F.col("Import")))
+
+
+@query
+def ewm_gaps(spark, folder):
+    out = features.ewm(_gappy(spark, folder))
+    return _round(out, 2, *[c for c in out.columns if "ewm" in c])
+
+
+@query
+def ewm_gaps_country_only(spark, folder):
+    out = features.ewm(_gappy(spark, folder), keys=("Country",), order=("Product", "Time"))
+    return _round(out, 2, *[c for c in out.columns if "ewm" in c])
+
+
+@query
+def ewm_lags_country_only(spark, folder):
+    out = features.ewm_features(
+        _complete(spark, folder), keys=("Country",), order=("Product", "Time")
+    )
+    return _round(out, 2, *[c for c in out.columns if "ewm" in c])
+
+
+def _rounded_features(out: DataFrame) -> DataFrame:
     out = _round(out, 2, *[c for c in out.columns if "ewm" in c])
     return _round(out, 5, *[c for c in out.columns if "roll" in c])
 
 
+@query
+def feature_frame_gaps(spark, folder):
+    return _rounded_features(features.build_features(_gappy(spark, folder)))
+
+
+@query
+def feature_frame_country_only(spark, folder):
+    return _rounded_features(
+        features.build_features(
+            _complete(spark, folder), keys=("Country",), order=("Product", "Time")
+        )
+    )
+
+
 @query
 def one_hot(spark, folder):
-    return encode.one_hot(_panel(spark, folder), ["Country", "Product"])
+    return encode.one_hot(panel_from_tables(spark, folder), ["Country", "Product"])
 
 
 @query
 def clean_names(spark, folder):
-    dummies = encode.one_hot(_panel(spark, folder), ["Country", "Product"])
+    dummies = encode.one_hot(panel_from_tables(spark, folder), ["Country", "Product"])
     flags = [c for c in encode.clean_names(dummies).columns if c.startswith(("Country", "Product"))]
     return encode.clean_names(dummies).agg(*[F.sum(c).alias(c) for c in flags])
 
@@ -264,7 +316,7 @@ def fill_zero(spark, folder):
 
 @query
 def jitter_scale(spark, folder):
-    panel = _panel(spark, folder)
+    panel = panel_from_tables(spark, folder)
     return panel.agg(features.jitter_scale_of("Import").alias("scale"))
 
 
@@ -343,6 +395,24 @@ def scored_wide(spark, folder):
     return _round(table, 2, *models)
 
 
+@query
+def scored_wide_overlap(spark, folder):
+    """Two cutoffs half a year apart forecast the same months."""
+    models = list(naive.forecasts())
+    scored = _naive_forecasts(spark, folder, ("1999-07-01", LAST))
+    table = report.scored_wide(scored, models)
+    table = _round(table, 6, *[f"{m.upper()}_smape" for m in models])
+    return _round(table, 2, *models)
+
+
+@query
+def model_rows(spark, folder):
+    """Rows of each model: a model that lost some shows here."""
+    scored = _naive_forecasts(spark, folder)
+    lost = (F.col("model") == "random_walk") & (F.month("Time") == 12)
+    return report.model_rows(scored.where(~lost), list(naive.forecasts()))
+
+
 @query
 def backtest_naive(spark, folder):
     rows = _naive_forecasts(spark, folder).withColumn("year", F.year("cutoff"))
@@ -365,9 +435,9 @@ def _hw_best(spark: SparkSession, folder: str, cutoffs=(LAST,), **options) -> Da
 @query
 def param_grid(spark, folder):
     """Every series with every parameter set, counted per product."""
+    counts = _series(spark, folder).groupBy("Product").agg(F.count("*").alias("series"))
     sets = F.explode(smoothing.grid_column())
-    pairs = _series(spark, folder).select("Product", sets.alias("g")).select("Product", "g.*")
-    return pairs.groupBy("Product", *HW_PARAMS).agg(F.count("*").alias("series"))
+    return counts.select("Product", "series", sets.alias("g")).select("Product", "g.*", "series")
 
 
 @query
@@ -425,6 +495,33 @@ def predictions_roundtrip(spark, folder):
     return _round(report.rank_by(saved, ["model", "Product"]), 6, "mean_smape")
 
 
+@query
+def predictions_two_models(spark, folder):
+    """Models are saved one after the other, the last one twice; all of them are read back."""
+    path = shared_path(spark, "predictions")
+    scored = store.saved(_naive_forecasts(spark, folder), shared_path(spark, "scored"))
+    for model in [*naive.forecasts(), list(naive.forecasts())[-1]]:
+        store.write_predictions(scored.where(F.col("model") == model), path)
+    saved = store.read_predictions(spark, path)
+    means = saved.groupBy("year", "model").agg(
+        F.avg("smape").alias("mean_smape"), F.count("*").alias("n")
+    )
+    return _round(means, 6, "mean_smape")
+
+
+@query
+def params_by_part(spark, folder):
+    """Parameters of one product after the other, and of one cutoff again; none is lost."""
+    path = shared_path(spark, "best-params")
+    tuned = store.saved(_hw_best(spark, folder, CUTOFFS), shared_path(spark, "tuned"))
+    best = store.best_params(tuned, HW_PARAMS)
+    first = F.col("Product") < "F"
+    for part in (best.where(first), best.where(~first), best.where(F.year("cutoff") == 1999)):
+        store.write_params(part, path)
+    saved = store.read_params(spark, path, model="tes")
+    return saved.groupBy("cutoff", "Product").agg(F.count("*").alias("n"))
+
+
 @query
 def backtest_hw(spark, folder):
     rows = report.score(P.forecast_rows(_hw_best(spark, folder, CUTOFFS)))

@@ -69,20 +69,32 @@ def _rolls(window: str) -> str:
     return ", ".join(columns)
 
 
-def _ewm_sql(partition: str, order: str) -> str:
+# Every series with one row per month; every seventh month has no value.
+_GAPPY = f"""{_PANEL}, gappy AS (
+  SELECT k."Country", k."Product", m."Time",
+         CASE WHEN (12 * year(m."Time") + month(m."Time")) % 7 <> 3 THEN p."Import" END AS "Import"
+  FROM (SELECT DISTINCT "Country", "Product" FROM panel) k
+  CROSS JOIN (SELECT CAST(m AS DATE) AS "Time" FROM
+    generate_series(DATE '1995-01-01', DATE '2000-12-01', INTERVAL 1 MONTH) AS g(m)) m
+  LEFT JOIN panel p ON p."Country" = k."Country" AND p."Product" = k."Product"
+    AND p."Time" = m."Time")"""
+
+
+def _ewm_sql(partition: str, order: str, base: str = _COMPLETE, rows: str = "complete") -> str:
     """CTE ``means``: unlagged means from the list of all earlier values, newest first."""
     columns = []
     for a in ALPHAS:
         weight = f"pow({1 - a!r}, i - 1)"
         columns.append(
             f"list_sum([{weight} * past[i] for i in range(1, len(past) + 1)])"
-            f" / list_sum([{weight} for i in range(1, len(past) + 1)]) AS e{_tag(a)}"
+            f" / list_sum([CASE WHEN past[i] IS NOT NULL THEN {weight} END"
+            f" for i in range(1, len(past) + 1)]) AS e{_tag(a)}"
         )
-    return f"""{_COMPLETE}, pasts AS (
+    return f"""{base}, pasts AS (
       SELECT "Country", "Product", "Time", "Import",
              list_reverse(list("Import") OVER (PARTITION BY {partition} ORDER BY {order}
                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS past
-      FROM complete),
+      FROM {rows}),
     means AS (SELECT "Country", "Product", "Time", "Import", {", ".join(columns)} FROM pasts)"""
 
 
@@ -173,11 +185,17 @@ def _ar_rows(p: int, d: int, sp: int, sd: int) -> str:
 _BY_SERIES = '(PARTITION BY "Country", "Product" ORDER BY "Time")'
 _BY_COUNTRY = '(PARTITION BY "Country" ORDER BY "Product", "Time")'
 _EWM = ", ".join(f'round(e{_tag(a)}, 2) AS "Import_ewm_alpha_{_tag(a)}"' for a in ALPHAS)
-_EWM_LAGS = ", ".join(
-    f'round(lag(e{_tag(a)}, {k}) OVER {_BY_SERIES}, 2) AS "Import_ewm_alpha_{_tag(a)}_lag_{k}"'
-    for a in ALPHAS
-    for k in EWM_LAGS
-)
+
+
+def _ewm_lags(window: str) -> str:
+    return ", ".join(
+        f'round(lag(e{_tag(a)}, {k}) OVER {window}, 2) AS "Import_ewm_alpha_{_tag(a)}_lag_{k}"'
+        for a in ALPHAS
+        for k in EWM_LAGS
+    )
+
+
+_EWM_LAGS = _ewm_lags(_BY_SERIES)
 _NATIONS = [f"NATION_{i}" for i in range(25)]
 _SEGMENTS = "AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY".split()
 
@@ -199,15 +217,15 @@ def oracle_sql() -> dict[str, str]:
         SELECT "Country", "Product", CAST(72 - COUNT("Import") FILTER (
           WHERE "Time" >= DATE '1995-01-01' AND "Time" < DATE '2001-01-01') AS INTEGER) AS missing
         FROM panel_all GROUP BY 1, 2 HAVING missing > 0"""
-    q["offset_shift"] = f"""WITH {_PANEL}
-        SELECT "Country", "Product", "Time", "Import" + 1.0 AS "Import" FROM panel"""
-    q["select_countries"] = f"""WITH {_PANEL} SELECT * FROM panel
+    q["offset_shift"] = f"""WITH {_PANEL_ALL}
+        SELECT "Country", "Product", "Time", "Import" + 1.0 AS "Import" FROM panel_all"""
+    q["select_countries"] = f"""WITH {_PANEL_ALL} SELECT * FROM panel_all
         WHERE "Country" IN ('NATION_2', 'NATION_3', 'NATION_11')"""
-    q["date_parts"] = f"""WITH {_PANEL} SELECT *, CAST(month("Time") AS INTEGER) AS month,
-        CAST(year("Time") AS INTEGER) AS year FROM panel"""
-    q["split_counts"] = f"""WITH {_PANEL} SELECT "Product",
+    q["date_parts"] = f"""WITH {_PANEL_ALL} SELECT *, CAST(month("Time") AS INTEGER) AS month,
+        CAST(year("Time") AS INTEGER) AS year FROM panel_all"""
+    q["split_counts"] = f"""WITH {_PANEL_ALL} SELECT "Product",
         CASE WHEN "Time" < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split, COUNT(*) AS n
-        FROM panel GROUP BY 1, 2"""
+        FROM panel_all GROUP BY 1, 2"""
     q["series_status"] = f"""WITH {_PANEL},
         cuts AS (SELECT unnest([DATE '1999-01-01', DATE '2000-01-01']) AS cutoff),
         counts AS (
@@ -224,19 +242,20 @@ def oracle_sql() -> dict[str, str]:
         SELECT * REPLACE (round("Import" - lag("Import", 12) OVER {_BY_SERIES}, 2) AS "Import")
         FROM first_diff"""
 
-    q["wide_unpivot"] = f"""WITH {_PANEL}, months AS (
+    q["wide_unpivot"] = f"""WITH {_PANEL_ALL}, months AS (
         SELECT CAST(m AS DATE) AS "Time" FROM
-        generate_series(DATE '1995-01-01', DATE '2000-12-01', INTERVAL 1 MONTH) AS g(m))
+        generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH) AS g(m))
         SELECT k."Country", k."Product", m."Time", p."Import"
-        FROM (SELECT DISTINCT "Country", "Product" FROM panel) k CROSS JOIN months m
-        LEFT JOIN panel p ON p."Country" = k."Country" AND p."Product" = k."Product"
+        FROM (SELECT DISTINCT "Country", "Product" FROM panel_all) k CROSS JOIN months m
+        LEFT JOIN panel_all p ON p."Country" = k."Country" AND p."Product" = k."Product"
         AND p."Time" = m."Time" """
-    q["header_parse"] = f"""WITH {_PANEL} SELECT strftime("Time", '%Y-M%m') AS "Label",
-        "Time" AS parsed, COUNT(*) AS n FROM panel GROUP BY 1, 2"""
-    q["wide_join"] = f"""WITH {_PANEL} SELECT * FROM panel
-        QUALIFY COUNT(DISTINCT year("Time")) OVER (PARTITION BY "Country", "Product") = 6"""
-    q["wide_conflicts"] = f"""WITH {_PANEL} SELECT "Product", "Country", "Time", "Import" AS low,
-        "Import" + 1.0 AS high FROM panel WHERE "Time" = DATE '1997-06-01'"""
+    q["header_parse"] = f"""WITH {_PANEL_ALL} SELECT strftime("Time", '%Y-M%m') AS "Label",
+        "Time" AS parsed, COUNT(*) AS n FROM panel_all GROUP BY 1, 2"""
+    q["wide_join"] = f"""WITH {_PANEL_ALL} SELECT * FROM panel_all
+        QUALIFY COUNT(DISTINCT year("Time")) OVER (PARTITION BY "Country", "Product") = 7"""
+    q["wide_join_parquet"] = q["wide_join"]
+    q["wide_conflicts"] = f"""WITH {_PANEL_ALL} SELECT "Product", "Country", "Time", "Import" AS low,
+        "Import" + 1.0 AS high FROM panel_all WHERE month("Time") = 6"""
 
     q["lag_features"] = f"WITH {_COMPLETE} SELECT *, {_lags(_BY_SERIES)} FROM complete"
     q["lag_features_country_only"] = (
@@ -254,16 +273,28 @@ def oracle_sql() -> dict[str, str]:
     q["feature_frame"] = f"""WITH {_ewm_sql('"Country", "Product"', '"Time"')}
         SELECT {keys}, {_lags(_BY_SERIES)}, {_rolls(_BY_SERIES)}, {_EWM_LAGS},
         CAST(month("Time") AS INTEGER) AS month, CAST(year("Time") AS INTEGER) AS year FROM means"""
+    gaps = _ewm_sql('"Country", "Product"', '"Time"', _GAPPY, "gappy")
+    q["ewm_gaps"] = f"WITH {gaps} SELECT {keys}, {_EWM} FROM means"
+    across = _ewm_sql('"Country"', '"Product", "Time"', _GAPPY, "gappy")
+    q["ewm_gaps_country_only"] = f"WITH {across} SELECT {keys}, {_EWM} FROM means"
+    parts = """CAST(month("Time") AS INTEGER) AS month, CAST(year("Time") AS INTEGER) AS year"""
+    q["feature_frame_gaps"] = f"""WITH {gaps} SELECT {keys}, {_lags(_BY_SERIES)},
+        {_rolls(_BY_SERIES)}, {_EWM_LAGS}, {parts} FROM means"""
+    whole = _ewm_sql('"Country"', '"Product", "Time"')
+    q["ewm_lags_country_only"] = f"""WITH {whole} SELECT {keys}, {_ewm_lags(_BY_COUNTRY)}
+        FROM means"""
+    q["feature_frame_country_only"] = f"""WITH {whole} SELECT {keys}, {_lags(_BY_COUNTRY)},
+        {_rolls(_BY_COUNTRY)}, {_ewm_lags(_BY_COUNTRY)}, {parts} FROM means"""
     flags = [("Country", n) for n in _NATIONS] + [("Product", s) for s in _SEGMENTS]
     dummies = ", ".join(
         f"CASE WHEN \"{c}\" = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, v in flags
     )
-    q["one_hot"] = f'WITH {_PANEL} SELECT "Time", "Import", {dummies} FROM panel'
+    q["one_hot"] = f'WITH {_PANEL_ALL} SELECT "Time", "Import", {dummies} FROM panel_all'
     cleaned = ", ".join(
         f"COUNT(*) FILTER (WHERE \"{c}\" = '{v}') AS \"{c}_{v}\""
         for c, v in flags
     )
-    q["clean_names"] = f"WITH {_PANEL} SELECT {cleaned} FROM panel"
+    q["clean_names"] = f"WITH {_PANEL_ALL} SELECT {cleaned} FROM panel_all"
     q["log_target"] = f"""WITH {_COMPLETE} SELECT "Country", "Product", "Time",
         round(ln(1 + "Import"), 6) AS logged, round(exp(ln(1 + "Import")) - 1, 2) AS back
         FROM complete"""
@@ -271,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         f'coalesce(lag("Import", {k}) OVER {_BY_SERIES}, 0.0) AS "Import_lag_{k}"' for k in LAGS
     )
     q["fill_zero"] = f"WITH {_COMPLETE} SELECT *, {filled} FROM complete"
-    q["jitter_scale"] = f'WITH {_PANEL} SELECT round(avg("Import") / 20) AS scale FROM panel'
+    q["jitter_scale"] = f'WITH {_PANEL_ALL} SELECT round(avg("Import") / 20) AS scale FROM panel_all'
 
     one = 'SELECT "Country", "Product", cutoff, "Time", model, {pred} AS pred, real FROM forecasts'
     for name, model, pred in (
@@ -306,8 +337,12 @@ def oracle_sql() -> dict[str, str]:
         f"round(max(smape) FILTER (WHERE model = '{m}'), 6) AS \"{m.upper()}_smape\""
         for m in models
     )
-    q["scored_wide"] = f"""WITH {_NAIVE} SELECT "Country", "Product", "Time",
-        max(real) AS "Import", {cells} FROM scored GROUP BY 1, 2, 3"""
+    q["scored_wide"] = f"""WITH {_NAIVE} SELECT "Country", "Product", "Time", cutoff,
+        max(real) AS "Import", {cells} FROM scored GROUP BY 1, 2, 3, 4"""
+    q["scored_wide_overlap"] = q["scored_wide"].replace("DATE '1999-01-01'", "DATE '1999-07-01'")
+    counted = f"""WITH {_NAIVE} SELECT model, COUNT(*) FILTER (
+        NOT (model = 'random_walk' AND month("Time") = 12)) AS n FROM scored GROUP BY model"""
+    q["model_rows"] = f"SELECT *, max(n) OVER () - n AS missing FROM ({counted})"
     q["backtest_naive"] = f"""WITH {_NAIVE} SELECT CAST(year(cutoff) AS INTEGER) AS year, model,
         round(avg(smape), 6) AS mean_smape, COUNT(*) AS n FROM scored GROUP BY 1, 2"""
 
@@ -336,6 +371,10 @@ def oracle_sql() -> dict[str, str]:
     q["params_roundtrip"] = f"WITH {_hw(_HW_GRID, both)} {rounded}"
     q["predictions_roundtrip"] = f"""WITH {_NAIVE} SELECT model, "Product",
         round(avg(smape), 6) AS mean_smape FROM scored WHERE year("Time") = 1999 GROUP BY 1, 2"""
+    q["predictions_two_models"] = f"""WITH {_NAIVE} SELECT CAST(year("Time") AS INTEGER) AS year,
+        model, round(avg(smape), 6) AS mean_smape, COUNT(*) AS n FROM scored GROUP BY 1, 2"""
+    q["params_by_part"] = f"""WITH {_SERIES_OK} SELECT DISTINCT cutoff, "Product",
+        COUNT(DISTINCT "Country") AS n FROM history GROUP BY 1, 2"""
     q["backtest_hw"] = f"""WITH {_hw(_HW_GRID, both)} SELECT CAST(year(cutoff) AS INTEGER) AS year,
         "Product", round(avg(200.0 * abs(pred - real) / (abs(pred) + abs(real))), 5) AS mean_smape,
         COUNT(*) AS n FROM best_rows GROUP BY 1, 2"""

@@ -79,13 +79,27 @@ def parameter_frequency(best: DataFrame, params: Sequence[str]) -> DataFrame:
 
 
 def scored_wide(scored: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """One row per series and month: real value, then prediction and error of each model.
+    """One row per series, cutoff and month: real value, then each model's prediction and error.
 
-    Models are matched by key in one aggregation, in place of a chain of joins.
+    Models are matched by key in one aggregation, in place of a chain of joins. Forecasts without a
+    cutoff have one row per month.
     """
     cells = [F.max("real").alias("Import")]
     for m in models:
         mine = F.col("model") == m
         cells.append(F.max(F.when(mine, F.col("pred"))).alias(m))
         cells.append(F.max(F.when(mine, F.col("smape"))).alias(f"{m.upper()}_smape"))
-    return scored.groupBy(*FORECAST_KEYS).agg(*cells)
+    keys = [*FORECAST_KEYS, *(["cutoff"] if "cutoff" in scored.columns else [])]
+    return scored.groupBy(*keys).agg(*cells)
+
+
+def model_rows(scored: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+    """Forecast rows of each model, and how many the fullest model has more: a model that lost rows
+    shows as NULL cells only in the wide table."""
+    counted = scored.agg(*[F.count_if(F.col("model") == m).alias(m) for m in models])
+    most = F.greatest(*[F.col(m) for m in models], F.lit(0))
+    rows = [
+        F.struct(F.lit(m).alias("model"), F.col(m).alias("n"), (most - F.col(m)).alias("missing"))
+        for m in models
+    ]
+    return counted.select(F.inline(F.array(*rows)))
