@@ -23,8 +23,6 @@ GRID = tuple(product((0, 1), repeat=6))
 
 # A factor has order one at most, so |coefficient| < 1 is stationarity and invertibility.
 BOUND = 0.99
-# Values an order needs beyond those that differencing and conditioning use up.
-SPARE = 8
 MAX_STEPS = 80
 STARTS = (0.0, 0.4)
 TOLERANCE = 1e-8
@@ -151,7 +149,8 @@ def fit_orders(
     p, d, q, sp, sd, sq = np.array(orders).T
     gone = d + PERIOD * sd
     first = gone + p + PERIOD * sp
-    enough = n - first >= SPARE
+    # more residuals than coefficients
+    enough = n - first > p + q + sp + sq
     preds = np.full((n_series, len(orders), horizon), np.nan)
     coefs = np.full((n_series, len(orders), 4), np.nan)
     if not enough.any():

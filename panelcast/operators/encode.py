@@ -22,14 +22,19 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def category_levels(
-    df: DataFrame, columns: Sequence[str], max_levels: int = 1000
+    df: DataFrame, columns: Sequence[str], max_levels: int | None = None
 ) -> dict[str, list[str]]:
-    """Sorted distinct values per column. Refuses columns that are no categories."""
+    """Sorted distinct values per column, each of which becomes a column of the result.
+
+    With ``max_levels``, refuses columns of more levels. A regressor's many levels are better
+    served by the sparse encoder of ``learn.assemble``.
+    """
     levels = {}
     for column in columns:
-        rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1)
+        rows = df.select(column).where(F.col(column).isNotNull()).distinct()
+        rows = rows if max_levels is None else rows.limit(max_levels + 1)
         values = sorted(r[0] for r in rows.collect())
-        if len(values) > max_levels:
+        if max_levels is not None and len(values) > max_levels:
             raise ValueError(f"{column} has more than {max_levels} levels; index it instead")
         levels[column] = values
     return levels

@@ -33,6 +33,8 @@ SEED = 4
 
 # Groups that partial gradients are summed in before the last sum.
 FAN_IN = 64
+# Steps of a training run, the same for the search and for the model that is used.
+MAX_ITER = 100
 HISTORY = 10
 
 
@@ -87,7 +89,7 @@ def _penalised(flat, shapes) -> np.ndarray:
 
 
 def total_gradients(
-    data: DataFrame, jobs: dict[int, tuple], many_parts: bool = True
+    data: DataFrame, jobs: dict[int, tuple]
 ) -> dict[int, tuple]:
     """One pass: rows used, summed loss and gradient of every job (weights, shapes, left-out fold).
 
@@ -119,7 +121,7 @@ def total_gradients(
         array_to_vector("grad").alias("grad"),
         (F.spark_partition_id() % FAN_IN).alias("part"),
     )
-    for keys in (["job", "part"], ["job"]) if many_parts else (["job"],):
+    for keys in (["job", "part"], ["job"]):
         vectors = vectors.groupBy(*keys).agg(
             F.sum("n").alias("n"),
             F.sum("loss").alias("loss"),
@@ -180,10 +182,9 @@ def train_networks(
     }
     points = {k: next(run) for k, run in runs.items()}
     done: dict[int, tuple[np.ndarray, list]] = {}
-    many_parts = data.rdd.getNumPartitions() > FAN_IN
     while points:
         jobs = {k: (x, shapes[k], settings[k].get("left_out", -1)) for k, x in points.items()}
-        sums = total_gradients(data, jobs, many_parts)
+        sums = total_gradients(data, jobs)
         following = {}
         for k, x in points.items():
             n, loss, grad = sums[k]
@@ -222,8 +223,15 @@ def _inputs(arrays: DataFrame) -> DataFrame:
     return arrays.where("NOT is_test").select("x", "label", "fold").persist()
 
 
+def _r2(rss: float | None, tss: float | None) -> float:
+    """R2 of a fold: of a constant one, 1 if it is hit and else 0; NaN of an empty one."""
+    if rss is None or tss is None:
+        return float("nan")
+    return 1.0 - rss / tss if tss else float(rss == 0)
+
+
 def tune_mlp(
-    vectors: DataFrame, grid: dict | None = None, folds: int = 5, max_iter: int = 200
+    vectors: DataFrame, grid: dict | None = None, folds: int = 5, max_iter: int = MAX_ITER
 ) -> DataFrame:
     """Grid search by mean R2 over the folds, all candidates and folds trained in step."""
     spark = vectors.sparkSession
@@ -242,9 +250,10 @@ def tune_mlp(
             F.sum((F.col("label") - F.col("prediction")) ** 2).alias("rss"),
             (F.var_pop("label") * F.count("*")).alias("tss"),
         ).first()
-        r2[key // folds, key % folds] = 1.0 - row.rss / row.tss
+        r2[key // folds, key % folds] = _r2(row.rss, row.tss)
     data.unpersist()
-    scores = r2.mean(axis=1)
+    # an empty fold has no score, and no say
+    scores = np.nan_to_num(np.ma.masked_invalid(r2).mean(axis=1).filled(-np.inf), neginf=-np.inf)
     rows = [
         ("mlp", {k: str(v) for k, v in combo.items()}, float(scores[i]), i == int(scores.argmax()))
         for i, combo in enumerate(combos)
@@ -254,7 +263,7 @@ def tune_mlp(
     )
 
 
-def forecast_mlp(vectors: DataFrame, params: dict | None = None, max_iter: int = 60) -> DataFrame:
+def forecast_mlp(vectors: DataFrame, params: dict | None = None, max_iter: int = MAX_ITER) -> DataFrame:
     """Train on the rows before the cutoff, forecast the test rows on the original scale."""
     arrays, n_inputs = _scaled(vectors)
     data = _inputs(arrays)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import add_months, as_date
 from panelcast.operators import arima, learn, mlp, smoothing
-from panelcast.operators.panel import complete_series, forecast_rows, split_series
+from panelcast.operators.panel import KEYS, complete_series, forecast_rows, split_series
 from panelcast.plans.report import score
+from panelcast.session import shared_path
+from panelcast.sources import store
 
 HORIZON = 12
 
@@ -41,21 +43,42 @@ def backtest_series(
     return score(reduce(DataFrame.unionByName, rows))
 
 
+def _searched(vectors: DataFrame, model: str, grid, cutoff, path: str) -> dict:
+    """Search, save the winner, and give back what was saved."""
+    search = mlp.tune_mlp(vectors, grid) if model == "mlp" else learn.tune_regressor(vectors, model, grid)
+    store.write_params(store.best_regressor_params(search, cutoff), path)
+    rows = store.read_params(vectors.sparkSession, path, model)
+    return learn.best_settings(rows.where(F.col("cutoff") == F.lit(as_date(cutoff))))
+
+
 def backtest_regressors(
     panel: DataFrame,
     start,
     cutoffs: Sequence,
     models: Sequence[str] = ("lgbm", "rf", "mlp", "gbm", "xgb", "catb"),
     params: Mapping[str, Mapping] | None = None,
+    grids: Mapping[str, Mapping] | None = None,
+    keys: Sequence[str] = KEYS,
+    order: Sequence[str] = ("Time",),
+    saved: str | None = None,
 ) -> DataFrame:
-    """Scored one-step forecasts of the regressors. Features are built once per cutoff."""
+    """Scored one-step forecasts of the regressors. Features are built once per cutoff.
+
+    A model with an entry in ``grids`` is searched on the folds of the training rows (None: its full
+    grid). The winner is saved below ``saved``, read back, and refitted on all training rows.
+    """
     parts = []
+    if grids and saved is None:
+        saved = shared_path(panel.sparkSession, "regressor-params")
     for cutoff in cutoffs:
         end = add_months(as_date(cutoff), HORIZON)
-        frame = learn.training_frame(complete_series(panel, start, end), cutoff)
+        complete = complete_series(panel, start, end)
+        frame = learn.training_frame(complete, cutoff, keys=keys, order=order)
         vectors = learn.assemble(frame)
         for model in models:
             settings = (params or {}).get(model)
+            if model in (grids or {}):
+                settings = _searched(vectors, model, grids[model], cutoff, saved)
             if model == "mlp":
                 forecast = mlp.forecast_mlp(vectors, settings)
             else:

@@ -567,12 +567,33 @@ def arima_seasonal_ar(spark, folder):
 @query
 def arima_ar_grid_best(spark, folder):
     """Search over the orders whose fit is one least-squares quotient."""
-    orders = [o for o in arima.GRID if o[2] == o[5] == 0 and o[0] + o[3] <= 1]
-    best = arima.tune_arima(_series(spark, folder), orders)
+    best = arima.tune_arima(_series(spark, folder), AR_ORDERS)
     kept = best.select("Country", "Product", *arima.ORDER_COLUMNS, "mae", "status")
     return _round(kept, 2, "mae")
 
 
+AR_ORDERS = [o for o in arima.GRID if o[2] == o[5] == 0 and o[0] + o[3] <= 1]
+
+
+@query
+def arima_params_roundtrip(spark, folder):
+    """Search the orders of both years, save them, read them back and refit from them."""
+    path = shared_path(spark, "best-orders")
+    tuned = arima.tune_arima(_series(spark, folder, CUTOFFS), AR_ORDERS)
+    store.write_params(store.best_params(tuned, arima.ORDER_COLUMNS), path)
+    saved = store.read_params(spark, path, model="sarima")
+    series = store.with_params(
+        _series(spark, folder, CUTOFFS), saved, "sarima", arima.ORDER_COLUMNS, "int"
+    )
+    return _round(P.forecast_rows(arima.forecast_arima(series)), 2, "pred")
+
+
+@query
+def arima_param_freq(spark, folder):
+    tuned = arima.tune_arima(_series(spark, folder), AR_ORDERS)
+    return report.parameter_frequency(tuned, arima.ORDER_COLUMNS)
+
+
 @query
 def arima_grid_best(spark, folder):
     best = arima.tune_arima(_series(spark, folder))
@@ -647,6 +668,18 @@ def regressor_search(spark, folder):
     return learn.tune_regressor(_vectors(spark, folder), "rf", grid)
 
 
+@query
+def regressor_pipeline(spark, folder):
+    """Search, save, reload, refit and forecast, for both years; grids of two candidates each."""
+    panel = P.offset_values(_panel(spark, folder))
+    grids = {
+        "rf": {"maxDepth": [5, 10], "numTrees": [10]},
+        "mlp": {"alpha": [0.1, 0.01], "hidden": [(16, 8)]},
+    }
+    scored = backtest.backtest_regressors(panel, START, CUTOFFS, ("rf", "mlp"), grids=grids)
+    return report.rank_products(scored)
+
+
 @query
 def mlp_search(spark, folder):
     grid = {"alpha": [0.1, 0.01], "hidden": [(16, 8)]}

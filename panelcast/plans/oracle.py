@@ -142,13 +142,13 @@ _AR_ORDERS = """SELECT p, d, 0 AS q, sp, sd, 0 AS sq
        (SELECT unnest([0, 1]) AS sd) WHERE p + sp <= 1"""
 
 
-def _ar(orders: str) -> str:
+def _ar(orders: str, cutoffs: str = "DATE '2000-01-01'") -> str:
     """CTE ``ar_fits``: forecast and error of every series and order."""
     return f"""{_SERIES_OK}, orders_ AS ({orders}),
 ys AS (
   SELECT "Country", "Product", cutoff, list("Import" ORDER BY "Time") FILTER (WHERE is_train) AS y,
          list("Import" ORDER BY "Time") FILTER (WHERE NOT is_train) AS actual
-  FROM history WHERE cutoff = DATE '2000-01-01' GROUP BY 1, 2, 3),
+  FROM history WHERE cutoff IN ({cutoffs}) GROUP BY 1, 2, 3),
 seasonal AS (
   SELECT *, CASE WHEN sd = 1 THEN [y[i] - y[i - 12] for i in range(13, len(y) + 1)] ELSE y END AS u
   FROM ys, orders_),
@@ -366,8 +366,8 @@ def oracle_sql() -> dict[str, str]:
         FROM fits f JOIN best c ON c."Country" = f."Country" AND c."Product" = f."Product"
          AND c.a = f.a AND c.b = f.b AND c.g = f.g AND c.cutoff = DATE '1999-01-01',
         (SELECT unnest(range(1, 13)) AS i) WHERE f.cutoff = {last}"""
-    q["param_freq"] = f"""WITH {_hw(_HW_GRID, last)} SELECT {named}, COUNT(*) AS wins
-        FROM best GROUP BY 1, 2, 3"""
+    q["param_freq"] = f"""WITH {_hw(_HW_GRID, last)} SELECT {named}, COUNT(*) AS wins,
+        CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total FROM best GROUP BY 1, 2, 3"""
     q["params_roundtrip"] = f"WITH {_hw(_HW_GRID, both)} {rounded}"
     q["predictions_roundtrip"] = f"""WITH {_NAIVE} SELECT model, "Product",
         round(avg(smape), 6) AS mean_smape FROM scored WHERE year("Time") = 1999 GROUP BY 1, 2"""
@@ -389,6 +389,16 @@ def oracle_sql() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY "Country", "Product"
                                    ORDER BY mae, p, d, q, sp, sd, sq) = 1"""
 
+    winner = """QUALIFY row_number() OVER (PARTITION BY "Country", "Product", cutoff
+        ORDER BY mae, p, d, q, sp, sd, sq) = 1"""
+    q["arima_params_roundtrip"] = f"""WITH {_ar(_AR_ORDERS, both)},
+        chosen AS (SELECT * FROM ar_fits {winner})
+        SELECT "Country", "Product", cutoff, CAST(cutoff + to_months(CAST(i - 1 AS INTEGER)) AS DATE)
+        AS "Time", 'sarima' AS model, round(pred[i], 2) AS pred, actual[i] AS real
+        FROM chosen, (SELECT unnest(range(1, 13)) AS i)"""
+    q["arima_param_freq"] = f"""WITH {_ar(_AR_ORDERS)}, chosen AS (SELECT * FROM ar_fits {winner})
+        SELECT p, d, q, sp, sd, sq, COUNT(*) AS wins, CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total
+        FROM chosen GROUP BY 1, 2, 3, 4, 5, 6"""
     q["fold_sizes"] = f"""WITH {_COMPLETE} SELECT CAST(fold AS INTEGER) AS fold, "Product",
         COUNT(*) AS n FROM (SELECT "Product", ntile(5) OVER (ORDER BY "Product", "Country", "Time")
         - 1 AS fold FROM complete WHERE "Time" < {last}) GROUP BY 1, 2"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.metrics import mae, smape
@@ -74,8 +74,12 @@ def leaderboard(
 
 
 def parameter_frequency(best: DataFrame, params: Sequence[str]) -> DataFrame:
-    """How often each parameter combination won."""
-    return best.groupBy(*params).agg(F.count("*").alias("wins"))
+    """How often each parameter combination won, and of how many wins in all.
+
+    The frequencies are one row per combination of a fixed grid, so their total is a small window.
+    """
+    wins = best.groupBy(*params).agg(F.count("*").alias("wins"))
+    return wins.withColumn("total", F.sum("wins").over(Window.partitionBy(F.lit(0))))
 
 
 def scored_wide(scored: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
