@@ -302,7 +302,8 @@ class Encoder:
             elif not self.model.by_word:
                 words = [text]
             else:
-                words = _RUNS.findall(" " + text) if "  " in text else text.split(" ")
+                runs = "  " in text or text[0] == " "
+                words = _RUNS.findall(" " + text) if runs else text.split(" ")
             picks.append(np.fromiter(map(look, words), np.int64, len(words)))
         if len(self.seen) > known:
             self._learn(list(self.seen)[known:])
