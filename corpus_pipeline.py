@@ -44,10 +44,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of the pieces and their number; documents that lose text by it stay flagged."""
+    """Adds the ids of the pieces and their number, and whether they decode to the text again."""
     model = pieces.load_pieces(VOCABULARY)
-    read = pieces.decode_documents(pieces.encode_documents(docs, model), model)
-    return read.withColumn("round_trip", F.col("decoded") == F.col("text")).drop("decoded")
+    return pieces.encode_documents(docs, model, check=True).drop("decoded_sha256")
 
 
 STAGES = [

@@ -8,6 +8,7 @@ pieces is served by the same search over whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     IntegerType,
     LongType,
     StringType,
@@ -31,7 +33,7 @@ from panelcast.session import ship_package
 
 MARK = "▁"
 #: Words that a worker remembers, and words that are segmented in step.
-MEMORY, LANES = 300_000, 4096
+MEMORY, LANES = 150_000, 4096
 #: Bytes beyond which a word is segmented on its own.
 LONG_WORD = 256
 #: Fixed value: what an unknown character costs beyond the lowest score.
@@ -335,21 +337,33 @@ def decode(model: Pieces, ids: np.ndarray, starts: np.ndarray) -> list[str]:
     return out
 
 
-_WORKER: dict[int, Encoder] = {}
+_WORKER: list[Encoder] = []
 
 
-def _encode(model, at: int, batches: _Batches) -> _Batches:
-    encoder = _WORKER.setdefault(id(model.value), Encoder(model.value))
+def _encoder(model: Pieces) -> Encoder:
+    """The worker's encoder: kept for the next tasks of a model, never one per model."""
+    if not _WORKER or _WORKER[0].model is not model:
+        _WORKER[:] = [Encoder(model)]
+    return _WORKER[0]
+
+
+def _encode(model, at: int, check: bool, batches: _Batches) -> _Batches:
+    encoder = _encoder(model.value)
     for batch in batches:
         for first, end, data, offsets in text_blocks(batch.column(at)):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
             ids, starts = encoder.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+            added = {"n_pieces": pa.array(np.diff(starts), pa.int64()), "ids": lists}
+            if check:
+                back = decode(model.value, ids, starts)
+                hashes = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+                added["decoded_sha256"] = pa.array(hashes, pa.string())
+                added["round_trip"] = pa.array([a == b for a, b in zip(back, texts)], pa.bool_())
             part = batch.slice(first, end - first)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(np.diff(starts), pa.int64()), lists],
-                [*batch.schema.names, "n_pieces", "ids"],
+                [*part.columns, *added.values()], [*batch.schema.names, *added]
             )
 
 
@@ -367,15 +381,22 @@ def _decode(model, at: int, batches: _Batches) -> _Batches:
             )
 
 
-def encode_documents(docs: DataFrame, model: Pieces, text_col: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model: Pieces, text_col: str = "text", check: bool = False
+) -> DataFrame:
     """``docs`` with ``ids`` and ``n_pieces``; columns of these names are replaced. Null and empty
-    texts have no ids. A literal whitespace marker in a text counts as a space."""
+    texts have no ids. A literal whitespace marker in a text counts as a space.
+
+    With ``check`` the ids are decoded again at once: ``decoded_sha256``, and ``round_trip``, whether
+    the text came back. One pass does both, and no decoded text leaves the worker."""
     ship_package(docs.sparkSession)
-    rows = docs.drop("n_pieces", "ids")
+    rows = docs.drop("n_pieces", "ids", *(["decoded_sha256", "round_trip"] if check else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [StructField("n_pieces", LongType()), StructField("ids", ArrayType(IntegerType()))]
+    if check:
+        added += [StructField("decoded_sha256", StringType()), StructField("round_trip", BooleanType())]
     schema = StructType([*rows.schema.fields, *added])
-    return rows.mapInArrow(partial(_encode, shared, rows.columns.index(text_col)), schema)
+    return rows.mapInArrow(partial(_encode, shared, rows.columns.index(text_col), check), schema)
 
 
 def decode_documents(rows: DataFrame, model: Pieces, ids_col: str = "ids") -> DataFrame:
