@@ -34,7 +34,7 @@ SEED = 4
 # Groups that partial gradients are summed in before the last sum.
 FAN_IN = 64
 # Steps of a training run, the same for the search and for the model that is used.
-MAX_ITER = 100
+MAX_ITER = 60
 HISTORY = 10
 
 
@@ -88,21 +88,20 @@ def _penalised(flat, shapes) -> np.ndarray:
     return flat * np.concatenate(mask)
 
 
-def total_gradients(
-    data: DataFrame, jobs: dict[int, tuple]
-) -> dict[int, tuple]:
+def total_gradients(data: DataFrame, jobs: dict[int, tuple]) -> dict[int, tuple]:
     """One pass: rows used, summed loss and gradient of every job (weights, shapes, left-out fold).
 
-    Each partition emits one vector per job; these are summed in groups, then across groups. With
-    few partitions the groups are left out.
+    Each partition emits one vector per job; these are summed in groups, then across groups. The
+    weights travel as a broadcast variable that ends with the pass.
     """
+    shared = data.sparkSession.sparkContext.broadcast(jobs)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
             label, fold = batch["label"].to_numpy(), batch["fold"].to_numpy()
             x = batch["x"].flatten().to_numpy().reshape(len(label), -1)
-            for key, (flat, shapes, left_out) in jobs.items():
+            for key, (flat, shapes, left_out) in shared.value.items():
                 rows = slice(None) if left_out < 0 else fold != left_out
                 loss, grad = batch_gradient(x[rows], label[rows], flat, shapes)
                 old = sums.setdefault(key, [0, 0.0, np.zeros_like(flat)])
@@ -127,7 +126,11 @@ def total_gradients(
             F.sum("loss").alias("loss"),
             Summarizer.sum(F.col("grad")).alias("grad"),
         )
-    return {r.job: (r.n, r.loss, r.grad.toArray()) for r in vectors.collect()}
+    sums = {r.job: (r.n, r.loss, r.grad.toArray()) for r in vectors.collect()}
+    shared.destroy()
+    if missing := set(jobs) - set(sums):
+        raise ValueError(f"no training rows for the networks {sorted(missing)}")
+    return sums
 
 
 def lbfgs(x: np.ndarray, max_iter: int, tol: float = 1e-5) -> Generator:
