@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import add_months, as_date, parse_month
@@ -470,6 +471,22 @@ def hw_lsq(spark, folder):
     return report.score(P.forecast_rows(_hw_best(spark, folder, init="lsq")))
 
 
+@query
+def hw_lsq_exact(spark, folder):
+    """Series of the tables' own level, slope and months: every parameter set continues them."""
+    rows = _complete(spark, folder)
+    whole = Window.partitionBy("Country", "Product")
+    monthly = Window.partitionBy("Country", "Product", F.month("Time"))
+    t = F.months_between("Time", F.lit(as_date(START)))
+    value = (
+        F.round(F.avg("Import").over(whole))
+        + F.round(F.min("Import").over(whole) / 100) * t
+        + F.round(F.avg("Import").over(monthly) / 10)
+    )
+    series = P.split_series(rows.withColumn("Import", value), START, (LAST,)).where("status = 'ok'")
+    return _round(P.forecast_rows(smoothing.tune_holt_winters(series, init="lsq")), 2, "pred")
+
+
 @query
 def param_freq(spark, folder):
     return report.parameter_frequency(_hw_best(spark, folder), HW_PARAMS)
@@ -662,6 +679,27 @@ def mlp_forecast(spark, folder):
     return report.score(mlp.forecast_mlp(_vectors(spark, folder)))
 
 
+def _month_means(spark: SparkSession, folder: str, model: str, params: dict) -> DataFrame:
+    """One whole tree on the month alone: its forecast is the month's mean of logarithms."""
+    rows = encode.log_target(_complete(spark, folder).withColumn("real", F.col("Import")))
+    rows = rows.withColumnRenamed("Import", "label").withColumns(
+        {"month": F.month("Time"), "is_test": F.col("Time") >= F.lit(as_date(LAST))}
+    )
+    vectors = VectorAssembler(inputCols=["month"], outputCol="features").transform(rows)
+    whole = {"maxDepth": 12, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+    return _round(learn.forecast_regressor(vectors, model, {**whole, **params}), 2, "pred")
+
+
+@query
+def rf_month_means(spark, folder):
+    return _month_means(spark, folder, "rf", {"numTrees": 1, "bootstrap": False})
+
+
+@query
+def gbm_month_means(spark, folder):
+    return _month_means(spark, folder, "gbm", {"maxIter": 1})
+
+
 @query
 def regressor_search(spark, folder):
     grid = {"maxDepth": [5, 10], "numTrees": [10]}

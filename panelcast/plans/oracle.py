@@ -359,6 +359,19 @@ def oracle_sql() -> dict[str, str]:
         round(mae, 2) AS mae, 'ok' AS status FROM best"""
     q["hw_forecast"] = f"""WITH {_hw(_HW_GRID, last)} SELECT * REPLACE (round(pred, 2) AS pred),
         round(200.0 * abs(pred - real) / (abs(pred) + abs(real)), 5) AS smape FROM best_rows"""
+    by_month = 'PARTITION BY "Country", "Product", month("Time")'
+    q["hw_lsq_exact"] = f"""WITH {_COMPLETE}, exact AS (SELECT "Country", "Product", "Time",
+          round(avg("Import") OVER whole) + round(min("Import") OVER whole / 100)
+          * date_diff('month', DATE '1995-01-01', "Time") + round(avg("Import") OVER ({by_month}) / 10)
+          AS value FROM complete WINDOW whole AS (PARTITION BY "Country", "Product"))
+        SELECT "Country", "Product", {last} AS cutoff, "Time", 'tes' AS model, value AS pred,
+        value AS real FROM exact WHERE "Time" >= {last}"""
+    for model in ("rf", "gbm"):
+        q[f"{model}_month_means"] = f"""WITH {_COMPLETE}, means AS (
+            SELECT month("Time") AS m, exp(avg(ln(1 + "Import"))) - 1 AS pred FROM complete
+            WHERE "Time" < {last} GROUP BY 1)
+            SELECT "Country", "Product", "Time", '{model}' AS model, round(pred, 2) AS pred,
+            "Import" AS real FROM complete JOIN means ON m = month("Time") WHERE "Time" >= {last}"""
     # Parameters chosen on 1999 forecast 2000, for series complete up to the end of 2000.
     q["hw_validation"] = f"""WITH {_hw(_HW_GRID, both)} SELECT f."Country", f."Product", f.cutoff,
         CAST(f.cutoff + to_months(CAST(i - 1 AS INTEGER)) AS DATE) AS "Time", 'tes' AS model,
