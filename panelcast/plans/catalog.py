@@ -679,13 +679,18 @@ def mlp_forecast(spark, folder):
     return report.score(mlp.forecast_mlp(_vectors(spark, folder)))
 
 
-def _month_means(spark: SparkSession, folder: str, model: str, params: dict) -> DataFrame:
-    """One whole tree on the month alone: its forecast is the month's mean of logarithms."""
+def _month_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a regressor whose only input is the month."""
     rows = encode.log_target(_complete(spark, folder).withColumn("real", F.col("Import")))
     rows = rows.withColumnRenamed("Import", "label").withColumns(
         {"month": F.month("Time"), "is_test": F.col("Time") >= F.lit(as_date(LAST))}
     )
-    vectors = VectorAssembler(inputCols=["month"], outputCol="features").transform(rows)
+    return VectorAssembler(inputCols=["month"], outputCol="features").transform(rows)
+
+
+def _month_means(spark: SparkSession, folder: str, model: str, params: dict) -> DataFrame:
+    """One whole tree on the month alone: its forecast is the month's mean of logarithms."""
+    vectors = _month_vectors(spark, folder)
     whole = {"maxDepth": 12, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
     return _round(learn.forecast_regressor(vectors, model, {**whole, **params}), 2, "pred")
 
@@ -700,6 +705,29 @@ def gbm_month_means(spark, folder):
     return _month_means(spark, folder, "gbm", {"maxIter": 1})
 
 
+@query
+def xgb_month_means(spark, folder):
+    return _month_means(spark, folder, "xgb", {"maxIter": 1})
+
+
+@query
+def catb_month_means(spark, folder):
+    return _month_means(spark, folder, "catb", {"maxIter": 1})
+
+
+@query
+def lgbm_month_means(spark, folder):
+    return _month_means(spark, folder, "lgbm", {"maxIter": 1})
+
+
+@query
+def mlp_line(spark, folder):
+    """A network without hidden units on the month alone is the least-squares line of logarithms."""
+    vectors = _month_vectors(spark, folder).withColumn("fold", F.lit(0))
+    found = mlp.forecast_mlp(vectors, {"hidden": (), "alpha": 1e-9}, max_iter=200)
+    return found.withColumn("pred", F.round(F.log1p("pred"), 3))
+
+
 @query
 def regressor_search(spark, folder):
     grid = {"maxDepth": [5, 10], "numTrees": [10]}

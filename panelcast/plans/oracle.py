@@ -366,7 +366,14 @@ def oracle_sql() -> dict[str, str]:
           AS value FROM complete WINDOW whole AS (PARTITION BY "Country", "Product"))
         SELECT "Country", "Product", {last} AS cutoff, "Time", 'tes' AS model, value AS pred,
         value AS real FROM exact WHERE "Time" >= {last}"""
-    for model in ("rf", "gbm"):
+    q["mlp_line"] = f"""WITH {_COMPLETE}, line AS (
+        SELECT regr_slope(ln(1 + "Import"), month("Time")) AS b,
+               regr_intercept(ln(1 + "Import"), month("Time")) AS a
+        FROM complete WHERE "Time" < {last})
+        SELECT "Country", "Product", "Time", 'mlp' AS model,
+        round(a + b * month("Time"), 3) AS pred, "Import" AS real
+        FROM complete, line WHERE "Time" >= {last}"""
+    for model in ("rf", "gbm", "xgb", "catb", "lgbm"):
         q[f"{model}_month_means"] = f"""WITH {_COMPLETE}, means AS (
             SELECT month("Time") AS m, exp(avg(ln(1 + "Import"))) - 1 AS pred FROM complete
             WHERE "Time" < {last} GROUP BY 1)
