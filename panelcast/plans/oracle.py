@@ -366,6 +366,9 @@ def oracle_sql() -> dict[str, str]:
           AS value FROM complete WINDOW whole AS (PARTITION BY "Country", "Product"))
         SELECT "Country", "Product", {last} AS cutoff, "Time", 'tes' AS model, value AS pred,
         value AS real FROM exact WHERE "Time" >= {last}"""
+    q["model_rows_all"] = f"""WITH {_SERIES_OK}
+        SELECT unnest(['lgbm', 'rf', 'mlp', 'gbm', 'xgb', 'catb', 'tes', 'sarima']) AS model,
+        COUNT(*) AS n, CAST(0 AS BIGINT) AS missing FROM history WHERE NOT is_train"""
     q["mlp_line"] = f"""WITH {_COMPLETE}, line AS (
         SELECT regr_slope(ln(1 + "Import"), month("Time")) AS b,
                regr_intercept(ln(1 + "Import"), month("Time")) AS a
