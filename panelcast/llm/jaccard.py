@@ -9,14 +9,15 @@ Sets are the distinct word shingles of a text, as 64-bit hashes. Two texts link
 3. Every class posts the first ``n - ceil(percent / 100 * n) + 1`` shingles of its order. Linked
    classes share one of them, so candidates are found by an equality join on shingles.
 4. Before a pair is verified it must pass the length filter, the positional filter on the places
-   of the shared shingle, and the suffix filter: 256 parity bits of each set, whose difference
-   bounds the symmetric difference of the sets from below.
+   of the shared shingle, and the suffix filter, in two steps: 512 parity bits of each set, and the
+   set's counts in 128 parts of the hash space. Differences of both bound the symmetric difference
+   of the sets from below; the second step still tells long texts apart, and takes 128 bytes.
 5. Each pair is verified once, on its whole sets.
 
-A group of n near copies would have n * n / 2 pairs. Posting lists are therefore first compared
-with one pivot per list, for some rounds; links found so far are contracted to components. Last,
-all pairs of a list that still lie in different components are compared. Every link either is
-found, or lies inside one component, so the components are exact.
+A group of n near copies would have n * n / 2 pairs. Posting lists of more than ``FULL_LIST``
+classes are therefore first compared with one pivot per list, for some rounds; links found so far
+are contracted to components. Last, all pairs of such a list that still lie in different components
+are compared. Every link either is found, or lies inside one component, so components are exact.
 """
 
 from __future__ import annotations
@@ -30,16 +31,30 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import bitmap, components, drop_rows, maybe_in, row_key, stored
+from panelcast.llm.common import (
+    arrow_rows,
+    bitmap,
+    components,
+    drop_rows,
+    maybe_in,
+    row_key,
+    stored,
+)
 from panelcast.llm.words import mix, shingle_sets, text_blocks, word_hashes
 from panelcast.session import ship_package
 
 #: Slots of the frequency table, and the pieces in which it is summed: 4 MiB in all.
 SLOTS, PIECES = 1 << 20, 64
+#: Parts of the suffix filter's sketch: shingles counted by the first bits of another hash.
+PARTS = 128
 #: Rounds that compare posting lists with one pivot, before the rest is compared in full.
 PIVOT_ROUNDS = 3
+#: Longest posting list whose pairs are compared at once.
+FULL_LIST = 64
+#: Rows of an Arrow batch where rows carry whole texts or sets.
+BATCH_ROWS = 1000
 
-_BITS = ["_b0", "_b1", "_b2", "_b3"]
+_BITS = [f"_b{i}" for i in range(8)]
 _Batches = Iterator[pa.RecordBatch]
 
 
@@ -97,18 +112,20 @@ def _signed(values) -> pa.Array:
 def _profile(size: int, percent: int, order: Broadcast, batches: _Batches) -> _Batches:
     frequency = order.value
     for batch in batches:
-        n, sums, others, bits, prefixes = [], [], [], [], []
+        n, sums, others, bits, sketches, prefixes = [], [], [], [], [], []
         for s in _sets(batch.column(2), size):
             n.append(len(s))
             mixed = mix(s + np.uint64(1))
             sums.append(s.sum(dtype=np.uint64))
             others.append(mixed.sum(dtype=np.uint64))
-            parity = np.bincount((mixed & np.uint64(255)).astype(np.int64), minlength=256) & 1
+            parity = np.bincount((mixed & np.uint64(511)).astype(np.int64), minlength=512) & 1
             bits.append(np.packbits(parity.astype(np.uint8)).view(np.uint64))
             keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+            parts = np.bincount((mixed >> np.uint64(57)).astype(np.int64), minlength=PARTS)
+            sketches.append(parts.astype(np.uint8).tobytes())
             rare = np.argsort(frequency[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
             prefixes.append(s[rare[:keep]].view(np.int64))
-        words = np.array(bits, np.uint64).reshape(-1, 4)
+        words = np.array(bits, np.uint64).reshape(-1, len(_BITS))
         offsets = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *prefixes])
         yield pa.RecordBatch.from_arrays(
@@ -118,10 +135,11 @@ def _profile(size: int, percent: int, order: Broadcast, batches: _Batches) -> _B
                 pa.array(n, pa.int64()),
                 _signed(sums),
                 _signed(others),
-                *[_signed(words[:, i].copy()) for i in range(4)],
+                *[_signed(words[:, i].copy()) for i in range(len(_BITS))],
+                pa.array(sketches, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
             ],
-            ["_id", "_k2", "n", "_s1", "_s2", *_BITS, "prefix"],
+            ["_id", "_k2", "n", "_s1", "_s2", *_BITS, "sketch", "prefix"],
         )
 
 
@@ -131,6 +149,20 @@ def _set_bytes(size: int, batches: _Batches) -> _Batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["cid", "set"])
 
 
+def _close(percent: int, batches: _Batches) -> _Batches:
+    """Pairs (a, b, na, nb, sketch a, sketch b) whose sketches allow a link."""
+    for batch in batches:
+        n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        x, y = (
+            np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
+            for i in (4, 5)
+        )
+        apart = np.abs(x - y)
+        apart = np.minimum(apart, 256 - apart).sum(axis=1)
+        least = -(-percent * n // (100 + percent))
+        yield batch.select([0, 1]).filter(pa.array(apart <= n - 2 * least))
+
+
 def _verify(percent: int, batches: _Batches) -> _Batches:
     for batch in batches:
         keep = []
@@ -163,18 +195,24 @@ class _Join:
     def __init__(self, docs, size, percent, id_col, text_col):
         self.docs, self.size, self.percent = docs, size, percent
         self.id_col, self.text_col = id_col, text_col
+        self.sets = self.tested = self.found = self.labels = None
         context = docs.sparkSession.sparkContext
         ship_package(docs.sparkSession)
         order = context.broadcast(slot_frequencies(docs, size, text_col))
         keyed = docs.select(
             F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col)[1], F.col(text_col)
         )
+        with arrow_rows(docs.sparkSession, BATCH_ROWS):
+            self._store(keyed, order)
+
+    def _store(self, keyed: DataFrame, order: Broadcast) -> None:
+        size, percent = self.size, self.percent
         self.profiles = stored(
             keyed.mapInArrow(
                 partial(_profile, size, percent, order),
                 "_id long, _k2 long, n long, _s1 long, _s2 long, "
                 + ", ".join(f"{b} long" for b in _BITS)
-                + ", prefix array<long>",
+                + ", sketch binary, prefix array<long>",
             ),
             "profiles",
         )
@@ -186,27 +224,41 @@ class _Join:
                 F.min(F.struct("_id", "_k2")).alias("_rep"),
                 F.min("_id").alias("first_id"),
                 *[F.first(b).alias(b) for b in _BITS],
+                F.first("sketch").alias("sketch"),
                 F.first("prefix").alias("prefix"),
             )
         )
-        self.classes = stored(
-            stored(grouped, "classes").withColumn("cid", F.monotonically_increasing_id()),
-            "classes",
-        )
+        # what is read back is the ids as they were written, once
+        self.classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def postings(self) -> DataFrame:
-        """(shingle, cid, n, at, parity bits) of the prefix shingles that several classes share."""
+        """(shingle, size, cid, n, at, parity bits) of the prefix shingles that ``size`` > 1 classes
+        share."""
         bare = self.classes.select(F.explode("prefix").alias("shingle"))
-        shared = stored(bare.groupBy("shingle").count().where("count > 1").select("shingle"), "shared")
+        counts = bare.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
+        shared = stored(counts, "shared")
         spread = self.classes.select(
-            "cid", "n", *_BITS, F.posexplode("prefix").alias("at", "shingle")
+            "cid", F.col("n").cast("int").alias("n"), *_BITS, F.posexplode("prefix").alias("at", "shingle")
         )
         near = maybe_in(spread, [F.col("shingle")], bitmap(shared, ["shingle"]))
-        return stored(near.join(shared, "shingle", "left_semi"), "postings")
+        return stored(near.join(shared, "shingle"), "postings")
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the second step of the suffix filter."""
+        sides = pairs
+        for id_, n, sketch in (("a", "na", "x"), ("b", "nb", "y")):
+            side = self.classes.select(F.col("cid").alias(id_), F.col("n").alias(n), F.col("sketch").alias(sketch))
+            sides = sides.join(side, id_)
+        return sides.select("a", "b", "na", "nb", "x", "y").mapInArrow(
+            partial(_close, self.percent), "a long, b long"
+        )
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of classes, those that link. Only their texts are read again."""
+    def read_sets(self, pairs: DataFrame) -> DataFrame:
+        """(cid, set) of all classes in the pairs. Only texts that no round before has asked for
+        are read and hashed again."""
         ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("cid"), "cid", "left_anti")
         need = self.classes.join(ids, "cid", "left_semi").select(
             "cid",
             F.coalesce("_rep._id", F.lit(-1).cast("long")).alias("_k1"),
@@ -217,63 +269,77 @@ class _Join:
         near = maybe_in(self.docs, [k1, k2], bitmap(need, ["_k1", "_k2"]))
         texts = near.select(k1, k2, F.col(self.text_col).alias("_text"))
         texts = texts.groupBy("_k1", "_k2").agg(F.first("_text").alias("_text"))
-        sets = stored(
+        added = stored(
             texts.join(need, ["_k1", "_k2"])
             .select("cid", "_text")
             .mapInArrow(partial(_set_bytes, self.size), "cid long, set binary"),
             "sets",
         )
+        self.sets = added if self.sets is None else self.sets.unionByName(added)
+        return self.sets
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of classes, those that link."""
+        sets = self.read_sets(pairs)
         joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
         joined = joined.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
         return joined.select("a", "b", "x", "y").mapInArrow(
             partial(_verify, self.percent), "a long, b long"
         )
 
-    def run(self, rounds: int) -> DataFrame:
-        """Components of classes: (cid, component) of all classes with a link."""
+    def test(self, pairs: DataFrame) -> DataFrame | None:
+        """Verify pairs that were not tested before; components of all links so far."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = stored(self.close(pairs), "pairs")
+        if not pairs.isEmpty():
+            self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+            # every row carries two whole sets
+            with arrow_rows(pairs.sparkSession, BATCH_ROWS):
+                found = stored(self.links(pairs), "links")
+            self.found = found if self.found is None else self.found.unionByName(found)
+            self.labels = components(self.found)
+        return self.labels
+
+    def compare(self, left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
+        """Pairs (a, b) of postings of the same shingle that pass the filters."""
+        named = right.select("shingle", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "shingle"])
+        pairs = left.join(named, "shingle").where(where & _passes(self.percent, "", "y_"))
+        return pairs.select(
+            F.least("cid", "y_cid").alias("a"), F.greatest("cid", "y_cid").alias("b")
+        ).distinct()
+
+    def run(self, rounds: int) -> DataFrame | None:
+        """Components (id, component) of the classes that link."""
         postings = self.postings()
-        links = tested = labels = None
+        short = postings.where(F.col("size") <= FULL_LIST)
+        self.test(self.compare(short, short, F.col("cid") < F.col("y_cid")))
+        long = postings.where(F.col("size") > FULL_LIST)
+        side = ["cid", "n", "at", *_BITS, "comp"]
         for turn in range(rounds + 1):
-            if labels is None:
-                placed = postings.withColumn("comp", F.col("cid"))
-            else:
-                named = labels.select(F.col("id").alias("cid"), F.col("component").alias("_c"))
-                placed = postings.join(named, "cid", "left").withColumn(
-                    "comp", F.coalesce("_c", "cid")
-                ).drop("_c")
+            if turn == 0 and long.isEmpty():
+                break
+            placed = long.select("shingle", *side[:-1], F.col("cid").alias("comp"))
+            if self.labels is not None:
+                named = self.labels.select(F.col("id").alias("cid"), F.col("component").alias("_c"))
+                placed = long.join(named, "cid", "left").select(
+                    "shingle", *side[:-1], F.coalesce("_c", "cid").alias("comp")
+                )
             placed = stored(placed, "placed")
-            side = ["cid", "n", "at", *_BITS, "comp"]
             lists = placed.groupBy("shingle").agg(
                 F.min("comp").alias("_low"),
                 F.max("comp").alias("_high"),
                 F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("_o"), *side)).alias("_p"),
             ).where("_low < _high")
+            lists = stored(lists, "lists")
+            apart = F.col("comp") != F.col("y_comp")
             if turn < rounds:
-                others = lists.select("shingle", *[F.col(f"_p.{c}").alias(f"y_{c}") for c in side])
+                others = lists.select("shingle", *[F.col(f"_p.{c}").alias(c) for c in side])
             else:
-                others = placed.join(lists.select("shingle"), "shingle", "left_semi").select(
-                    "shingle", *[F.col(c).alias(f"y_{c}") for c in side]
-                )
-            others = stored(others, "pivots")
-            apart = F.col("comp") != F.col("y_comp")
-            if turn == rounds:
+                others = placed.join(lists.select("shingle"), "shingle", "left_semi")
                 apart &= F.col("cid") < F.col("y_cid")
-            pairs = (
-                placed.join(others, "shingle")
-                .where(apart & _passes(self.percent, "", "y_"))
-                .select(F.least("cid", "y_cid").alias("a"), F.greatest("cid", "y_cid").alias("b"))
-                .distinct()
-            )
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
-            if pairs.isEmpty():
-                continue
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = stored(self.links(pairs), "links")
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        return labels
+            self.test(self.compare(placed, others, apart))
+        return self.labels
 
 
 def similar_documents(
