@@ -56,7 +56,7 @@ def build_index(
     One pass over the texts; the table is written to the shared folder and read by term or
     document afterwards. Nothing is shuffled while the words' vocabulary is small enough.
     """
-    terms = stored(words.distinct(), "terms")
+    terms = words.distinct()
     terms = stored(terms.withColumn("term", F.monotonically_increasing_id()), "terms")
     tokens = docs.select(
         *row_key(id_col, text_col), F.posexplode(words_of(text_col)).alias("pos", "_raw")
@@ -89,7 +89,7 @@ def benchmark_windows(
         ).alias("words"),
     )
     cut = stored(cut.distinct(), "windows")
-    windows = stored(cut.select("words").distinct(), "windows")
+    windows = cut.select("words").distinct()
     windows = stored(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     return windows, cut.join(windows, "words").select("window", "item")
 
@@ -100,7 +100,7 @@ def ranked_terms(index: Index, windows: DataFrame) -> DataFrame:
         "window", F.size("words").alias("n"), F.posexplode("words").alias("off", "word")
     )
     frequency = index.postings.groupBy("term").count()
-    known = spread.join(index.terms, "word").join(frequency, "term")
+    known = _join_small(spread, stored(index.terms.join(frequency, "term"), "terms"), ["word"])
     per = Window.partitionBy("window")
     return stored(
         known.withColumns(
@@ -133,7 +133,8 @@ def phrase_matches(index: Index, ranked: DataFrame) -> DataFrame:
         wanted = _join_small(found.where(F.col("n") >= low), ranks, ["window"]).withColumn(
             "pos", (F.col("start") + F.col("off")).cast("int")
         )
-        nearby = maybe_in(index.postings, [F.col(k) for k in _KEY], bitmap(found, _KEY))
+        nearby = maybe_in(index.postings, [F.col("term")], bitmap(ranks, ["term"]))
+        nearby = maybe_in(nearby, [F.col(k) for k in _KEY], bitmap(found, _KEY))
         met = wanted.join(nearby, [*_KEY, "pos", "term"], "left_semi")
         need = F.col("n") - (low - 1) if high > low else F.lit(1)
         whole = met.groupBy("window", "n", *_KEY, "start").count().where(F.col("count") == need)
