@@ -59,7 +59,8 @@ def exact_duplicates(
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
-    return rows.join(groups, "_key", "left").select(
+    # stored, both sides of the join are exchanges, and a hot group can be split
+    return rows.join(stored(groups, "dedup-groups"), "_key", "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"),
