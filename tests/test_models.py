@@ -323,7 +323,7 @@ def test_backtest_and_reports_agree(noisy):
     ranked = [r.mean_smape for r in report.rank_by(scored).collect()]
     assert ranked == sorted(ranked)
     wide = report.scored_wide(scored, ["tes", "sarima"])
-    assert wide.columns[3:] == ["Import", "tes", "TES_smape", "sarima", "SARIMA_smape"]
+    assert wide.columns[3:] == ["cutoff", "Import", "tes", "TES_smape", "sarima", "SARIMA_smape"]
     assert wide.count() == 2 * 9 * 12 and wide.where("tes IS NULL OR sarima IS NULL").isEmpty()
     assert {r.countries for r in report.coverage(scored).collect()} == {3}
     assert report.attach_actuals(
