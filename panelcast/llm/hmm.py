@@ -1,23 +1,26 @@
 """LM scoring with a hidden Markov model over words.
 
-A latent state emits a symbol, one of ``SYMBOLS`` hash classes of words, and the symbol a word in
-proportion to the smoothed corpus counts. So the tables of a state are of fixed size, while the
-word counts behind them cover the whole corpus and stay distributed:
-
-    P(w | state) = P(s(w) | state) * p0(w) / q0(s(w)),   p0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
-
-q0 sums p0 over the words of a symbol and one slot for its unknown words, so every state's word
-probabilities sum to one. Baum-Welch runs over all training tokens: tasks sum expected counts, the
-sums are added by piece across partitions, and one model of fixed size comes back per round.
-
-Texts are cut into blocks of some megabytes with a vocabulary of their own. Only (block, word) rows
-are shuffled to count words and to hand counts back, never a row per token; a frequent word has one
-row per block.
+Every word has emissions of its own, from the expected counts n(w, state) that Baum-Welch gathers.
+How a word splits over the states is smoothed by the split of all tokens, with the weight of
+``PRIOR`` tokens per word, so that rare words stay near the corpus:
+
+    P(w | state) = p0(w) * P(state | w) / z(state)
+    P(state | w) = (n(w, state) + PRIOR * n(state) / N) / (c(w) + PRIOR)
+    p0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), with one slot for all unknown words
+
+z sums the numerators, so every state's word probabilities sum to one. Baum-Welch runs over all training tokens. Expected
+counts are summed per (word, state) and grow with the vocabulary, so they stay distributed: a block
+of text sends its words' counts to the buckets of words, and gets the sums of its own words back.
+Only starts, moves, sizes and sums z of states, which are of fixed size, come to the driver.
+
+Texts are cut into blocks of some megabytes with a vocabulary of their own. Only (block, word) rows,
+packed by bucket, are shuffled to count words and to hand counts back, never a row per token; a
+frequent word has one row per block.
 """
 
 from __future__ import annotations
 
-import zlib
+import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,14 +33,17 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import stored
 from panelcast.llm.words import text_blocks
-from panelcast.session import ship_package
+from panelcast.session import checkpoint, ship_package
 
-#: Symbols (0 is the end of a text), latent states, rounds of Baum-Welch.
+#: Hash classes of words in the random start (0 is the end of a text), latent states, rounds of
+#: Baum-Welch. Words of a class start alike and then learn apart.
 SYMBOLS, STATES, ROUNDS = 1 << 15, 6, 5
-#: Bytes of text in a block; tokens of a training segment; pieces in which counts are added.
-BLOCK_BYTES, SEGMENT, PIECES = 8 << 20, 256, 32
-#: Smoothing of counts, and weight of the corpus in the emissions of a state, in tokens.
-ADD, PRIOR = 0.1, 200.0
+#: Bytes of text in a block; tokens of a training segment.
+BLOCK_BYTES, SEGMENT = 8 << 20, 256
+#: A word's id is its bucket, shifted by so many bits, and its place in the bucket.
+PLACE_BITS = 33
+#: Smoothing of counts, and weight of the corpus in the split of a word over states, in tokens.
+ADD, PRIOR = 0.1, 5.0
 #: Compression of the blocks' token numbers, which are small for frequent words.
 CODEC = "zstd"
 END = b""
@@ -49,11 +55,32 @@ _BLOCK = (
 )
 
 
+_GOT = "array<struct<bucket:int,sums:binary>>"
+
+
 @dataclass
 class Model:
     start: np.ndarray
     moves: np.ndarray
-    emits: np.ndarray  # (symbols, states)
+    emits: np.ndarray  # (words, states)
+
+
+@dataclass
+class Shared:
+    """What is the same for all words: starts and moves, share of the tokens and sum z of each
+    state, size of the corpus. ``first`` has the random start by hash class until the first round
+    has counted."""
+
+    start: np.ndarray
+    moves: np.ndarray
+    share: np.ndarray
+    z: np.ndarray
+    total: int
+    kinds: int
+    first: np.ndarray | None = None
+
+    def base(self, known: np.ndarray) -> np.ndarray:
+        return (known + ADD) / (self.total + ADD * (self.kinds + 1))
 
 
 # --- blocks ----------------------------------------------------------------------------------
@@ -94,19 +121,29 @@ def _tokens(packed: pa.BinaryScalar, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, np.int32)
 
 
-def _symbol(words) -> np.ndarray:
-    codes = [1 + zlib.crc32(w) % (SYMBOLS - 1) if w else 0 for w in words]
-    return np.array(codes, np.int64)
-
-
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, c, symbol) of the training tokens; the empty word is the end of a text."""
+    """(word, c, symbol, id) of the training tokens; the empty word is the end of a text. Words of a
+    partition are a bucket, so that Spark's bound on partitions is one on buckets."""
     rows = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0")
     counts = rows.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"))
     symbol = F.when(F.length("word") == 0, F.lit(0)).otherwise(
         F.crc32("word") % (SYMBOLS - 1) + 1
     )
-    return stored(counts.withColumn("symbol", symbol.cast("int")), "word-counts")
+    ids = F.monotonically_increasing_id()
+    return stored(counts.withColumns({"symbol": symbol.cast("int"), "id": ids}), "word-counts")
+
+
+def _placed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """The blocks with place, id, count and symbol of their known words in order of id."""
+    found = (
+        blocks.select("block", F.posexplode("words").alias("at", "word"))
+        .join(counts, "word")
+        .groupBy("block")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "at", "c", "symbol"))).alias("_x"))
+    )
+    kept = blocks.select("block", "ids", "held", "sizes", "tokens", F.size("words").alias("n_words"))
+    known = [F.col(f"_x.{c}").alias(c) for c in ("id", "at", "c", "symbol")]
+    return stored(kept.join(found, "block", "left").select(*kept.columns, *known), "placed")
 
 
 # --- recursions ------------------------------------------------------------------------------
@@ -176,7 +213,7 @@ def expected_counts(model: Model, codes: np.ndarray, begins, sizes):
         np.matmul(part, model.moves.T, out=back[:n])
     first = ahead[: offsets[1]] if len(alive) else ahead
     first *= back
-    emits = np.stack([np.bincount(by_step, ahead[:, i], SYMBOLS) for i in range(k)], axis=1)
+    emits = np.stack([np.bincount(by_step, ahead[:, i], len(model.emits)) for i in range(k)], axis=1)
     likelihood = float(np.log(scales).sum(dtype=np.float64))
     return first.sum(axis=0), moves * model.moves, emits, likelihood
 
@@ -184,10 +221,32 @@ def expected_counts(model: Model, codes: np.ndarray, begins, sizes):
 # --- training --------------------------------------------------------------------------------
 
 
+def _known(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
+    value = batch.column(name)[row]
+    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
+
+
+def _emissions(shared: Shared, batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and emissions of a block's words."""
+    at, k = _known(batch, row, "at"), len(shared.start)
+    known = np.zeros(batch.column("n_words")[row].as_py(), np.int64)
+    known[at] = _known(batch, row, "c")
+    base = shared.base(known)[:, None]
+    if shared.first is not None:
+        emits = base * shared.first[SYMBOLS]
+        emits[at] = base[at] * shared.first[_known(batch, row, "symbol")]
+        return known, emits
+    emits = np.repeat(PRIOR * shared.share[None], len(base), axis=0)
+    got = sorted(batch.column("got")[row].as_py() or [], key=lambda g: g["bucket"])
+    if got:
+        emits[at] += np.concatenate([np.frombuffer(g["sums"], np.float32) for g in got]).reshape(-1, k)
+    return known, base * emits / (known[:, None] + PRIOR) / shared.z
+
+
 def _segments(batch: pa.RecordBatch, row: int):
-    sizes = np.array(batch.column(1)[row].as_py(), np.int64)
-    held = np.array(batch.column(0)[row].as_py(), bool)
-    codes = _symbol(batch.column(3)[row].as_py())[_tokens(batch.column(2)[row], sizes)]
+    sizes = np.array(batch.column("sizes")[row].as_py(), np.int64)
+    held = np.array(batch.column("held")[row].as_py(), bool)
+    codes = _tokens(batch.column("tokens")[row], sizes)
     begins = (np.cumsum(sizes) - sizes)[~held]
     sizes = sizes[~held]
     parts = -(-sizes // SEGMENT)
@@ -196,103 +255,152 @@ def _segments(batch: pa.RecordBatch, row: int):
     return codes, np.repeat(begins, parts) + nth * SEGMENT, np.minimum(left, SEGMENT)
 
 
+_COUNTS = "bucket int, block long, places binary, sums binary"
+
+
 def _expect(model, batches: _Batches) -> _Batches:
-    current = Model(*(v.astype(np.float32) for v in vars(model.value).values()))
-    k = len(current.start)
-    emits = np.zeros((SYMBOLS, k))
-    head = np.zeros(k + k * k + 1)
+    """Expected counts: of each block one row per bucket of its words, and one head per task."""
+    shared: Shared = model.value
+    k = len(shared.start)
+    head = np.zeros(k + k * k + 2 * k + 1)
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary())])
     for batch in batches:
         for row in range(batch.num_rows):
+            known, emits = _emissions(shared, batch, row)
+            weights = shared.base(known) / (known + PRIOR)
+            current = Model(*(v.astype(np.float32) for v in (shared.start, shared.moves, emits)))
             codes, begins, sizes = _segments(batch, row)
+            counts = np.zeros(emits.shape)
             for low in range(0, len(sizes), 2048):
                 part = expected_counts(current, codes, begins[low : low + 2048], sizes[low : low + 2048])
-                emits += part[2]
-                head += np.concatenate([part[0], part[1].ravel(), [part[3]]])
-    pieces = emits.reshape(PIECES, -1)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([-1, *range(PIECES)], pa.int32()),
-            pa.array([head.tobytes(), *[p.astype(np.float32).tobytes() for p in pieces]], pa.binary()),
-        ],
-        ["piece", "sums"],
-    )
-
-
-def _add(batches: _Batches) -> _Batches:
-    total: dict[int, np.ndarray] = {}
+                counts += part[2]
+                sizes_z = [part[2].sum(axis=0), weights @ part[2]]
+                head += np.concatenate([part[0], part[1].ravel(), *sizes_z, [part[3]]])
+            ids = _known(batch, row, "id")
+            sums = counts[_known(batch, row, "at")].astype(np.float32)
+            buckets, cuts = np.unique(ids >> PLACE_BITS, return_index=True)
+            places = (ids & ((1 << PLACE_BITS) - 1)).astype(np.int32)
+            block = batch.column("block")[row].as_py()
+            rows = [
+                {"bucket": bucket, "block": block, "places": places[a:b].tobytes(), "sums": sums[a:b].tobytes()}
+                for bucket, a, b in zip(buckets.tolist(), cuts, [*cuts[1:], len(ids)])
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+    yield pa.RecordBatch.from_pylist([{"bucket": -1, "block": -1, "places": b"", "sums": head.tobytes()}], schema)
+
+
+def _add(states: int, batches: _Batches) -> _Batches:
+    """Sum buckets over all blocks, and give each block the sums of its words back."""
+    asked, totals, head = [], {}, 0
     for batch in batches:
-        for piece, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(sums.as_buffer(), np.float64 if piece < 0 else np.float32)
-            part = part.astype(np.float64)
-            total[piece] = total[piece] + part if piece in total else part
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
-        ["piece", "sums"],
-    )
-
-
-def _first_model(base: np.ndarray, states: int, seed: int = 11) -> Model:
-    rng = np.random.default_rng(seed)
-    emits = base[:, None] * rng.gamma(1.0, 1.0, (len(base), states)).clip(0.05)
+        for bucket, block, places, sums in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket < 0:
+                head = head + np.frombuffer(sums)
+                continue
+            places = np.frombuffer(places, np.int32)
+            asked.append((bucket, block, places))
+            total = totals.get(bucket, np.zeros((0, states)))
+            if len(total) <= places.max():
+                more = max(int(places.max()) + 1, 2 * len(total)) - len(total)
+                total = np.concatenate([total, np.zeros((more, states))])
+            total[places] += np.frombuffer(sums, np.float32).reshape(-1, states)
+            totals[bucket] = total
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary())])
+    for bucket, block, places in asked:
+        sums = totals[bucket][places].astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_pylist([{"block": block, "bucket": bucket, "sums": sums}], schema)
+    if not isinstance(head, int):
+        yield pa.RecordBatch.from_pylist([{"block": -1, "bucket": -1, "sums": head.tobytes()}], schema)
+
+
+def _first_model(counts: DataFrame, states: int, seed: int = 11) -> Shared:
+    """A random start: words of a hash class lean alike; the last row is of the unknown words."""
+    classes = counts.groupBy("symbol").agg(F.sum("c"), F.count("*")).collect()
+    seen, kinds = np.zeros(SYMBOLS + 1), np.zeros(SYMBOLS + 1)
+    for symbol, c, v in classes:
+        seen[symbol], kinds[symbol] = c, v
+    kinds[SYMBOLS] = 1  # the slot of unknown words
+    total, n_kinds = int(seen.sum()), int(kinds.sum()) - 1
+    base = (seen + ADD * kinds) / (total + ADD * (n_kinds + 1))
+    lean = np.random.default_rng(seed).gamma(1.0, 1.0, (SYMBOLS + 1, states)).clip(0.05)
+    lean[SYMBOLS] = 1
     moves = np.full((states, states), 0.02 / max(1, states - 1))
     np.fill_diagonal(moves, 0.98 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), moves, emits / emits.sum(axis=0))
+    start = np.full(states, 1 / states)
+    return Shared(start, moves, start, np.ones(states), total, n_kinds, lean / (base @ lean))
+
+
+def _with_sums(placed: DataFrame, back: DataFrame | None) -> DataFrame:
+    """Each block together with the sums of its own words."""
+    if back is None:
+        return placed.withColumn("got", F.lit(None).cast(_GOT))
+    got = back.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "sums")).alias("got"))
+    return placed.join(got, "block", "left")
 
 
-def train(blocks: DataFrame, base: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+def train(placed: DataFrame, counts: DataFrame, states: int = STATES, rounds: int = ROUNDS):
     """Baum-Welch over the training rows of all blocks. Training cuts texts into segments of
-    ``SEGMENT`` tokens, which bounds the memory of a task; scores never do. Returns the model and
-    the logarithm of the likelihood before each round."""
-    context = blocks.sparkSession.sparkContext
-    model, seen = _first_model(base, states), []
-    rows = blocks.select("held", "sizes", "tokens", "words")
+    ``SEGMENT`` tokens, which bounds the memory of a task; scores never do. Returns the shared part
+    of the model, the distributed sums of (block, bucket), or None before the first round, and the
+    logarithm of the likelihood before each round."""
+    context = placed.sparkSession.sparkContext
+    model, back, seen = _first_model(counts, states), None, []
+    if not model.total:
+        return model, back, seen
+    over = model.total + ADD * (model.kinds + 1)
+    rest = F.sum((F.col("c") + ADD) / (F.col("c") + PRIOR)) * PRIOR / over
+    last, rest = counts.agg(F.max(F.shiftright("id", PLACE_BITS)), rest).first()
+    rest += ADD / over
     for _ in range(rounds):
         shared = context.broadcast(model)
-        parts = rows.mapInArrow(partial(_expect, shared), "piece int, sums binary")
-        summed = parts.repartition(PIECES, "piece").mapInArrow(_add, "piece int, sums binary")
-        sums = {r["piece"]: np.frombuffer(r["sums"]) for r in summed.collect()}
+        parts = _with_sums(placed, back).mapInArrow(partial(_expect, shared), _COUNTS)
+        dealt = parts.repartition(last + 1, "bucket")
+        back = checkpoint(dealt.mapInArrow(partial(_add, states), "block long, bucket int, sums binary"))
+        head = sum(np.frombuffer(r["sums"]) for r in back.where("block < 0").collect())
         shared.unpersist()
-        if not sums:
-            break
-        head, emits = sums[-1], np.stack([sums[i] for i in range(PIECES)]).reshape(SYMBOLS, states)
-        starts, moves = head[:states] + 1, head[states:-1].reshape(states, states) + 1
-        emits = emits + PRIOR * base[:, None]
+        # Spark drops the tables and shuffles of earlier rounds once the driver has let go of them
+        gc.collect()
+        context._jvm.System.gc()
+        ends = np.cumsum([states, states**2, states])
+        starts, moves, sizes, z = np.split(head[:-1], ends)
+        share = sizes / sizes.sum()
+        starts, moves = starts + 1, moves.reshape(states, states) + 1
         seen.append(float(head[-1]))
-        model = Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
-    return model, seen
+        model = Shared(
+            starts / starts.sum(),
+            moves / moves.sum(axis=1, keepdims=True),
+            share,
+            z + rest * share,
+            model.total,
+            model.kinds,
+        )
+    return model, back, seen
 
 
 # --- scores ----------------------------------------------------------------------------------
 
 
-def _score(model, log_base, total: int, kinds: int, batches: _Batches) -> _Batches:
-    current: Model = model.value
-    over = np.log10(total + ADD * (kinds + 1))
+def _score(model, batches: _Batches) -> _Batches:
+    shared: Shared = model.value
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, held, sizes, tokens, words, at, c = (batch.column(i)[row] for i in range(7))
-            sizes = np.array(sizes.as_py(), np.int64)
-            symbols = _symbol(words.as_py())
-            known = np.zeros(len(symbols), np.int64)
-            if at.is_valid:
-                known[np.array(at.as_py(), np.int64)] = c.as_py()
-            tokens = _tokens(tokens, sizes)
-            codes = symbols[tokens]
+            known, emits = _emissions(shared, batch, row)
+            sizes = np.array(batch.column("sizes")[row].as_py(), np.int64)
+            tokens = _tokens(batch.column("tokens")[row], sizes)
             begins = np.cumsum(sizes) - sizes
-            word = np.log10(known + ADD) - over
-            base = np.add.reduceat(word[tokens], begins)
-            inner = np.add.reduceat((word - log_base.value[symbols])[tokens], begins)
-            chain = log_likelihoods(current, codes, begins, sizes) / np.log(10)
+            base = np.add.reduceat(np.log10(shared.base(known))[tokens], begins)
+            current = Model(shared.start, shared.moves, emits)
+            chain = log_likelihoods(current, tokens, begins, sizes) / np.log(10)
             hits = np.add.reduceat((known > 0)[tokens].astype(np.int64), begins)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids.as_py(), pa.int64()),
-                    pa.array(held.as_py(), pa.bool_()),
+                    pa.array(batch.column("ids")[row].as_py(), pa.int64()),
+                    pa.array(batch.column("held")[row].as_py(), pa.bool_()),
                     pa.array(sizes),
                     pa.array(hits),
-                    pa.array(np.full(len(sizes), total), pa.int64()),
+                    pa.array(np.full(len(sizes), shared.total), pa.int64()),
                     pa.array(base),
-                    pa.array(inner + chain),
+                    pa.array(chain),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
@@ -319,24 +427,11 @@ def score_documents(
     # what is read back is the numbers as they were written, once
     blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     counts = word_counts(blocks)
-    per_symbol = counts.groupBy("symbol").agg(F.sum("c"), F.count("*")).collect()
-    seen, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
-    for symbol, c, v in per_symbol:
-        seen[symbol], kinds[symbol] = c, v
-    total, n_kinds = int(seen.sum()), int(kinds.sum())
-    base = (seen + ADD * (kinds + 1)) / (total + ADD * (n_kinds + 1))
-    model, _ = train(blocks, base / base.sum(), states, rounds if total else 0)
-    found = (
-        blocks.select("block", F.posexplode("words").alias("at", "word"))
-        .join(counts.select("word", "c"), "word")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("at", "c")).alias("_x"))
-        .select("block", F.col("_x.at").alias("at"), F.col("_x.c").alias("c"))
-    )
+    placed = _placed(blocks, counts)
+    model, back, _ = train(placed, counts, states, rounds)
     context = docs.sparkSession.sparkContext
-    joined = blocks.select("block", "ids", "held", "sizes", "tokens", "words").join(found, "block", "left")
-    return joined.drop("block").mapInArrow(
-        partial(_score, context.broadcast(model), context.broadcast(np.log10(base)), total, n_kinds),
+    return _with_sums(placed, back).mapInArrow(
+        partial(_score, context.broadcast(model)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
     )

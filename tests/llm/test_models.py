@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -211,6 +212,24 @@ def test_scores_equal_definition_and_beat_the_base(spark):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_words_of_one_hash_class_learn_apart(spark):
+    # 2^15 - 1 classes of crc32: two words of one class, each in a context of its own
+    seen, pair = {}, None
+    for i in itertools.count():
+        word = f"w{i}"
+        other = seen.setdefault(zlib.crc32(word.encode()) % (hmm.SYMBOLS - 1), word)
+        if other != word:
+            pair = other, word
+            break
+    rows = [(i, " ".join([f"left{i % 7}", pair[0], f"left{i % 5}"] * 20)) for i in range(200)]
+    rows += [(i, " ".join([f"right{i % 7}", pair[1], f"right{i % 5}"] * 20)) for i in range(200, 400)]
+    rows += [(1000, f"left0 {pair[0]} left1 " * 10), (1001, f"left0 {pair[1]} left1 " * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in hmm.score_documents(docs, F.col("doc_id") >= 1000, states=2).collect()}
+    assert abs(found[1000].base_score - found[1001].base_score) < 1e-6
+    assert found[1000].score > found[1001].score + 5
+
+
 def test_scores_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = hmm.score_documents(docs, F.lit(True)).collect()
