@@ -227,11 +227,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t")
     )
-    counts = usable.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES)
-    counts = {r["_lang"]: r["count"] for r in counts.collect()}
+    texts = usable.groupBy("_lang", "_h").count().groupBy("_lang")
+    counts = texts.agg(F.sum("count").alias("rows"), F.count("*").alias("texts"))
+    counts = counts.orderBy(F.desc("rows"), "_lang").limit(MAX_LANGUAGES)
+    counts = {r["_lang"]: r["texts"] for r in counts.collect()}
     if not counts:
         return Network([])
-    languages = sorted(counts)
     size = F.octet_length("_t")
     segments = F.transform(
         F.sequence(F.lit(0), F.lit(SAMPLE_SEGMENTS - 1)),
@@ -241,12 +242,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             F.lit(SEGMENT),
         ),
     )
-    # Some four times as many rows as needed go on by their hash; the window then holds only those.
+    # Some four times as many texts as needed go on by their hash; the window then holds only those.
+    # The share is one of distinct texts, so that copies don't thin it out.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 4 * SAMPLE_DOCS / n)])
     near = usable.where(F.pmod("_h", F.lit(1 << 40)) / (1 << 40) < share[F.col("_lang")])
     near = near.select("_lang", "_h", segments.alias("_s")).dropDuplicates(["_lang", "_h"])
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))
     rows = near.withColumn("_nth", nth).where(F.col("_nth") <= SAMPLE_DOCS).collect()
+    # a language of empty texts only has nothing to learn from
+    languages = sorted({row["_lang"] for row in rows if any(row["_s"])})
     gathered, labels = [], []
     for row in sorted(rows, key=lambda r: (r["_lang"], r["_nth"])):
         for s in sorted({bytes(s) for s in row["_s"]} - {b""}):

@@ -115,6 +115,16 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_copies_do_not_thin_out_the_sample(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda segments, labels, names: seen.update(s=segments, l=labels, n=names))
+    rows = [(i, str(max(0, i - 39_549)), "aa") for i in range(40_000)] + [(-1, "", "bb")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # 451 texts, one of them with 39 550 copies: each of the 400 chosen is shorter than a segment
+    assert len(set(seen["s"])) == len(seen["s"]) == langid.SAMPLE_DOCS
+    assert seen["n"] == ["aa"] and set(seen["l"]) == {0}
+
+
 def test_language_without_labels_or_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     net = langid.fit(empty)
