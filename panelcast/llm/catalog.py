@@ -15,11 +15,14 @@ from panelcast.llm import (
     jaccard,
     langid,
     links,
+    manifest,
+    phrases,
     pieces,
     pii,
     shards,
+    tokens,
 )
-from panelcast.llm.common import row_key, stored, text_of
+from panelcast.llm.common import ascii_lower, row_key, stored, text_of
 from panelcast.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +30,9 @@ _QUERIES: dict[str, Query] = {}
 
 #: Vocabulary file of op4: a public tokenizer of the machine, read on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Byte-level BPE file of op11, and the tokens beyond which a document counts as too long.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKEN_LIMIT = 512
 #: Byte limit of a shard of op10.
 SHARD_BYTES = 1 << 20
 
@@ -155,3 +161,26 @@ def op9_url_filter(spark, folder):
 @query
 def op10_extendible_shards(spark, folder):
     return shards.assign_shards(read_table(spark, folder, "documents"), SHARD_BYTES)
+
+
+@query
+def op11_token_counts(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    found = tokens.count_tokens(docs, tokens.load_tokenizer(TOKENIZER))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op12_merkle_manifest(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = [*(F.col(c) for c in fields[:-1]), ascii_lower(F.col("text"))]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.manifest(
+        docs, fields, tampered=lowered, when_tampered=F.coalesce(chosen, F.lit(False))
+    )
+
+
+@query
+def op13_phrase_collocations(spark, folder):
+    return phrases.mine_phrases(read_table(spark, folder, "documents"))

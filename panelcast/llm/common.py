@@ -14,11 +14,11 @@ from panelcast.session import shared_path
 BITMAP_BITS = 1 << 22
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
@@ -33,6 +33,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, limit: int) -> Iterator[None]:
+    """Hand batches of about so many bytes to Python, for actions inside: it bounds their memory
+    whatever the length of a row, which a number of rows does not."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -142,5 +142,113 @@ FROM leaves
 """
 
 
+def _merkle_sql(group_levels: int = 7, top_levels: int = 4) -> str:
+    """Levels are unrolled: up to 16^7 rows a group and 16^4 groups. A node's run is a list of the
+    digests in it; a level of one node leaves it as it is."""
+
+    def level(name: str, before: str) -> str:
+        return (
+            f"{name}_runs AS (SELECT g, i // 16 AS i, list(d ORDER BY i) AS ds, any_value(n) AS n "
+            f"FROM {before} GROUP BY ALL), "
+            f"{name} AS (SELECT g, i, (n + 15) // 16 AS n, "
+            "CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d "
+            f"FROM (SELECT g, i, ds, n FROM {name}_runs))"
+        )
+
+    def climb(name: str, before: str, runs: str, key: str) -> str:
+        left, right = "array_to_string(r.ds[:p % 16], '')", "array_to_string(r.ds[p % 16 + 2:], '')"
+        return (
+            f"{name} AS (SELECT b.* REPLACE (p // 16 AS p, proof || {left} || {right} AS proof, "
+            f"CASE WHEN r.n = 1 THEN acc ELSE sha256({left} || acc || {right}) END AS acc) "
+            f"FROM {before} b JOIN {runs} r ON r.g = b.{key} AND r.i = b.p // 16)"
+        )
+
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = f"translate(text, '{upper}', '{upper.lower()}')"
+    crc = (
+        "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), "
+        "lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), "
+        "lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    )
+    parts = [
+        f"leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({head} || "
+        f"{field.format('text')}) AS leaf, sha256({head} || {field.format(lowered)}) AS low, "
+        f"coalesce({crc} % 5 = 0, false) AS bent FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 "
+        "AS i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+    ]
+    before = "placed"
+    for k in range(group_levels):
+        parts.append(level(f"n{k}", before))
+        before = f"n{k}"
+    parts.append(
+        "subs AS (SELECT g AS own, d, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, "
+        f"count(*) OVER () AS n FROM {before})"
+    )
+    top = "subs"
+    for k in range(top_levels):
+        parts.append(level(f"t{k}", top))
+        top = f"t{k}"
+    parts.append(
+        "c AS (SELECT doc_id, g, leaf, i AS p, '' AS proof, "
+        "CASE WHEN bent THEN low ELSE leaf END AS acc FROM placed)"
+    )
+    at = "c"
+    for k in range(group_levels):
+        parts.append(climb(f"c{k}", at, f"n{k}_runs", "g"))
+        at = f"c{k}"
+    parts.append(
+        "d AS (SELECT doc_id, leaf, proof, acc, s.i AS p, s.d AS subroot, 0 AS z "
+        f"FROM {at} JOIN subs s ON s.own = {at}.g)"
+    )
+    at = "d"
+    for k in range(top_levels):
+        parts.append(climb(f"d{k}", at, f"t{k}_runs", "z"))
+        at = f"d{k}"
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, "
+        f"acc AS folded_root, acc = root AS verified FROM {at}, (SELECT d AS root FROM {top})"
+    )
+
+
+_SQL["op12_merkle_manifest"] = _merkle_sql()
+
+_SQL["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, w[s:s + k - 1] AS p, count(*)::HUGEINT AS f
+  FROM words, generate_series(1, 5) AS g(k), generate_series(1, len(w) - k + 1) AS h(s)
+  WHERE len(w) >= k GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.p, c.f AS a, x.k AS cut, l.f AS l, r.f AS r, n, 1000 * c.f * n // (l.f * r.f) AS score
+  FROM grams c JOIN generate_series(1, 4) AS x(k) ON x.k < c.k
+  JOIN grams l ON l.lang = c.lang AND l.p = c.p[:x.k]
+  JOIN grams r ON r.lang = c.lang AND r.p = c.p[x.k + 1:]
+  JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), inside AS (
+  SELECT DISTINCT b.lang, b.p[s:s + m - 1] AS p, b.f
+  FROM grams b, generate_series(2, 4) AS g(m), generate_series(1, 4) AS h(s)
+  WHERE m < b.k AND s <= b.k - m + 1
+), kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.p = c.p AND 100 * i.f >= 100 * c.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+  array_to_string(p, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+  score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
