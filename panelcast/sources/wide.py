@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expressions import MONTH_FORMATS, as_date, null_if_nan
 from panelcast.session import shared_path
+from panelcast.sources.records import csv_records
 from panelcast.sources.store import saved
 
 ID = "Importers"
@@ -89,7 +90,10 @@ def write_wide_reports(
     for name, part in reports.items():
         report = wide.where(F.coalesce(*[F.col(f"`{c}`") for c in part]).isNotNull())
         report = report.select("product", ID, *[F.col(f"`{c}`") for c in part])
-        out = report.write.partitionBy("product").option("header", True)
+        # quotes are doubled and spaces kept; Parquet ignores these options
+        rules = {"header": True, "escape": '"'}
+        rules |= {f"ignore{side}WhiteSpace": False for side in ("Leading", "Trailing")}
+        out = report.write.partitionBy("product").options(**rules)
         out.format(format).save(f"{path}/{name}")
     wide.unpersist()
 
@@ -112,11 +116,7 @@ BROADCAST_FILES = 100_000
 def _first_lines(lines: DataFrame) -> DataFrame:
     """(file, header): the first line of each file, as one small aggregate per file."""
     order = F.struct("_start", "_line")
-    return (
-        lines.withColumn("_line", F.monotonically_increasing_id())
-        .groupBy("_file")
-        .agg(F.min_by("value", order).alias("header"))
-    )
+    return lines.groupBy("_file").agg(F.min_by("value", order).alias("header"))
 
 
 def _by_file(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -140,15 +140,16 @@ def _layouts(headers: Sequence[str], start, end, formats) -> list[tuple]:
     return out
 
 
-def _csv_cells(spark: SparkSession, path: str, start, end, formats) -> DataFrame:
-    lines = (
+def _csv_cells(spark: SparkSession, path: str, start, end, formats, pattern) -> DataFrame:
+    lines = csv_records(
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", pattern)
         .text(path)
         .select(
             "value",
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"),
         )
     )
     firsts = saved(_first_lines(lines), shared_path(spark, "headers"))
@@ -169,7 +170,7 @@ def _csv_cells(spark: SparkSession, path: str, start, end, formats) -> DataFrame
     width = max(len(months) for *_, months in layouts)
     fields = ", ".join(f"c{i} string" for i in range(width))
     rows = _by_file(lines, files).where("value <> header and trim(value) <> ''")
-    parsed = rows.withColumn("_row", F.from_csv("value", fields)).withColumn(
+    parsed = rows.withColumn("_row", F.from_csv("value", fields, {"escape": '"'})).withColumn(
         "_cells", F.array(*[F.col(f"_row.c{i}") for i in range(width)])
     )
     inside = F.filter(
@@ -238,6 +239,7 @@ def read_wide_reports(
     end: str | date | int | None = None,
     format: str = "csv",
     formats: Sequence[str] = tuple(MONTH_FORMATS),
+    pattern: str = "*.csv",
 ) -> DataFrame:
     """All wide files below ``path``: ``Product, Importers, report, n_reports, Time, Import``.
 
@@ -245,13 +247,15 @@ def read_wide_reports(
     Files of a product with equal months are parts of one report; ``n_reports`` is the number of
     reports of that product. Empty cells stay as NULL values in both formats.
 
-    Every CSV file must have a header with the importers' column, in any place and with spaces
-    around names, and months elsewhere: any other file is an error that names it. All headers are
-    read by one scan and all rows by a second one. Parquet files of one folder are parts of one
+    ``pattern`` picks the CSV files by name. Every one must have a header with the importers' column, in any place and with spaces
+    around names, and months elsewhere: any other file is an error that names it. A quoted field may
+    hold line breaks, which are read as line feeds, and doubled quotes. One scan looks for such
+    records, one reads all headers and one all rows. Parquet files of one folder are parts of one
     report, and a month without any value in a folder counts as absent from it.
     """
-    cells = _parquet_cells if format == "parquet" else _csv_cells
-    return cells(spark, path, start, end, formats)
+    if format == "parquet":
+        return _parquet_cells(spark, path, start, end, formats)
+    return _csv_cells(spark, path, start, end, formats, pattern)
 
 
 def _reconciled(reports: DataFrame) -> DataFrame:

@@ -185,3 +185,69 @@ def test_parameters_are_merged_by_key(spark, tmp_path):
     ]
     series = spark.createDataFrame([(date(2018, 7, 1), "fig", "A")], "cutoff date, Product string, Country string")
     assert store.with_params(series, saved, "tes", ["alpha"]).count() == 1
+
+
+def _csv_files(path, files):
+    import csv
+
+    for name, (header, rows) in files.items():
+        target = path / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        with target.open("w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\n").writerows([header, *rows])
+
+
+ODD_NAMES = [
+    "Korea,\nRepublic",
+    'He said ""x""',
+    'five" pipe',
+    '"',
+    '""',
+    '\n\n"\n',
+    '",\n"',
+    "back\\slash",
+    'a\n,b\n"c",\nd',
+    "plain",
+]
+
+
+def test_records_of_another_writer_keep_quotes_and_line_breaks(spark, tmp_path):
+    header = ["Importers", "2012-M01", "2012-M02"]
+    rows = [[name, i, i + 0.5] for i, name in enumerate(ODD_NAMES)]
+    _csv_files(tmp_path, {"fig/a.csv": (header, rows), "kiwi/b.csv": (header, [["plain", 1, 2]])})
+    out = wide.join_reports(wide.read_wide_reports(spark, str(tmp_path)))
+    want = [("fig", name, f"2012-{m:02d}-01", i + (m - 1) / 2) for i, name in enumerate(ODD_NAMES) for m in (1, 2)]
+    assert _rows(out) == sorted([*want, ("kiwi", "plain", "2012-01-01", 1.0), ("kiwi", "plain", "2012-02-01", 2.0)])
+
+
+def test_records_torn_across_blocks_are_joined(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    header = ["Importers", "2012-M01"]
+    names = {"".join(rng.choices(['"', "\n", ",", "x", "yy"], k=rng.randint(1, 30))) + str(i) for i in range(400)}
+    _csv_files(tmp_path, {"fig/a.csv": (header, [[n, 1] for n in sorted(names)])})
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "700")
+    try:
+        out = wide.read_wide_reports(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.Importers for r in out) == sorted(names)
+
+
+def test_names_with_quotes_survive_the_library_writer(spark, make_panel, tmp_path):
+    panel = make_panel({(n, "fig"): [1, 2, 3, 4] for n in ODD_NAMES})
+    wide.write_wide_reports(panel, str(tmp_path / "out"), MONTHS)
+    out = wide.join_reports(wide.read_wide_reports(spark, str(tmp_path / "out")))
+    assert {r[1] for r in _rows(out)} == set(ODD_NAMES) and out.count() == 4 * len(ODD_NAMES)
+
+
+def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path, monkeypatch):
+    from panelcast.sources import records
+
+    monkeypatch.setattr(records, "RECORD_LINES", 5)
+    _write(tmp_path, {"fig/a.csv": ["Importers,2012-M01", '"Korea,1', *[f"x{i},2" for i in range(20)]]})
+    with pytest.raises(ValueError, match="never closed"):
+        wide.read_wide_reports(spark, str(tmp_path)).collect()
