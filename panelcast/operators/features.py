@@ -9,12 +9,13 @@ An exponentially weighted mean changes at rows with a value only, and is carried
 after them over a gap of any length. At a row with a value it is a ratio of two running sums, with
 weights that grow along the block. That row's own weight, 0.1 ** 255 or more, is inside the range of
 a double, and rows more than ``EWM_REACH`` before it weigh less than its last bit: there a weight of
-zero is exact. In country-wide groups, a block whose rows hold no value yet takes the last mean of
-the blocks before it, one row per block.
+zero is exact. In country-wide groups no rows are copied for it: each block is summed to one state,
+states are scanned over the blocks, and a row adds the state before its block to its running sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,20 +108,41 @@ def _ewm_of(running: WindowSpec, alpha: float) -> Column:
     )
 
 
-def _carried(known: DataFrame, keys: Sequence[str], means: Sequence[str], reach: int) -> DataFrame:
-    """Per block, the last means before the ``reach`` rows that it copies from blocks before it."""
-    own = known.where(F.col("Import").isNotNull())
-    back = max(1, -(-reach // BLOCK))
-    early = F.when(F.col("_at") < back * BLOCK - reach, F.struct(*means))
-    last = own.groupBy(*keys, "_block").agg(
-        F.max_by(F.struct(*means), "_at").alias("_last"),
-        F.max_by(early, F.when(early.isNotNull(), F.col("_at"))).alias("_early"),
-    )
-    blocks = known.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "left")
+def _sums(alpha: float) -> tuple[Column, Column]:
+    """Weighted value and weight of a row in its block: the block's last row weighs 1."""
+    weight = F.pow(F.lit(1.0 - alpha), F.lit(BLOCK - 1) - F.col("_at"))
+    known = F.when(F.col("Import").isNotNull(), weight)
+    return known * F.col("Import"), known
+
+
+def _scanned(placed: DataFrame, keys: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    """Per block, the state of each mean before it: (_carry: block, n<i>, d<i>).
+
+    A block is one weighted sum and one weight per mean. The state at its end takes in the two
+    blocks before it, which hold all rows that count beside its own; blocks without a value have no
+    state, so the one before a block is that of the last block with a value, however far back.
+    """
+    sums = {}
+    for i, alpha in enumerate(alphas):
+        total, weight = _sums(alpha)
+        sums |= {f"n{i}": F.sum(total), f"d{i}": F.sum(weight)}
+    blocks = placed.groupBy(*keys, "_block").agg(*[c.alias(name) for name, c in sums.items()])
     order = Window.partitionBy(*keys).orderBy("_block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1 - back)
-    carry = F.coalesce(F.lag("_early", back).over(order), F.last("_last", ignorenulls=True).over(before))
-    return blocks.select(*keys, "_block", carry.alias("_carry"))
+    fields = [F.col("_block").alias("block")]
+    for i, alpha in enumerate(alphas):
+        for name in (f"n{i}", f"d{i}"):
+            zero = F.lit(0.0)
+            parts = [
+                F.coalesce(F.lag(name, k).over(order) if k else F.col(name), zero)
+                * (1.0 - alpha) ** (BLOCK * k)
+                for k in range(1 + -(-EWM_REACH // BLOCK))
+            ]
+            fields.append(sum(parts[1:], parts[0]).alias(name))
+    state = F.when(F.col("d0").isNotNull(), F.struct(*fields))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    found = blocks.select(*keys, "_block", state.alias("_state"))
+    carry = F.last("_state", ignorenulls=True).over(before)
+    return found.select(*keys, "_block", carry.alias("_carry"))
 
 
 def _with_ewm(
@@ -134,30 +156,44 @@ def _with_ewm(
     block = Window.partitionBy(*keys, "_block").orderBy(*order)
     running = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = [f"_ewm_{alpha_tag(a)}" for a in alphas]
-    means = {name: _ewm_of(running, a) for name, a in zip(names, alphas)}
-    # Copies have served the sums; their own means, of weights far below the block's, are no use.
-    known = _blocks(panel, keys, order, EWM_REACH).withColumns(means).where("_at >= 0")
     if _bounded(keys):
+        means = {name: _ewm_of(running, a) for name, a in zip(names, alphas)}
+        # Copies have served the sums; their own means, of weights far below the block's, are no use.
+        known = _blocks(panel, keys, order, EWM_REACH).withColumns(means).where("_at >= 0")
         window = Window.partitionBy(*keys).orderBy(*order)
         running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         filled = {n: F.last(n, ignorenulls=True).over(running) for n in names}
         return known.drop("_block", "_at").withColumns(filled), window
-    steps = F.sequence(F.lit(0), F.floor((F.col("_at") + reach) / BLOCK).cast("int"))
-    copied = (
-        known.withColumn("_step", F.explode(steps))
-        .withColumns(
-            {
-                "_block": F.col("_block") + F.col("_step"),
-                "_at": F.col("_at") - BLOCK * F.col("_step"),
-            }
+    placed = with_position(panel, [*keys, *order], "_pos")
+    placed = placed.withColumns(
+        {"_block": F.floor(F.col("_pos") / BLOCK), "_at": F.pmod("_pos", F.lit(BLOCK))}
+    ).drop("_pos")
+    sums = {}
+    for i, alpha in enumerate(alphas):
+        total, weight = _sums(alpha)
+        sums |= {f"_n{i}": F.sum(total).over(running), f"_d{i}": F.sum(weight).over(running)}
+    joined = placed.withColumns(sums).join(_scanned(placed, keys, alphas), [*keys, "_block"], "left")
+    blocks_back = (F.col("_block") - F.col("_carry.block")) * BLOCK
+    means = {}
+    for i, (name, alpha) in enumerate(zip(names, alphas)):
+        age = F.pow(F.lit(1.0 - alpha), blocks_back)
+        n, d = (
+            F.coalesce(f"_{x}{i}", F.lit(0.0)) + F.coalesce(F.col(f"_carry.{x}{i}") * age, F.lit(0.0))
+            for x in "nd"
         )
-        .drop("_step")
+        carried = F.try_divide(F.col(f"_carry.n{i}"), F.col(f"_carry.d{i}"))
+        means[name] = F.when(F.col(f"_d{i}").isNotNull(), F.try_divide(n, d)).otherwise(carried)
+    known = joined.withColumns(means).drop("_carry", *sums)
+    if not reach:
+        return known, block
+    steps = F.sequence(F.lit(0), F.floor((F.col("_at") + reach) / BLOCK).cast("int"))
+    copied = known.withColumn("_step", F.explode(steps)).withColumns(
+        {
+            "_block": F.col("_block") + F.col("_step"),
+            "_at": F.col("_at") - BLOCK * F.col("_step"),
+        }
     )
-    filled = copied.withColumns({n: F.last(n, ignorenulls=True).over(running) for n in names})
-    joined = filled.join(_carried(known, keys, names, reach), [*keys, "_block"], "left")
-    return joined.withColumns({n: F.coalesce(n, F.col("_carry")[n]) for n in names}).drop(
-        "_carry"
-    ), block
+    return copied.drop("_step"), block
 
 
 def ewm_columns(
@@ -242,9 +278,27 @@ def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("Time", "Import", *KEYS)]
 
 
-def jitter(df: DataFrame, column: str, scale: float, seed: int) -> DataFrame:
+def normal_noise(keys: Sequence[str], seed: int) -> Column:
+    """Standard normal noise of a row, by Box and Muller from a hash of its keys and the seed.
+
+    The row's keys are its counter, so the noise is the same whatever the order and partitioning of
+    the rows, and rows of equal keys have equal noise. A null key is unlike any value.
+    """
+    parts = [F.col(k).cast("string") for k in keys]
+    encoded = [
+        F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts
+    ]
+    digits = F.md5(F.concat(F.lit(f"{seed};"), *encoded).cast("binary"))
+    bits = [F.conv(F.substring(digits, at, 13), 16, 10).cast("double") for at in (1, 14)]
+    radius = F.sqrt(-2.0 * F.log((bits[0] + 1.0) / float(1 << 52)))
+    return radius * F.cos(bits[1] * (2.0 * math.pi / float(1 << 52)))
+
+
+def jitter(
+    df: DataFrame, column: str, scale: float, seed: int, keys: Sequence[str] = (*KEYS, "Time")
+) -> DataFrame:
     """Add seeded Gaussian noise to a column. No pipeline here turns it on."""
-    return df.withColumn(column, F.col(column) + F.randn(seed) * F.lit(scale))
+    return df.withColumn(column, F.col(column) + normal_noise(keys, seed) * F.lit(scale))
 
 
 def jitter_scale_of(column: str) -> Column:

@@ -23,27 +23,57 @@ def test_lags_stay_inside_a_series_unless_asked(make_panel):
 
 
 @pytest.mark.parametrize("keys", [["Country", "Product"], ["Country"]])
-def test_features_equal_pandas(make_panel, monkeypatch, keys):
+def test_features_equal_their_definition(make_panel, monkeypatch, keys):
     # Small blocks, so that the country-wide variant crosses several of them.
     monkeypatch.setattr(features, "BLOCK", 16)
     panel = _random(make_panel)
     order = ("Time",) if len(keys) == 2 else ("Product", "Time")
     out = _frame(features.build_features(panel, tuple(keys), order))
-    groups = _frame(panel).groupby(keys)["Import"]
+    groups = [g.to_numpy() for _, g in _frame(panel).groupby(keys)["Import"]]
+
+    def expected(of):
+        return np.concatenate([[of(g, t) for t in range(len(g))] for g in groups])
+
     for lag in features.LAGS:
-        expected = groups.transform(lambda x: x.shift(lag))
-        np.testing.assert_allclose(out[f"Import_lag_{lag}"], expected)
+        want = expected(lambda g, t: g[t - lag] if t >= lag else np.nan)
+        np.testing.assert_allclose(out[f"Import_lag_{lag}"], want)
     for n in features.WINDOWS:
         weights = np.array(features.triangular_weights(n))
-        expected = groups.transform(
-            lambda x: x.shift(1).rolling(n).apply(lambda v: float(v @ weights), raw=True)
-        )
-        np.testing.assert_allclose(out[f"Import_roll_mean_{n}"], expected)
+        want = expected(lambda g, t: float(g[t - n : t] @ weights) if t >= n else np.nan)
+        np.testing.assert_allclose(out[f"Import_roll_mean_{n}"], want)
     for alpha in features.ALPHAS:
         for lag in features.EWM_LAGS:
-            expected = groups.transform(lambda x: x.shift(lag).ewm(alpha=alpha).mean())
+
+            def decayed(g, t):
+                weights = (1 - alpha) ** np.arange(t - lag, -1, -1.0)
+                return weights @ g[: t - lag + 1] / weights.sum() if t >= lag else np.nan
+
             name = f"Import_ewm_alpha_{features.alpha_tag(alpha)}_lag_{lag}"
-            np.testing.assert_allclose(out[name], expected, rtol=1e-12)
+            np.testing.assert_allclose(out[name], expected(decayed), rtol=1e-12)
+
+
+@pytest.mark.parametrize("gap", [0, 3, 40, 700])
+def test_country_wide_means_cross_gaps_of_any_length(make_panel, monkeypatch, gap):
+    monkeypatch.setattr(features, "BLOCK", 16)
+    monkeypatch.setattr(features, "EWM_REACH", 400)
+    rng = np.random.default_rng(gap)
+    values = {
+        ("a", "x"): [*rng.uniform(1, 9, 21), *[None] * gap],
+        ("a", "y"): [None, 5.0, None, *rng.uniform(1, 9, 30)],
+        ("b", "x"): [None] * 5 + [2.0],
+    }
+    out = _frame(features.ewm(make_panel(values), [0.9, 0.1], ("Country",), ("Product", "Time")))
+    for country in "ab":
+        mine = [v for key, part in values.items() if key[0] == country for v in part]
+        for alpha in (0.9, 0.1):
+            n, d, age, want = 0.0, 0.0, 1, []
+            for v in mine:
+                if v is not None:  # a gap ages both sums alike and leaves their ratio
+                    n, d = n * (1 - alpha) ** age + v, d * (1 - alpha) ** age + 1
+                age = 1 if v is not None else age + 1
+                want.append(n / d if d else np.nan)
+            got = out.loc[out.Country == country, f"Import_ewm_alpha_{features.alpha_tag(alpha)}"]
+            np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
 def test_window_of_two_is_the_plain_mean_and_constants_stay(make_panel):
@@ -136,3 +166,19 @@ def test_means_survive_gaps_of_any_length(spark):
             got = r["Import_ewm_alpha_09"]
             assert (got is None) == (mean is None), (across, r.Product, r.Time)
             assert mean is None or abs(got - mean) < 1e-12
+
+
+def test_noise_is_normal_and_the_same_in_any_partitioning(spark):
+    rows = [(f"c{i % 50}", f"p{i}", None) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "Country string, Product string, Time date").withColumn(
+        "z", features.normal_noise(("Country", "Product", "Time"), 7)
+    )
+    other = frame.drop("z").repartition(13).withColumn(
+        "z", features.normal_noise(("Country", "Product", "Time"), 7)
+    )
+    assert frame.exceptAll(other).isEmpty()
+    z = np.array([r.z for r in frame.select("z").collect()])
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+    assert abs((np.abs(z) < 1).mean() - 0.6827) < 0.01
+    seeds = frame.withColumn("y", features.normal_noise(("Country", "Product", "Time"), 8))
+    assert abs(seeds.corr("y", "z")) < 0.03
