@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.smoothing import MAE_DIGITS, PERIOD, _batches
-from panelcast.session import ship_package
+from panelcast.session import ship_package, shuffle_partitions
 
 # Every order is 0 or 1; ordinary orders vary slowest, as (p, d, q, P, D, Q).
 GRID = tuple(product((0, 1), repeat=6))
@@ -28,10 +28,8 @@ STARTS = (0.0, 0.4)
 TOLERANCE = 1e-8
 
 ORDER_COLUMNS = ("p", "d", "q", "sp", "sd", "sq")
-BEST = (
-    "p int, d int, q int, sp int, sd int, sq int, mae double, pred array<double>, "
-    "n_failed int, status string"
-)
+# Parts of about equal cost that the orders of a search are dealt into, each a row of its own.
+HANDS = 8
 
 
 def _lag(x: np.ndarray, k: int) -> np.ndarray:
@@ -145,73 +143,181 @@ def fit_orders(
     Returns forecasts (series, order, horizon), NaN where the history is too short, and
     coefficients (series, order, 4).
     """
-    n_series, n = y.shape
-    p, d, q, sp, sd, sq = np.array(orders).T
-    gone = d + PERIOD * sd
-    first = gone + p + PERIOD * sp
-    # more residuals than coefficients
-    enough = n - first > p + q + sp + sq
-    preds = np.full((n_series, len(orders), horizon), np.nan)
-    coefs = np.full((n_series, len(orders), 4), np.nan)
-    if not enough.any():
+    n_series, n_orders = len(y), len(orders)
+    rows = np.repeat(np.arange(n_series), n_orders)
+    preds, coefs = fit_pairs(y, rows, np.tile(np.array(orders), (n_series, 1)), horizon)
+    return preds.reshape(n_series, n_orders, horizon), coefs.reshape(n_series, n_orders, 4)
+
+
+class Lanes:
+    """Pairs of a history (a row of ``y``) and an order side by side: those with a history long
+    enough (``kept``), their differenced values (time, lane), free coefficients and used errors."""
+
+    def __init__(self, y: np.ndarray, rows: np.ndarray, orders: np.ndarray):
+        n = y.shape[1]
+        p, d, q, sp, sd, sq = orders.T
+        first = d + PERIOD * sd + p + PERIOD * sp
+        # more residuals than coefficients
+        self.kept = np.flatnonzero(n - first > p + q + sp + sq)
+        self.rows, self.orders = rows[self.kept], orders[self.kept]
+        p, d, q, sp, sd, sq = self.orders.T
+        # Differenced histories, aligned at their last value; what differencing used up stays unused.
+        self.values = np.zeros((n, len(self.kept)))
+        for one, season in {(a, b) for a, b in zip(d.tolist(), sd.tolist())}:
+            w = y.T
+            for lag in [1] * one + [PERIOD] * season:
+                w = w[lag:] - w[:-lag]
+            mine = np.flatnonzero((d == one) & (sd == season))
+            self.values[n - len(w) :, mine] = w[:, self.rows[mine]]
+        self.free = np.stack([p, q, sp, sq]).astype(bool)
+        self.used = np.arange(n)[:, None] >= first[self.kept]
+        self.d, self.sd = d, sd
+
+    def fit(self) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (4, lane) and sums of squares."""
+        with np.errstate(all="ignore"):
+            # Both starts are lanes of one call; the second wins only with a clearly smaller sum.
+            start = np.repeat(STARTS, len(self.kept))
+            tiled = (np.tile(v, len(STARTS)) for v in (self.values, self.free, self.used))
+            both, sums = _fit(*tiled, start)
+            (coef, other), (sse, other_sse) = np.split(both, 2, axis=1), np.split(sums, 2)
+            second = other_sse < sse * (1 - 1e-9)
+            return np.where(second, other, coef), np.where(second, other_sse, sse)
+
+
+def fit_pairs(
+    y: np.ndarray, rows: np.ndarray, orders: np.ndarray, horizon: int = 12
+) -> tuple[np.ndarray, np.ndarray]:
+    """Fit the order ``orders[i]`` to the history ``y[rows[i]]``, for all i together.
+
+    Returns forecasts (pair, horizon) and coefficients (pair, 4), NaN where a history is too short.
+    """
+    preds, coefs = np.full((len(rows), horizon), np.nan), np.full((len(rows), 4), np.nan)
+    lanes = Lanes(y, rows, orders)
+    if not len(lanes.kept):
         return preds, coefs
-    # Differenced histories, aligned at their last value; what differencing used up stays unused.
-    levels = {}
-    for one, season in {(a, b) for a, b in zip(d[enough], sd[enough])}:
-        w = y.T
-        for lag in [1] * one + [PERIOD] * season:
-            w = w[lag:] - w[:-lag]
-        levels[one, season] = np.concatenate([np.zeros((n - len(w), n_series)), w])
-    kept = np.flatnonzero(enough)
-    lanes = np.stack([levels[d[k], sd[k]] for k in kept], axis=2).reshape(n, -1)
-
-    def per_lane(values: np.ndarray) -> np.ndarray:
-        return np.tile(values[kept], n_series)
-
-    free = np.stack([per_lane(v) for v in (p, q, sp, sq)]).astype(bool)
-    used = np.arange(n)[:, None] >= per_lane(first)
+    coef, _ = lanes.fit()
     with np.errstate(all="ignore"):
-        # Both starts are lanes of one call; the second wins only with a clearly smaller sum.
-        start = np.repeat(STARTS, lanes.shape[1])
-        both, sums = _fit(*(np.tile(v, len(STARTS)) for v in (lanes, free, used)), start)
-        (coef, other), (sse, other_sse) = np.split(both, 2, axis=1), np.split(sums, 2)
-        coef = np.where(other_sse < sse * (1 - 1e-9), other, coef)
-        errors = _residuals(lanes, coef, used, gradient=False)
-        history = np.repeat(y.T, len(kept), axis=1)
-        ahead = _forecast(history, errors, coef, per_lane(d), per_lane(sd), horizon)
-    preds[:, kept] = ahead.T.reshape(n_series, len(kept), horizon)
-    coefs[:, kept] = coef.T.reshape(n_series, len(kept), 4)
+        errors = _residuals(lanes.values, coef, lanes.used, gradient=False)
+        ahead = _forecast(y.T[:, lanes.rows], errors, coef, lanes.d, lanes.sd, horizon)
+    preds[lanes.kept], coefs[lanes.kept] = ahead.T, coef.T
     return preds, coefs
 
 
-def _search(orders: tuple):
-    @F.pandas_udf(BEST)
-    def best(y: pd.Series, actual: pd.Series) -> pd.DataFrame:
-        chosen, mae = np.full((len(y), 6), np.nan), np.full(len(y), np.nan)
-        n_failed, status = np.full(len(y), len(orders)), np.full(len(y), "no_fit", dtype=object)
-        pred = np.full(len(y), None, dtype=object)
-        for rows, history in _batches(y, size=32):
+# --- search ----------------------------------------------------------------------------------
+
+
+def cost_of(order: Sequence[int]) -> float:
+    """Estimated cost of a fit: nothing to search without a coefficient, and more steps with moving
+    averages, whose errors are a recursion."""
+    p, _, q, sp, _, sq = order
+    return 0.1 + (p + sp) + 2.0 * (q + sq)
+
+
+def deal(orders: Sequence[tuple[int, ...]], hands: int) -> list[list[int]]:
+    """Indices of the orders in ``hands`` parts of about equal cost: the dearest first, each to the
+    part with the least so far."""
+    dealt: list[list[int]] = [[] for _ in range(hands)]
+    held = [0.0] * hands
+    for i in sorted(range(len(orders)), key=lambda i: (-cost_of(orders[i]), i)):
+        least = min(range(hands), key=lambda h: (held[h], h))
+        dealt[least].append(i)
+        held[least] += cost_of(orders[i])
+    return [sorted(part) for part in dealt if part]
+
+
+_BEST_OF_HAND = "id int, mae double, pred array<double>, n_failed int"
+
+
+def _search(orders: tuple, hands: list[list[int]]):
+    """Best order of each row's hand for its history."""
+
+    @F.pandas_udf(_BEST_OF_HAND)
+    def best(y: pd.Series, actual: pd.Series, hand: pd.Series) -> pd.DataFrame:
+        every = np.array(orders)
+        ids, mae = np.full(len(y), -1), np.full(len(y), np.nan)
+        pred, n_failed = np.full(len(y), None, dtype=object), np.zeros(len(y), dtype=int)
+        for rows, history in _batches(y, size=256):
             real = np.stack([np.asarray(v, dtype=float) for v in actual.iloc[rows]])
-            ahead, _ = fit_orders(history, orders, real.shape[1])
-            errors = np.abs(real[:, None, :] - ahead).mean(axis=2).round(MAE_DIGITS)
+            mine = [hands[h] for h in hand.iloc[rows]]
+            lane = np.repeat(np.arange(len(rows)), [len(m) for m in mine])
+            index = np.concatenate(mine)
+            ahead, _ = fit_pairs(history, lane, every[index], real.shape[1])
+            errors = np.abs(real[lane] - ahead).mean(axis=1).round(MAE_DIGITS)
             usable = np.isfinite(errors)
-            winner = np.where(usable, errors, np.inf).argmin(axis=1)
-            fitted = usable.any(axis=1)
-            done, k = rows[fitted], winner[fitted]
-            n_failed[rows] = (~usable).sum(axis=1)
-            status[done] = "ok"
-            chosen[done], mae[done] = np.array(orders)[k], errors[fitted, k]
-            for row, values in zip(done, ahead[fitted, k]):
-                pred[row] = values
-        frame = pd.DataFrame(chosen, columns=list(ORDER_COLUMNS)).astype("Int32")
-        return frame.assign(
-            mae=mae, pred=pred, n_failed=n_failed.astype("int32"), status=status
-        )
+            n_failed[rows] = np.bincount(lane[~usable], minlength=len(rows))
+            # the first of the least errors of each row, in the order of the grid
+            at = np.flatnonzero(usable)
+            at = at[np.lexsort((index[at], errors[at], lane[at]))]
+            done, first = np.unique(lane[at], return_index=True)
+            for row, k in zip(rows[done], at[first]):
+                ids[row], mae[row], pred[row] = index[k], errors[k], ahead[k]
+        frame = pd.DataFrame({"id": ids.astype("int32"), "mae": mae, "pred": pred})
+        return frame.assign(n_failed=n_failed.astype("int32"))
 
     # A filter on the result must not make the optimizer run the search a second time.
     return best.asNondeterministic()
 
 
+def _certify(orders: tuple, points: tuple):
+    fields = "id int, ar double, ma double, sar double, sma double, sse double, slope double, least double"
+
+    @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ') for f in fields.split(', '))}>>")
+    def certificates(y: pd.Series) -> pd.Series:
+        every = np.array(orders)
+        tries, owner = [], []
+        for i, (p, _, q, sp, _, sq) in enumerate(orders):
+            for point in product(*[points if free else (0.0,) for free in (p, q, sp, sq)]):
+                tries.append(point)
+                owner.append(i)
+        tries, owner = np.array(tries).T, np.array(owner)
+        out = pd.Series([[] for _ in range(len(y))], dtype=object)
+        for rows, history in _batches(y, size=8):
+            for at, row in enumerate(rows):
+                lanes = Lanes(history, np.full(len(every), at), every)
+                if not len(lanes.kept):
+                    continue
+                coef, sse = lanes.fit()
+                errors, slope = _residuals(lanes.values, coef, lanes.used)
+                pull = np.einsum("til,tl->il", slope, errors)
+                size = np.sqrt((slope**2).sum(axis=0) * sse)
+                pinned = ((coef >= BOUND) & (pull < 0)) | ((coef <= -BOUND) & (pull > 0))
+                flat = np.where(lanes.free & ~pinned & (size > 0), np.abs(pull) / np.maximum(size, 1e-300), 0)
+                # all tries of the orders that were fitted, as lanes of one recursion
+                mine = np.flatnonzero(np.isin(owner, lanes.kept))
+                each = Lanes(history, np.full(len(mine), at), every[owner[mine]])
+                sums = (_residuals(each.values, tries[:, mine], each.used, gradient=False) ** 2).sum(axis=0)
+                least = np.full(len(every), np.inf)
+                np.minimum.at(least, owner[mine], sums)
+                out.at[row] = [
+                    (int(k), *coef[:, i].tolist(), sse[i], flat[:, i].max(), least[k])
+                    for i, k in enumerate(lanes.kept)
+                ]
+        return out
+
+    return certificates.asNondeterministic()
+
+
+def certify_arima(
+    series: DataFrame,
+    orders: Sequence[tuple[int, ...]] = GRID,
+    points: Sequence[float] = (-0.5, 0.5),
+) -> DataFrame:
+    """Proof of the fits of ``split_series`` rows: per series and order the coefficients, their sum
+    of squares ``sse``, the largest ``slope`` of a coefficient that can still move (the cosine of
+    the errors and their derivative: 0 at a minimum), and ``least``, the least sum of squares over
+    all ``points`` of the free coefficients, which no minimum exceeds."""
+    ship_package(series.sparkSession)
+    orders = tuple(orders)
+    kept = [c for c in series.columns if c not in ("y", "actual", "status")]
+    found = series.select(*kept, F.explode(_certify(orders, tuple(points))("y")).alias("f"))
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(ORDER_COLUMNS, o)]) for o in orders])
+    fields = [F.col(f"f.{c}") for c in ("ar", "ma", "sar", "sma", "sse", "slope", "least")]
+    return found.select(*kept, table[F.col("f.id")].alias("o"), *fields).select(*kept, "o.*", *(
+        "ar", "ma", "sar", "sma", "sse", "slope", "least"
+    ))
+
+
 def _refit(horizon: int):
     @F.pandas_udf("array<double>")
     def forecast(y: pd.Series, order: pd.DataFrame) -> pd.Series:
@@ -249,16 +355,41 @@ def tune_arima(
 
     ``select_on`` as for Holt-Winters. Orders that cannot be fitted are counted in ``n_failed``.
     """
-    ship_package(series.sparkSession)
-    best = _search(tuple(orders))
+    spark = series.sparkSession
+    ship_package(spark)
+    orders = tuple(tuple(int(v) for v in o) for o in orders)
+    hands = deal(orders, min(HANDS, len(orders)))
     if select_on == "holdout":
-        tuned = series.withColumn("best", best("y", "actual"))
+        y, actual = F.col("y"), F.col("actual")
     elif select_on == "validation":
         size = F.size("y")
-        past, recent = F.slice("y", 1, size - PERIOD), F.slice("y", size - PERIOD + 1, PERIOD)
-        tuned = series.withColumn("best", best(past, recent))
+        y, actual = F.slice("y", 1, size - PERIOD), F.slice("y", size - PERIOD + 1, PERIOD)
     else:
         raise ValueError(f"select_on must be 'holdout' or 'validation', not {select_on!r}")
-    kept = [c for c in series.columns if c != "status"]
-    tuned = tuned.select(*kept, "best.*").withColumn("model", F.lit("sarima"))
+    keys = [c for c in series.columns if c not in ("y", "actual", "status")]
+    dealt = series.withColumn("_hand", F.explode(F.sequence(F.lit(0), F.lit(len(hands) - 1))))
+    # dealt out in turn, with an explicit count: no core gets a run of dear hands
+    dealt = dealt.repartition(shuffle_partitions(spark))
+    found = dealt.withColumn("_best", _search(orders, hands)(y, actual, "_hand"))
+    usable = F.col("_best.id") >= 0
+    rank = F.when(usable, F.struct("_best.mae", "_best.id"))
+    tuned = found.groupBy(*keys).agg(
+        F.any_value("y").alias("y"),
+        F.any_value("actual").alias("actual"),
+        F.min_by("_best", rank).alias("_best"),
+        F.sum("_best.n_failed").cast("int").alias("n_failed"),
+    )
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(ORDER_COLUMNS, o)]) for o in orders])
+    order = F.when(F.col("_best.id") >= 0, F.get(table, F.col("_best.id")))
+    tuned = tuned.withColumn("_order", order).select(
+        *keys,
+        "y",
+        "actual",
+        *[F.col(f"_order.{c}").alias(c) for c in ORDER_COLUMNS],
+        F.when(F.col("_order").isNotNull(), F.col("_best.mae")).alias("mae"),
+        F.when(F.col("_order").isNotNull(), F.col("_best.pred")).alias("pred"),
+        "n_failed",
+        F.when(F.col("_order").isNull(), "no_fit").otherwise("ok").alias("status"),
+        F.lit("sarima").alias("model"),
+    )
     return tuned if select_on == "holdout" else forecast_arima(tuned)
