@@ -1,8 +1,9 @@
 """Multi-layer perceptron regressor trained on distributed rows.
 
-Executors compute loss and gradient of their rows, Spark sums them, and the driver holds only the
-weights and the L-BFGS history. Several networks (the candidates and folds of a search) train in
-step: every pass over the data serves all of them.
+Executors compute loss and gradient of their rows, Spark sums them in slices, and the driver holds
+the weights and the L-BFGS history. Several networks (the candidates and folds of a search) train in
+step: every pass over the data serves all of them. How many do so at once is bounded by their
+weights, so neither the driver nor a broadcast grows with the number of candidates.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import encode
+from panelcast.operators.learn import sized
 from panelcast.operators.panel import KEYS
 from panelcast.session import ship_package
 
@@ -28,13 +29,16 @@ FULL_GRID = {
     "alpha": [0.1, 0.01, 0.005],
     "hidden": [(450, 250), (500, 150), (150, 250, 100), (250, 400, 100)],
 }
-DEFAULTS = {"alpha": 0.1, "hidden": (16, 8)}
+DEFAULTS = {"alpha": 0.1, "hidden": (150, 250, 100)}
 SEED = 4
 
-# Groups that partial gradients are summed in before the last sum.
-FAN_IN = 64
+# Numbers of a slice of a gradient: slices of one gradient are summed in different tasks.
+SLICE = 1 << 14
+# Weights of the networks that train in step: 8 MB to each executor, and 2 HISTORY + 3 times as much
+# on the driver. A network with more trains alone.
+WAVE_WEIGHTS = 1 << 20
 # Steps of a training run, the same for the search and for the model that is used.
-MAX_ITER = 60
+MAX_ITER = 200
 HISTORY = 10
 
 
@@ -91,45 +95,45 @@ def _penalised(flat, shapes) -> np.ndarray:
 def total_gradients(data: DataFrame, jobs: dict[int, tuple]) -> dict[int, tuple]:
     """One pass: rows used, summed loss and gradient of every job (weights, shapes, left-out fold).
 
-    Each partition emits one vector per job; these are summed in groups, then across groups. The
-    weights travel as a broadcast variable that ends with the pass.
+    A task keeps its rows and works on one network after the other, so it holds one gradient at a
+    time. Gradients leave it in slices, which are summed by (job, slice) in one shuffle; slice -1
+    has the rows and the loss. The weights travel as a broadcast variable that ends with the pass.
     """
     shared = data.sparkSession.sparkContext.broadcast(jobs)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            label, fold = batch["label"].to_numpy(), batch["fold"].to_numpy()
-            x = batch["x"].flatten().to_numpy().reshape(len(label), -1)
-            for key, (flat, shapes, left_out) in shared.value.items():
-                rows = slice(None) if left_out < 0 else fold != left_out
-                loss, grad = batch_gradient(x[rows], label[rows], flat, shapes)
-                old = sums.setdefault(key, [0, 0.0, np.zeros_like(flat)])
-                sums[key] = [old[0] + len(label[rows]), old[1] + loss, old[2] + grad]
-        if sums:
-            n, loss, grad = zip(*sums.values())
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        label = np.concatenate([b["label"].to_numpy() for b in held])
+        fold = np.concatenate([b["fold"].to_numpy() for b in held])
+        x = np.concatenate([b["x"].flatten().to_numpy() for b in held]).reshape(len(label), -1)
+        for key, (flat, shapes, left_out) in shared.value.items():
+            rows = slice(None) if left_out < 0 else fold != left_out
+            loss, grad = batch_gradient(x[rows], label[rows], flat, shapes)
+            cuts = [grad[i : i + SLICE] for i in range(0, len(grad), SLICE)]
+            values = [np.array([len(label[rows]), loss]), *cuts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array(n), pa.array(loss), pa.array(list(grad))],
-                ["job", "n", "loss", "grad"],
+                [
+                    pa.array([key] * len(values), pa.int32()),
+                    pa.array(range(-1, len(cuts)), pa.int32()),
+                    pa.array(values, pa.list_(pa.float64())),
+                ],
+                ["job", "slice", "part"],
             )
 
-    vectors = data.mapInArrow(partials, "job int, n long, loss double, grad array<double>").select(
-        "job",
-        "n",
-        "loss",
-        array_to_vector("grad").alias("grad"),
-        (F.spark_partition_id() % FAN_IN).alias("part"),
-    )
-    for keys in (["job", "part"], ["job"]):
-        vectors = vectors.groupBy(*keys).agg(
-            F.sum("n").alias("n"),
-            F.sum("loss").alias("loss"),
-            Summarizer.sum(F.col("grad")).alias("grad"),
-        )
-    sums = {r.job: (r.n, r.loss, r.grad.toArray()) for r in vectors.collect()}
+    parts = data.mapInArrow(partials, "job int, slice int, part array<double>")
+    summed = parts.groupBy("job", "slice").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for job, place, part in summed.collect():
+        found.setdefault(job, {})[place] = part.toArray()
     shared.destroy()
-    if missing := set(jobs) - set(sums):
+    if missing := {k for k in jobs if k not in found or not found[k][-1][0]}:
         raise ValueError(f"no training rows for the networks {sorted(missing)}")
+    sums = {}
+    for job, slices in found.items():
+        n, loss = slices.pop(-1)
+        sums[job] = (int(n), float(loss), np.concatenate([slices[i] for i in sorted(slices)]))
     return sums
 
 
@@ -170,15 +174,38 @@ def lbfgs(x: np.ndarray, max_iter: int, tol: float = 1e-5) -> Generator:
     return x
 
 
+def waves(sizes: dict[int, int], limit: int) -> list[list[int]]:
+    """Jobs in order, in groups of at most ``limit`` weights together, of at least one job."""
+    out: list[list[int]] = []
+    held = 0
+    for job, size in sizes.items():
+        if not out or held + size > limit:
+            out.append([])
+            held = 0
+        out[-1].append(job)
+        held += size
+    return out
+
+
 def train_networks(
     data: DataFrame, n_inputs: int, settings: dict[int, dict], max_iter: int
 ) -> dict[int, tuple[np.ndarray, list]]:
-    """Train all networks in step; ``settings`` holds alpha, hidden and the left-out fold of each.
+    """Train all networks; ``settings`` holds alpha, hidden and the left-out fold of each.
 
-    ``data(x array<double>, label double, fold int)`` should be cached by the caller.
+    Networks train in step as long as they have no more than WAVE_WEIGHTS weights together, and
+    otherwise in waves. ``data(x array<double>, label double, fold int)`` should be cached by the
+    caller, with partitions that a task can hold.
     """
     ship_package(data.sparkSession)
     shapes = {k: _shapes(n_inputs, s["hidden"]) for k, s in settings.items()}
+    sizes = {k: sum(a * b + b for a, b in s) for k, s in shapes.items()}
+    done: dict[int, tuple[np.ndarray, list]] = {}
+    for wave in waves(sizes, WAVE_WEIGHTS):
+        done |= _train_wave(data, n_inputs, {k: settings[k] for k in wave}, shapes, max_iter)
+    return done
+
+
+def _train_wave(data, n_inputs: int, settings, shapes, max_iter: int) -> dict:
     runs = {
         k: lbfgs(initial_weights(n_inputs, s["hidden"], SEED), max_iter)
         for k, s in settings.items()
@@ -214,16 +241,24 @@ def predict(df: DataFrame, weights: np.ndarray, shapes: list, name: str = "predi
 
 
 def _scaled(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Standardised inputs, fitted on the training rows, as arrays; and how many there are."""
-    train = vectors.where("NOT is_test")
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    fitted = scaler.fit(train)
-    arrays = fitted.transform(vectors).withColumn("x", vector_to_array("scaled"))
-    return arrays.drop("features", "scaled"), len(fitted.mean)
+    """Standardised inputs as arrays, with the mean and population deviation of the training rows;
+    and how many there are. A constant input is only centred."""
+    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col("features"))
+    stats = vectors.where("NOT is_test").select(summary.alias("s")).first()["s"]
+    mean = stats["mean"].toArray()
+    deviation = np.sqrt(stats["variance"].toArray() * (1.0 - 1.0 / max(1, stats["count"])))
+    deviation[deviation == 0] = 1.0
+    centred = F.zip_with(vector_to_array("features"), _literal(mean), lambda x, m: x - m)
+    scaled = F.zip_with(centred, _literal(deviation), lambda x, d: x / d)
+    return vectors.withColumn("x", scaled).drop("features"), len(mean)
+
+
+def _literal(values: np.ndarray):
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
 def _inputs(arrays: DataFrame) -> DataFrame:
-    return arrays.where("NOT is_test").select("x", "label", "fold").persist()
+    return sized(arrays.where("NOT is_test").select("x", "label", "fold"))
 
 
 def _r2(rss: float | None, tss: float | None) -> float:
@@ -273,4 +308,5 @@ def forecast_mlp(vectors: DataFrame, params: dict | None = None, max_iter: int =
     trained = train_networks(data, n_inputs, {0: {**DEFAULTS, **(params or {})}}, max_iter)
     data.unpersist()
     predicted = encode.unlog(predict(arrays.where("is_test"), *trained[0]))
-    return predicted.select(*KEYS, "Time", F.lit("mlp").alias("model"), "pred", "real")
+    kept = ["cutoff"] if "cutoff" in vectors.columns else []
+    return predicted.select(*KEYS, "Time", *kept, F.lit("mlp").alias("model"), "pred", "real")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from panelcast.functions.expressions import add_months, as_date
 from panelcast.operators import arima, learn, mlp, smoothing
 from panelcast.operators.panel import KEYS, complete_series, forecast_rows, split_series
 from panelcast.plans.report import score
-from panelcast.session import shared_path
+from panelcast.session import shared_dir, shared_path
 from panelcast.sources import store
 
 HORIZON = 12
@@ -43,12 +44,41 @@ def backtest_series(
     return score(reduce(DataFrame.unionByName, rows))
 
 
-def _searched(vectors: DataFrame, model: str, grid, cutoff, path: str) -> dict:
-    """Search, save the winner, and give back what was saved."""
-    search = mlp.tune_mlp(vectors, grid) if model == "mlp" else learn.tune_regressor(vectors, model, grid)
-    store.write_params(store.best_regressor_params(search, cutoff), path)
-    rows = store.read_params(vectors.sparkSession, path, model)
-    return learn.best_settings(rows.where(F.col("cutoff") == F.lit(as_date(cutoff))))
+def _search(vectors: DataFrame, model: str, grid, cutoff, parallelism: int) -> DataFrame:
+    if model == "mlp":
+        search = mlp.tune_mlp(vectors, grid)
+    else:
+        search = learn.tune_regressor(vectors, model, grid, parallelism=parallelism)
+    return store.best_regressor_params(search, cutoff)
+
+
+def _forecast(vectors: DataFrame, model: str, settings) -> DataFrame:
+    if model == "mlp":
+        return mlp.forecast_mlp(vectors, settings)
+    return learn.forecast_regressor(vectors, model, settings)
+
+
+def regressor_frames(
+    panel: DataFrame,
+    start,
+    cutoffs: Sequence,
+    keys: Sequence[str] = KEYS,
+    order: Sequence[str] = ("Time",),
+) -> DataFrame:
+    """The training frames of all cutoffs, with the cutoff as a column.
+
+    Windows within series see the same rows whatever the cutoff, so their features are built once.
+    Windows that run on from product to product depend on where the cutoff ends each of them, and
+    are built for each cutoff.
+    """
+    if set(KEYS) <= set(keys):
+        return learn.cutoff_frame(panel, start, cutoffs, HORIZON)
+    frames = []
+    for cutoff in cutoffs:
+        complete = complete_series(panel, start, add_months(as_date(cutoff), HORIZON))
+        frame = learn.training_frame(complete, cutoff, keys=keys, order=order)
+        frames.append(frame.withColumn("cutoff", F.lit(as_date(cutoff))))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def backtest_regressors(
@@ -61,27 +91,54 @@ def backtest_regressors(
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ("Time",),
     saved: str | None = None,
+    parallelism: int = learn.PARALLELISM,
 ) -> DataFrame:
-    """Scored one-step forecasts of the regressors. Features are built once per cutoff.
+    """Scored one-step forecasts of the regressors. Features are built once for all cutoffs, and up
+    to ``parallelism`` models and cutoffs are fitted at the same time.
 
     A model with an entry in ``grids`` is searched on the folds of the training rows (None: its full
-    grid). The winner is saved below ``saved``, read back, and refitted on all training rows.
+    grid). The winners are saved below ``saved``, read back, and refitted on all training rows. The
+    ``lgbm`` profile keeps missing features missing, the others take them as 0.
     """
-    parts = []
-    if grids and saved is None:
-        saved = shared_path(panel.sparkSession, "regressor-params")
-    for cutoff in cutoffs:
-        end = add_months(as_date(cutoff), HORIZON)
-        complete = complete_series(panel, start, end)
-        frame = learn.training_frame(complete, cutoff, keys=keys, order=order)
-        vectors = learn.assemble(frame)
-        for model in models:
-            settings = (params or {}).get(model)
-            if model in (grids or {}):
-                settings = _searched(vectors, model, grids[model], cutoff, saved)
-            if model == "mlp":
-                forecast = mlp.forecast_mlp(vectors, settings)
-            else:
-                forecast = learn.forecast_regressor(vectors, model, settings)
-            parts.append(forecast.withColumn("cutoff", F.lit(as_date(cutoff))))
-    return score(reduce(DataFrame.unionByName, parts))
+    spark = panel.sparkSession
+    shared_dir(spark)
+    frame = regressor_frames(panel, start, cutoffs, keys, order)
+    filled = learn.assemble(frame).persist()
+    kept = learn.assemble(frame, missing="keep").persist() if "lgbm" in models else None
+    jobs = [(cutoff, model) for cutoff in cutoffs for model in models]
+
+    def rows_of(cutoff, model: str) -> DataFrame:
+        vectors = kept if model == "lgbm" else filled
+        return vectors.where(F.col("cutoff") == F.lit(as_date(cutoff))).drop("cutoff")
+
+    settings = {job: (params or {}).get(job[1]) for job in jobs}
+    searched = [job for job in jobs if job[1] in (grids or {})]
+    inner = max(1, parallelism // max(1, len(searched)))
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        found = pool.starmap(
+            lambda cutoff, model: _search(
+                rows_of(cutoff, model), model, grids[model], cutoff, inner
+            ),
+            searched,
+            chunksize=1,
+        )
+        if found:
+            saved = saved or shared_path(spark, "regressor-params")
+            store.write_params(reduce(DataFrame.unionByName, found), saved)
+            for cutoff, model in searched:
+                rows = store.read_params(spark, saved, model)
+                rows = rows.where(F.col("cutoff") == F.lit(as_date(cutoff)))
+                settings[cutoff, model] = learn.best_settings(rows)
+        parts = pool.starmap(
+            lambda cutoff, model: _forecast(
+                rows_of(cutoff, model), model, settings[cutoff, model]
+            ).withColumn("cutoff", F.lit(as_date(cutoff))),
+            jobs,
+            chunksize=1,
+        )
+    # The fitted models are part of the plan; the forecasts are few rows, so they are kept instead.
+    scored = store.saved(score(reduce(DataFrame.unionByName, parts)), shared_path(spark, "forecasts"))
+    for vectors in (filled, kept):
+        if vectors is not None:
+            vectors.unpersist()
+    return scored

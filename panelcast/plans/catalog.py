@@ -180,6 +180,34 @@ def wide_join_parquet(spark, folder):
     return wide.join_reports(reports).where("Import IS NOT NULL")
 
 
+@query
+def wide_join_quoted(spark, folder):
+    """Reports with quotes and line breaks in importers' names, written as text by the rules of CSV
+    and not by this library's writer."""
+    name = F.concat(F.lit('The "'), F.col("Country"), F.lit('",\n\nRepublic of ""'))
+    quoted = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+    months = [f"M{m:02d}" for m in range(1, 13)]
+    panel = panel_from_tables(spark, folder).withColumns(
+        {"year": F.year("Time"), "month": F.date_format("Time", "'M'MM")}
+    )
+    rows = panel.groupBy("Product", "Country", "year").pivot("month", months).agg(F.max("Import"))
+    cells = [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in months]
+    line = F.concat_ws(",", quoted, *cells)
+    labels = [F.concat(F.col("year").cast("string"), F.lit(f"-{m}")) for m in months]
+    header = F.concat_ws(",", F.lit(wide.ID), *labels)
+    # One file for each report of a product: its header, then a line for each of its importers.
+    files = rows.groupBy("Product", "year").agg(
+        F.concat_ws("\n", F.any_value(header), F.sort_array(F.collect_list(line))).alias("value")
+    )
+    path = shared_path(spark, "quoted-reports")
+    files = files.withColumnRenamed("Product", "product")
+    for year in range(1995, 2002):
+        part = files.where(F.col("year") == year).drop("year")
+        part.repartition("product").write.partitionBy("product").text(f"{path}/y{year}", compression="none")
+    found = wide.join_reports(wide.read_wide_reports(spark, path, pattern="*.txt"))
+    return found.where("Import IS NOT NULL")
+
+
 @query
 def wide_conflicts(spark, folder):
     """Every year is reported twice: the second time with revised June values."""
@@ -321,6 +349,15 @@ def jitter_scale(spark, folder):
     return panel.agg(features.jitter_scale_of("Import").alias("scale"))
 
 
+@query
+def jitter_noise(spark, folder):
+    """Every month of the panel with noise of a twentieth of the mean."""
+    panel = panel_from_tables(spark, folder)
+    scale = panel.agg(features.jitter_scale_of("Import")).first()[0]
+    noisy = features.jitter(panel.withColumn("noisy", F.col("Import")), "noisy", scale, learn.SEED)
+    return _round(noisy, 2, "noisy")
+
+
 # --- closed-form forecasts -------------------------------------------------------------------
 
 
@@ -611,6 +648,21 @@ def arima_param_freq(spark, folder):
     return report.parameter_frequency(tuned, arima.ORDER_COLUMNS)
 
 
+@query
+def arima_certificate(spark, folder):
+    """Of all 64 orders of every series: the least sum of squares over a grid of coefficients, that
+    the fit is no worse, and that it stands at a minimum."""
+    found = arima.certify_arima(_series(spark, folder))
+    return found.select(
+        "Country",
+        "Product",
+        *arima.ORDER_COLUMNS,
+        F.round(F.log("least"), 6).alias("log_least"),
+        (F.col("sse") <= F.col("least") * (1 + 1e-9)).alias("not_worse"),
+        (F.col("slope") < 1e-4).alias("at_minimum"),
+    )
+
+
 @query
 def arima_grid_best(spark, folder):
     best = arima.tune_arima(_series(spark, folder))
@@ -625,12 +677,13 @@ def arima_forecast(spark, folder):
 # --- regressors ------------------------------------------------------------------------------
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return learn.assemble(learn.training_frame(_complete(spark, folder), LAST))
+def _vectors(spark: SparkSession, folder: str, missing: str = "zero") -> DataFrame:
+    return learn.assemble(learn.training_frame(_complete(spark, folder), LAST), missing)
 
 
 def _regressor(spark: SparkSession, folder: str, model: str) -> DataFrame:
-    return report.score(learn.forecast_regressor(_vectors(spark, folder), model))
+    vectors = _vectors(spark, folder, "keep" if model == "lgbm" else "zero")
+    return report.score(learn.forecast_regressor(vectors, model))
 
 
 @query
@@ -720,6 +773,46 @@ def lgbm_month_means(spark, folder):
     return _month_means(spark, folder, "lgbm", {"maxIter": 1})
 
 
+@query
+def lgbm_missing_side(spark, folder):
+    """One split on a month that is missing in January, of a target raised in January and from July
+    on: the split has to send missing values the way of the large ones."""
+    raised = F.when((F.month("Time") == 1) | (F.month("Time") >= 7), 1000.0).otherwise(1.0)
+    rows = _complete(spark, folder).withColumn("Import", F.col("Import") * raised)
+    rows = encode.log_target(rows.withColumn("real", F.col("Import")))
+    rows = rows.withColumnRenamed("Import", "label").withColumns(
+        {
+            "x": F.when(F.month("Time") > 1, F.month("Time")),
+            "is_test": F.col("Time") >= F.lit(as_date(LAST)),
+        }
+    )
+    rows, inputs = learn.two_sided(rows, ["x"])
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
+    stump = {"maxIter": 1, "maxDepth": 1, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+    return _round(learn.forecast_regressor(vectors, "lgbm", stump), 2, "pred")
+
+
+@query
+def regressor_r2(spark, folder):
+    """The search score of one whole tree on the month: its mean R2 over the folds."""
+    vectors = _month_vectors(spark, folder)
+    train = folds.with_folds(vectors.where("NOT is_test"))
+    tree = {"maxDepth": [12], "featureSubsetStrategy": ["all"]}
+    forest = learn.tune_regressor(train, "rf", {**tree, "numTrees": [1], "bootstrap": [False]})
+    boosted = learn.tune_regressor(train, "gbm", {**tree, "maxIter": [1, 2, 3], "stepSize": [0.1]})
+    length = F.coalesce(F.col("params")["numTrees"], F.col("params")["maxIter"]).cast("int")
+    found = forest.unionByName(boosted).select("model", length.alias("trees"), "r2")
+    return _round(found, 8, "r2")
+
+
+@query
+def input_names(spark, folder):
+    """The regressors' inputs in the order of the vector."""
+    attributes = _vectors(spark, folder).schema["features"].metadata["ml_attr"]["attrs"]
+    rows = [(a["idx"], a["name"]) for kind in attributes.values() for a in kind]
+    return spark.createDataFrame(rows, "idx int, name string")
+
+
 @query
 def mlp_line(spark, folder):
     """A network without hidden units on the month alone is the least-squares line of logarithms."""
@@ -728,28 +821,34 @@ def mlp_line(spark, folder):
     return found.withColumn("pred", F.round(F.log1p("pred"), 3))
 
 
+#: Grids of the registered searches: both values of what shapes a tree, and three lengths of each
+#: ensemble, which share the fits of the longest. ``learn.FULL_GRIDS`` has the reference's.
+SEARCH_GRIDS = {
+    "lgbm": {"featureSubsetStrategy": ["0.4"], "stepSize": [0.1], "maxIter": [10, 20, 40], "maxDepth": [5]},
+    "rf": {"maxDepth": [10], "featureSubsetStrategy": ["20", "40"], "numTrees": [100, 200]},
+    "gbm": {"stepSize": [0.1], "maxDepth": [5], "maxIter": [10, 20, 40]},
+    "xgb": {"featureSubsetStrategy": ["0.5"], "maxIter": [10, 20, 40], "maxDepth": [5], "stepSize": [0.1]},
+    "catb": {"maxIter": [10, 20, 40], "stepSize": [0.1], "maxDepth": [5]},
+    "mlp": {"alpha": [0.1, 0.01], "hidden": [(150, 250, 100)]},
+}
+
+
 @query
 def regressor_search(spark, folder):
-    grid = {"maxDepth": [5, 10], "numTrees": [10]}
-    return learn.tune_regressor(_vectors(spark, folder), "rf", grid)
+    return learn.tune_regressor(_vectors(spark, folder), "rf", SEARCH_GRIDS["rf"])
 
 
 @query
 def regressor_pipeline(spark, folder):
-    """Search, save, reload, refit and forecast, for both years; grids of two candidates each."""
+    """Search, save, reload, refit and forecast with all six models, for both years."""
     panel = P.offset_values(_panel(spark, folder))
-    grids = {
-        "rf": {"maxDepth": [5, 10], "numTrees": [10]},
-        "mlp": {"alpha": [0.1, 0.01], "hidden": [(16, 8)]},
-    }
-    scored = backtest.backtest_regressors(panel, START, CUTOFFS, ("rf", "mlp"), grids=grids)
+    scored = backtest.backtest_regressors(panel, START, CUTOFFS, grids=SEARCH_GRIDS)
     return report.rank_products(scored)
 
 
 @query
 def mlp_search(spark, folder):
-    grid = {"alpha": [0.1, 0.01], "hidden": [(16, 8)]}
-    return mlp.tune_mlp(_vectors(spark, folder), grid, max_iter=20)
+    return mlp.tune_mlp(_vectors(spark, folder), SEARCH_GRIDS["mlp"])
 
 
 _SCORED: dict[tuple[str, str], str] = {}

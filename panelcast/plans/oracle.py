@@ -182,6 +182,43 @@ def _ar_rows(p: int, d: int, sp: int, sd: int) -> str:
         FROM ar_fits, (SELECT unnest(range(1, 13)) AS i)"""
 
 
+def _arima_certificate() -> str:
+    """Least sum of squares over coefficients of -0.5 and 0.5, all orders, errors by recursion."""
+    bits = ", ".join(f"(SELECT unnest([0, 1]) AS {c})" for c in ("p", "d", "q", "sp", "sd", "sq"))
+    tries = "".join(
+        f", (SELECT unnest([0.0, -0.5, 0.5]::DOUBLE[]) AS {name})" for name in ("ar", "ma", "sar", "sma")
+    )
+    free = " AND ".join(
+        f"({name} <> 0) = ({order} = 1)"
+        for name, order in (("ar", "p"), ("ma", "q"), ("sar", "sp"), ("sma", "sq"))
+    )
+    before = "coalesce(CASE WHEN i > {0} THEN w[i - {0}] END, 0)"
+    lagged = "coalesce(CASE WHEN t >= {0} THEN e[t - {0} + 1] END, 0)"
+    return f"""WITH RECURSIVE {_SERIES_OK}, orders_ AS (SELECT * FROM {bits}),
+ys AS (
+  SELECT "Country", "Product", list("Import" ORDER BY "Time") FILTER (WHERE is_train) AS y
+  FROM history WHERE cutoff = DATE '2000-01-01' GROUP BY 1, 2),
+seasonal AS (
+  SELECT *, CASE WHEN sd = 1 THEN [y[i] - y[i - 12] for i in range(13, len(y) + 1)] ELSE y END AS u
+  FROM ys, orders_),
+differenced AS (
+  SELECT *, CASE WHEN d = 1 THEN [u[i] - u[i - 1] for i in range(2, len(u) + 1)] ELSE u END AS w
+  FROM seasonal),
+lanes AS (SELECT *, row_number() OVER () AS lane FROM differenced{tries} WHERE {free}),
+inputs AS (
+  SELECT lane, ma, sma, [w[i] - ar * {before.format(1)} - sar * {before.format(12)}
+    + ar * sar * {before.format(13)} for i in range(1 + p + 12 * sp, len(w) + 1)] AS z FROM lanes),
+steps AS (
+  SELECT lane, ma, sma, z, 0 AS t, []::DOUBLE[] AS e FROM inputs
+  UNION ALL
+  SELECT lane, ma, sma, z, t + 1, list_append(e, z[t + 1] - ma * {lagged.format(1)}
+    - sma * {lagged.format(12)} - ma * sma * {lagged.format(13)}) FROM steps WHERE t < len(z)),
+sums AS (SELECT lane, list_sum([x * x for x in e]) AS sse FROM steps WHERE t = len(z))
+SELECT "Country", "Product", p, d, q, sp, sd, sq, round(ln(min(sse)), 6) AS log_least,
+  true AS not_worse, true AS at_minimum
+FROM lanes JOIN sums USING (lane) GROUP BY ALL"""
+
+
 _BY_SERIES = '(PARTITION BY "Country", "Product" ORDER BY "Time")'
 _BY_COUNTRY = '(PARTITION BY "Country" ORDER BY "Product", "Time")'
 _EWM = ", ".join(f'round(e{_tag(a)}, 2) AS "Import_ewm_alpha_{_tag(a)}"' for a in ALPHAS)
@@ -254,6 +291,10 @@ def oracle_sql() -> dict[str, str]:
     q["wide_join"] = f"""WITH {_PANEL_ALL} SELECT * FROM panel_all
         QUALIFY COUNT(DISTINCT year("Time")) OVER (PARTITION BY "Country", "Product") = 7"""
     q["wide_join_parquet"] = q["wide_join"]
+    q["wide_join_quoted"] = f"""WITH {_PANEL_ALL} SELECT * REPLACE (
+        'The "' || "Country" || '",' || chr(10) || chr(10) || 'Republic of ""' AS "Country")
+        FROM (SELECT * FROM panel_all
+        QUALIFY COUNT(DISTINCT year("Time")) OVER (PARTITION BY "Country", "Product") = 7)"""
     q["wide_conflicts"] = f"""WITH {_PANEL_ALL} SELECT "Product", "Country", "Time", "Import" AS low,
         "Import" + 1.0 AS high FROM panel_all WHERE month("Time") = 6"""
 
@@ -302,6 +343,14 @@ def oracle_sql() -> dict[str, str]:
         f'coalesce(lag("Import", {k}) OVER {_BY_SERIES}, 0.0) AS "Import_lag_{k}"' for k in LAGS
     )
     q["fill_zero"] = f"WITH {_COMPLETE} SELECT *, {filled} FROM complete"
+    digits = """md5('4;' || strlen("Country") || ':' || "Country" || strlen("Product") || ':'
+        || "Product" || '10:' || CAST("Time" AS VARCHAR))"""
+    bits = [f"CAST(CAST('0x' || substr({digits}, {at}, 13) AS BIGINT) AS DOUBLE)" for at in (1, 14)]
+    q["jitter_noise"] = f"""WITH {_PANEL_ALL}, noise AS (
+        SELECT *, sqrt(-2 * ln(({bits[0]} + 1) / 4503599627370496))
+          * cos({bits[1]} * (2 * pi() / 4503599627370496)) AS z FROM panel_all)
+        SELECT "Country", "Product", "Time", "Import",
+          round("Import" + z * (SELECT round(avg("Import") / 20) FROM panel_all), 2) AS noisy FROM noise"""
     q["jitter_scale"] = f'WITH {_PANEL_ALL} SELECT round(avg("Import") / 20) AS scale FROM panel_all'
 
     one = 'SELECT "Country", "Product", cutoff, "Time", model, {pred} AS pred, real FROM forecasts'
@@ -412,6 +461,7 @@ def oracle_sql() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY "Country", "Product"
                                    ORDER BY mae, p, d, q, sp, sd, sq) = 1"""
 
+    q["arima_certificate"] = _arima_certificate()
     winner = """QUALIFY row_number() OVER (PARTITION BY "Country", "Product", cutoff
         ORDER BY mae, p, d, q, sp, sd, sq) = 1"""
     q["arima_params_roundtrip"] = f"""WITH {_ar(_AR_ORDERS, both)},
@@ -422,6 +472,33 @@ def oracle_sql() -> dict[str, str]:
     q["arima_param_freq"] = f"""WITH {_ar(_AR_ORDERS)}, chosen AS (SELECT * FROM ar_fits {winner})
         SELECT p, d, q, sp, sd, sq, COUNT(*) AS wins, CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total
         FROM chosen GROUP BY 1, 2, 3, 4, 5, 6"""
+    q["lgbm_missing_side"] = f"""WITH {_COMPLETE}, raised AS (
+        SELECT * REPLACE ("Import" * CASE WHEN month("Time") = 1 OR month("Time") >= 7 THEN 1000.0
+          ELSE 1.0 END AS "Import"), month("Time") = 1 OR month("Time") >= 7 AS high FROM complete),
+        means AS (SELECT high, avg(ln(1 + "Import")) AS m FROM raised WHERE "Time" < {last} GROUP BY 1)
+        SELECT "Country", "Product", "Time", 'lgbm' AS model, round(exp(m) - 1, 2) AS pred,
+          "Import" AS real FROM raised JOIN means USING (high) WHERE "Time" >= {last}"""
+    q["regressor_r2"] = f"""WITH {_COMPLETE}, dealt AS (
+        SELECT month("Time") AS m, ln(1 + "Import") AS y,
+          ntile(5) OVER (ORDER BY "Product", "Country", "Time") AS fold
+        FROM complete WHERE "Time" < {last}),
+        sums AS (SELECT m, fold, sum(y) AS s, count(*) AS c FROM dealt GROUP BY 1, 2),
+        means AS (SELECT a.m, a.fold, sum(b.s) / sum(b.c) AS p FROM sums a
+          JOIN sums b ON b.m = a.m AND b.fold <> a.fold GROUP BY 1, 2),
+        scores AS (SELECT fold, 1 - avg((y - p) ** 2) / var_pop(y) AS r2
+          FROM dealt JOIN means USING (m, fold) GROUP BY 1)
+        SELECT model, CAST(trees AS INTEGER) AS trees, round(avg(r2), 8) AS r2
+        FROM scores, (VALUES ('rf', 1), ('gbm', 1), ('gbm', 2), ('gbm', 3)) AS v(model, trees)
+        GROUP BY 1, 2"""
+    names = [f"Import_lag_{k}" for k in LAGS] + [f"Import_roll_mean_{n}" for n in WINDOWS]
+    names += [f"Import_ewm_alpha_{_tag(a)}_lag_{k}" for a in ALPHAS for k in EWM_LAGS]
+    values = ", ".join(f"({i}, '{name}')" for i, name in enumerate([*names, "month", "year"]))
+    q["input_names"] = f"""WITH {_COMPLETE}, levels AS (
+        SELECT 1 AS part, "Country" AS level FROM complete
+        UNION SELECT 2, "Product" FROM complete)
+        SELECT CAST(i AS INTEGER) AS idx, name FROM (VALUES {values}) AS v(i, name)
+        UNION ALL SELECT CAST({len(names) + 1} + row_number() OVER (ORDER BY part, level) AS INTEGER),
+          CASE part WHEN 1 THEN '_Country_dummies_' ELSE '_Product_dummies_' END || level FROM levels"""
     q["fold_sizes"] = f"""WITH {_COMPLETE} SELECT CAST(fold AS INTEGER) AS fold, "Product",
         COUNT(*) AS n FROM (SELECT "Product", ntile(5) OVER (ORDER BY "Product", "Country", "Time")
         - 1 AS fold FROM complete WHERE "Time" < {last}) GROUP BY 1, 2"""

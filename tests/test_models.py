@@ -249,6 +249,130 @@ def test_search_returns_one_best_candidate(spark, vectors, tmp_path):
     assert learn.best_settings(saved) == {"maxDepth": 6, "numTrees": 5}
 
 
+def _r2_of(rows, model, params, folds=5):
+    """Mean R2 of separate fits, one per fold."""
+    out = []
+    for fold in range(folds):
+        held = rows.where(F.col("fold") == fold)
+        fitted = learn.fit_ensemble(rows.where(F.col("fold") != fold), model, params)
+        if model == "rf":
+            found = fitted.lengths(held, [params["numTrees"]]).selectExpr(
+                "label", f"_p{params['numTrees']} AS p"
+            )
+        else:
+            found = fitted.parts[0][1].transform(held).selectExpr("label", "prediction AS p")
+        error, spread = found.agg(F.avg((F.col("label") - F.col("p")) ** 2), F.var_pop("label")).first()
+        out.append(1 - error / spread)
+    return sum(out) / folds
+
+
+def test_prefix_scores_of_boosting_equal_separate_short_fits(vectors):
+    grid = {"stepSize": [0.1, 0.3], "maxDepth": [3], "maxIter": [2, 5, 9]}
+    tuned = learn.tune_regressor(vectors, "gbm", grid).collect()
+    assert [(r.params["stepSize"], r.params["maxIter"]) for r in tuned] == [
+        (s, n) for s in ("0.1", "0.3") for n in ("2", "5", "9")
+    ]
+    rows = learn.sized(vectors.where("NOT is_test").select("features", "label", "fold"))
+    for row in tuned[1:5:3]:
+        params = {"stepSize": float(row.params["stepSize"]), "maxDepth": 3}
+        params["maxIter"] = int(row.params["maxIter"])
+        assert row.r2 == pytest.approx(_r2_of(rows, "gbm", params), rel=1e-9)
+
+
+def test_prefixes_of_a_forest_equal_separate_forests(vectors, monkeypatch):
+    monkeypatch.setattr(learn, "PART_TREES", 4)
+    grid = {"maxDepth": [4], "numTrees": [4, 8, 12]}
+    tuned = learn.tune_regressor(vectors, "rf", grid).collect()
+    rows = learn.sized(vectors.where("NOT is_test").select("features", "label", "fold"))
+    for row in tuned[:2]:
+        params = {"maxDepth": 4, "numTrees": int(row.params["numTrees"])}
+        assert row.r2 == pytest.approx(_r2_of(rows, "rf", params), rel=1e-9)
+    with pytest.raises(ValueError, match="no beginning"):
+        learn.fit_ensemble(rows, "rf", {"maxDepth": 2, "numTrees": 8}).lengths(rows, [6])
+
+
+def test_search_shares_the_fits_of_the_longest(vectors, monkeypatch):
+    fits = []
+    fit = learn.fit_ensemble
+    monkeypatch.setattr(learn, "fit_ensemble", lambda r, m, p: fits.append(p) or fit(r, m, p))
+    grid = {"stepSize": [0.1, 0.2, 0.3], "maxDepth": [1, 2, 3], "maxIter": [1, 2, 3]}
+    tuned = learn.tune_regressor(vectors, "gbm", grid, folds=2)
+    assert tuned.count() == 27 and len(fits) == 9 * 2
+    assert {p["maxIter"] for p in fits} == {3}
+
+
+def test_missing_values_are_coded_on_both_sides(spark):
+    rows = [(1.0, None), (2.0, 5), (None, 7)]
+    frame = spark.createDataFrame(rows, "a double, b int")
+    coded, names = learn.two_sided(frame, ["a", "b"])
+    assert names == ["a_below", "a_above", "b_below", "b_above"]
+    got = coded.select(*names).collect()
+    assert (got[2].a_below, got[2].a_above) == (0.0, 3.0)
+    assert (got[0].b_below, got[0].b_above) == (3.0, 9.0)
+    assert learn.two_sided(frame.fillna(0), ["a", "b"])[1] == ["a", "b"]
+
+
+def test_one_frame_serves_all_cutoffs(noisy):
+    cutoffs = ["2017-01-01", "2018-01-01"]
+    short = noisy.where("NOT (Country = 'a' AND Time >= '2018-06-01')")
+    frame = backtest.regressor_frames(short, "2012-01-01", cutoffs)
+    for cutoff, end in zip(cutoffs, ("2018-01-01", "2019-01-01")):
+        alone = learn.training_frame(P.complete_series(short, "2012-01-01", end), cutoff)
+        mine = frame.where(F.col("cutoff") == F.lit(cutoff).cast("date")).select(*alone.columns)
+        assert mine.exceptAll(alone).isEmpty() and alone.exceptAll(mine).isEmpty()
+    plan = frame._jdf.queryExecution().toString()
+    assert plan.count("Import_ewm_alpha_09_lag_24") >= 1
+
+
+def test_backtest_of_several_models_searches_and_keeps_all_rows(noisy, tmp_path):
+    cutoffs = ["2017-01-01", "2018-01-01"]
+    grids = {
+        "gbm": {"maxIter": [2, 4], "maxDepth": [3]},
+        "mlp": {"alpha": [0.1], "hidden": [(4,)]},
+    }
+    path = str(tmp_path / "params")
+    scored = backtest.backtest_regressors(
+        noisy, "2012-01-01", cutoffs, ("lgbm", "gbm", "mlp"), grids=grids, saved=path,
+        params={"lgbm": {"maxIter": 2, "maxDepth": 3}},
+    )
+    assert {(r.model, str(r.cutoff), r["count"]) for r in scored.groupBy("model", "cutoff").count().collect()} == {
+        (m, c, 108) for m in ("lgbm", "gbm", "mlp") for c in cutoffs
+    }
+    assert store.read_params(noisy.sparkSession, path).count() == 4
+
+
+def test_waves_hold_a_bounded_number_of_weights(spark):
+    assert mlp.waves({1: 5, 2: 5, 3: 9, 4: 30, 5: 1}, 10) == [[1, 2], [3], [4], [5]]
+    rng = np.random.default_rng(6)
+    rows = [(v.tolist(), float(v[0]), i % 5) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    data = spark.createDataFrame(rows, "x array<double>, label double, fold int").coalesce(2)
+    settings = {i: {"alpha": 0.1, "hidden": (4, 3), "left_out": i - 1} for i in range(3)}
+    together = mlp.train_networks(data, 3, settings, max_iter=6)
+    before, mlp.WAVE_WEIGHTS, mlp.SLICE = (mlp.WAVE_WEIGHTS, mlp.SLICE), 1, 7
+    try:
+        apart = mlp.train_networks(data, 3, settings, max_iter=6)
+    finally:
+        mlp.WAVE_WEIGHTS, mlp.SLICE = before
+    for key in settings:
+        np.testing.assert_allclose(together[key][0], apart[key][0], rtol=1e-7)
+
+
+def test_orders_are_dealt_by_cost():
+    hands = arima.deal(arima.GRID, 8)
+    assert sorted(i for hand in hands for i in hand) == list(range(64))
+    costs = [sum(arima.cost_of(arima.GRID[i]) for i in hand) for hand in hands]
+    assert max(costs) < 1.1 * min(costs)
+    assert arima.deal(arima.GRID[:3], 3) and len(arima.deal(arima.GRID[:3], 3)) == 3
+
+
+def test_certificates_hold_and_no_grid_point_is_better(noisy):
+    rows = P.split_series(noisy, "2012-01-01", ["2018-01-01"]).where("Country = 'a'")
+    found = arima.certify_arima(rows, points=(-0.9, -0.45, 0.0, 0.45, 0.9)).collect()
+    assert len(found) == 64 * rows.count()
+    assert all(r.sse <= r.least * (1 + 1e-9) for r in found)
+    assert all(r.slope < 1e-4 for r in found)
+
+
 def test_network_gradient_equals_differences():
     rng = np.random.default_rng(0)
     x, label = rng.normal(size=(20, 4)), rng.normal(size=20)
