@@ -15,12 +15,36 @@ BITMAP_BITS = 1 << 22
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors. The
+    shuffle files of the write go with its end, since nothing reads them again."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`stored` has written, once nothing will read it again."""
+    context = table.sparkSession.sparkContext
+    for file in table.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the actions inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Hand at most so many rows to Python at once, for actions inside: it bounds their memory."""
@@ -37,13 +61,8 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 def arrow_bytes(spark: SparkSession, limit: int) -> Iterator[None]:
     """Hand batches of about so many bytes to Python, for actions inside: it bounds their memory
     whatever the length of a row, which a number of rows does not."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(limit))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(limit)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def text_of(name: str = "text") -> Column:

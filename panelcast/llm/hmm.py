@@ -20,7 +20,6 @@ frequent word has one row per block.
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import stored
+from panelcast.llm.common import arrow_bytes, discard, stored
 from panelcast.llm.words import text_blocks
-from panelcast.session import checkpoint, ship_package
+from panelcast.session import ship_package
 
 #: Hash classes of words in the random start (0 is the end of a text), latent states, rounds of
 #: Baum-Welch. Words of a class start alike and then learn apart.
 SYMBOLS, STATES, ROUNDS = 1 << 15, 6, 5
-#: Bytes of text in a block; tokens of a training segment.
-BLOCK_BYTES, SEGMENT = 8 << 20, 256
+#: Bytes of text in a block; tokens of a training segment. A large block names its words less often.
+BLOCK_BYTES, SEGMENT = 32 << 20, 256
 #: A word's id is its bucket, shifted by so many bits, and its place in the bucket.
 PLACE_BITS = 33
 #: Smoothing of counts, and weight of the corpus in the split of a word over states, in tokens.
@@ -133,6 +132,41 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     return stored(counts.withColumns({"symbol": symbol.cast("int"), "id": ids}), "word-counts")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), CODEC, asbytes=True)
+
+
+def _unpacked(packed: pa.BinaryScalar, n: int, kind) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(packed.as_buffer(), n * np.dtype(kind).itemsize, CODEC)
+    return np.frombuffer(raw, kind)
+
+
+def _pack(batches: _Batches) -> _Batches:
+    """The known words of each block, packed: id (as steps, which are small), place in the block and
+    count in ``known``, hash class in ``symbols``."""
+    for batch in batches:
+        at = {name: batch.schema.get_field_index(name) for name in ("id", "at", "c", "symbol")}
+        kept = [i for i in range(batch.num_columns) if i not in at.values()]
+        for row in range(batch.num_rows):
+            ids, places, counts, symbols = (
+                v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, np.int64)
+                for v in (batch.column(i)[row] for i in at.values())
+            )
+            parts = [np.diff(ids, prepend=0), places.astype(np.int32), counts.astype(np.int64)]
+            known = _packed(np.frombuffer(b"".join(p.tobytes() for p in parts), np.uint8))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).slice(row, 1) for i in kept),
+                    pa.array([len(ids)], pa.int32()),
+                    pa.array([known], pa.binary()),
+                    pa.array([_packed(symbols.astype(np.int16))], pa.binary()),
+                ],
+                [*(batch.schema.names[i] for i in kept), "n_known", "known", "symbols"],
+            )
+
+
 def _placed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """The blocks with place, id, count and symbol of their known words in order of id."""
     found = (
@@ -143,7 +177,13 @@ def _placed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     )
     kept = blocks.select("block", "ids", "held", "sizes", "tokens", F.size("words").alias("n_words"))
     known = [F.col(f"_x.{c}").alias(c) for c in ("id", "at", "c", "symbol")]
-    return stored(kept.join(found, "block", "left").select(*kept.columns, *known), "placed")
+    joined = kept.join(found, "block", "left").select(*kept.columns, *known)
+    packed = joined.mapInArrow(
+        _pack,
+        "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, "
+        "n_words int, n_known int, known binary, symbols binary",
+    )
+    return stored(packed, "placed")
 
 
 # --- recursions ------------------------------------------------------------------------------
@@ -221,20 +261,25 @@ def expected_counts(model: Model, codes: np.ndarray, begins, sizes):
 # --- training --------------------------------------------------------------------------------
 
 
-def _known(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
-    value = batch.column(name)[row]
-    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
+def _known(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, places and counts of a block's known words."""
+    n = batch.column("n_known")[row].as_py()
+    raw = _unpacked(batch.column("known")[row], 20 * n, np.uint8)
+    ids = np.cumsum(raw[: 8 * n].view(np.int64))
+    return ids, raw[8 * n : 12 * n].view(np.int32), raw[12 * n :].copy().view(np.int64)
 
 
 def _emissions(shared: Shared, batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """Training counts and emissions of a block's words."""
-    at, k = _known(batch, row, "at"), len(shared.start)
+    k = len(shared.start)
+    _, at, counts = _known(batch, row)
     known = np.zeros(batch.column("n_words")[row].as_py(), np.int64)
-    known[at] = _known(batch, row, "c")
+    known[at] = counts
     base = shared.base(known)[:, None]
     if shared.first is not None:
+        symbols = _unpacked(batch.column("symbols")[row], len(at), np.int16)
         emits = base * shared.first[SYMBOLS]
-        emits[at] = base[at] * shared.first[_known(batch, row, "symbol")]
+        emits[at] = base[at] * shared.first[symbols]
         return known, emits
     emits = np.repeat(PRIOR * shared.share[None], len(base), axis=0)
     got = sorted(batch.column("got")[row].as_py() or [], key=lambda g: g["bucket"])
@@ -255,15 +300,25 @@ def _segments(batch: pa.RecordBatch, row: int):
     return codes, np.repeat(begins, parts) + nth * SEGMENT, np.minimum(left, SEGMENT)
 
 
-_COUNTS = "bucket int, block long, places binary, sums binary"
+#: Rows between blocks and buckets: sums that a block adds to a bucket, then its request for the
+#: totals of the same places, and heads, which stand in bucket -1.
+_COUNTS = "bucket int, asks boolean, block long, places binary, sums binary"
 
 
 def _expect(model, batches: _Batches) -> _Batches:
-    """Expected counts: of each block one row per bucket of its words, and one head per task."""
+    """Expected counts: of each block two rows per bucket of its words, and one head per task."""
     shared: Shared = model.value
     k = len(shared.start)
     head = np.zeros(k + k * k + 2 * k + 1)
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary())])
+    schema = pa.schema(
+        [
+            ("bucket", pa.int32()),
+            ("asks", pa.bool_()),
+            ("block", pa.int64()),
+            ("places", pa.binary()),
+            ("sums", pa.binary()),
+        ]
+    )
     for batch in batches:
         for row in range(batch.num_rows):
             known, emits = _emissions(shared, batch, row)
@@ -276,41 +331,46 @@ def _expect(model, batches: _Batches) -> _Batches:
                 counts += part[2]
                 sizes_z = [part[2].sum(axis=0), weights @ part[2]]
                 head += np.concatenate([part[0], part[1].ravel(), *sizes_z, [part[3]]])
-            ids = _known(batch, row, "id")
-            sums = counts[_known(batch, row, "at")].astype(np.float32)
+            ids, at, _ = _known(batch, row)
+            sums = counts[at].astype(np.float32)
             buckets, cuts = np.unique(ids >> PLACE_BITS, return_index=True)
             places = (ids & ((1 << PLACE_BITS) - 1)).astype(np.int32)
             block = batch.column("block")[row].as_py()
-            rows = [
-                {"bucket": bucket, "block": block, "places": places[a:b].tobytes(), "sums": sums[a:b].tobytes()}
-                for bucket, a, b in zip(buckets.tolist(), cuts, [*cuts[1:], len(ids)])
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema)
-    yield pa.RecordBatch.from_pylist([{"bucket": -1, "block": -1, "places": b"", "sums": head.tobytes()}], schema)
+            for bucket, a, b in zip(buckets.tolist(), cuts, [*cuts[1:], len(ids)]):
+                mine = places[a:b].tobytes()
+                columns = [[bucket] * 2, [False, True], [block] * 2, [mine] * 2, [sums[a:b].tobytes(), b""]]
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns)), schema)
+    columns = [[-1], [False], [-1], [b""], [head.tobytes()]]
+    yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns)), schema)
 
 
 def _add(states: int, batches: _Batches) -> _Batches:
-    """Sum buckets over all blocks, and give each block the sums of its words back."""
-    asked, totals, head = [], {}, 0
+    """Sum buckets over all blocks, and give each block the sums of its words back. Rows come sorted
+    by bucket, sums before requests, so that a task holds the totals of one bucket at a time."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary())])
+    current, total, head = None, np.zeros((0, states)), 0
     for batch in batches:
-        for bucket, block, places, sums in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for row in range(batch.num_rows):
+            bucket, asks, block, places, sums = (batch.column(i)[row] for i in range(5))
+            bucket = bucket.as_py()
             if bucket < 0:
-                head = head + np.frombuffer(sums)
+                head = head + np.frombuffer(sums.as_buffer())
+                continue
+            if bucket != current:
+                current, total = bucket, np.zeros((0, states))
+            places = np.frombuffer(places.as_buffer(), np.int32)
+            if asks.as_py():
+                found = total[places].astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_pydict(
+                    {"block": [block.as_py()], "bucket": [bucket], "sums": [found]}, schema
+                )
                 continue
-            places = np.frombuffer(places, np.int32)
-            asked.append((bucket, block, places))
-            total = totals.get(bucket, np.zeros((0, states)))
             if len(total) <= places.max():
                 more = max(int(places.max()) + 1, 2 * len(total)) - len(total)
                 total = np.concatenate([total, np.zeros((more, states))])
-            total[places] += np.frombuffer(sums, np.float32).reshape(-1, states)
-            totals[bucket] = total
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary())])
-    for bucket, block, places in asked:
-        sums = totals[bucket][places].astype(np.float32).tobytes()
-        yield pa.RecordBatch.from_pylist([{"block": block, "bucket": bucket, "sums": sums}], schema)
+            total[places] += np.frombuffer(sums.as_buffer(), np.float32).reshape(-1, states)
     if not isinstance(head, int):
-        yield pa.RecordBatch.from_pylist([{"block": -1, "bucket": -1, "sums": head.tobytes()}], schema)
+        yield pa.RecordBatch.from_pydict({"block": [-1], "bucket": [-1], "sums": [head.tobytes()]}, schema)
 
 
 def _first_model(counts: DataFrame, states: int, seed: int = 11) -> Shared:
@@ -335,7 +395,7 @@ def _with_sums(placed: DataFrame, back: DataFrame | None) -> DataFrame:
     if back is None:
         return placed.withColumn("got", F.lit(None).cast(_GOT))
     got = back.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "sums")).alias("got"))
-    return placed.join(got, "block", "left")
+    return placed.drop("symbols").join(got, "block", "left")
 
 
 def train(placed: DataFrame, counts: DataFrame, states: int = STATES, rounds: int = ROUNDS):
@@ -354,13 +414,13 @@ def train(placed: DataFrame, counts: DataFrame, states: int = STATES, rounds: in
     for _ in range(rounds):
         shared = context.broadcast(model)
         parts = _with_sums(placed, back).mapInArrow(partial(_expect, shared), _COUNTS)
-        dealt = parts.repartition(last + 1, "bucket")
-        back = checkpoint(dealt.mapInArrow(partial(_add, states), "block long, bucket int, sums binary"))
+        dealt = parts.repartition(last + 1, "bucket").sortWithinPartitions("bucket", "asks")
+        summed = dealt.mapInArrow(partial(_add, states), "block long, bucket int, sums binary")
+        before, back = back, stored(summed, "sums")
+        if before is not None:
+            discard(before)  # a round reads the sums of the round before only
         head = sum(np.frombuffer(r["sums"]) for r in back.where("block < 0").collect())
         shared.unpersist()
-        # Spark drops the tables and shuffles of earlier rounds once the driver has let go of them
-        gc.collect()
-        context._jvm.System.gc()
         ends = np.cumsum([states, states**2, states])
         starts, moves, sizes, z = np.split(head[:-1], ends)
         share = sizes / sizes.sum()
@@ -425,10 +485,12 @@ def score_documents(
     )
     blocks = rows.mapInArrow(_blocks, _BLOCK)
     # what is read back is the numbers as they were written, once
-    blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    counts = word_counts(blocks)
-    placed = _placed(blocks, counts)
-    model, back, _ = train(placed, counts, states, rounds)
+    with arrow_bytes(docs.sparkSession, BLOCK_BYTES):
+        blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+        counts = word_counts(blocks)
+        placed = _placed(blocks, counts)
+        discard(blocks)  # what the rounds need of it is in ``placed``
+        model, back, _ = train(placed, counts, states, rounds)
     context = docs.sparkSession.sparkContext
     return _with_sums(placed, back).mapInArrow(
         partial(_score, context.broadcast(model)),

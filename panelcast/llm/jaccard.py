@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import (
-    arrow_rows,
+    arrow_bytes,
     bitmap,
     components,
     drop_rows,
@@ -51,8 +51,8 @@ PARTS = 128
 PIVOT_ROUNDS = 3
 #: Longest posting list whose pairs are compared at once.
 FULL_LIST = 64
-#: Rows of an Arrow batch where rows carry whole texts or sets.
-BATCH_ROWS = 1000
+#: Bytes of texts or sets that are handed to Python at once.
+BATCH_BYTES = 1 << 22
 
 _BITS = [f"_b{i}" for i in range(8)]
 _Batches = Iterator[pa.RecordBatch]
@@ -198,11 +198,11 @@ class _Join:
         self.sets = self.tested = self.found = self.labels = None
         context = docs.sparkSession.sparkContext
         ship_package(docs.sparkSession)
-        order = context.broadcast(slot_frequencies(docs, size, text_col))
         keyed = docs.select(
             F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col)[1], F.col(text_col)
         )
-        with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+            order = context.broadcast(slot_frequencies(docs, size, text_col))
             self._store(keyed, order)
 
     def _store(self, keyed: DataFrame, order: Broadcast) -> None:
@@ -291,11 +291,12 @@ class _Join:
         """Verify pairs that were not tested before; components of all links so far."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stored(self.close(pairs), "pairs")
+        with arrow_bytes(pairs.sparkSession, BATCH_BYTES):
+            pairs = stored(self.close(pairs), "pairs")
         if not pairs.isEmpty():
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
             # every row carries two whole sets
-            with arrow_rows(pairs.sparkSession, BATCH_ROWS):
+            with arrow_bytes(pairs.sparkSession, BATCH_BYTES):
                 found = stored(self.links(pairs), "links")
             self.found = found if self.found is None else self.found.unionByName(found)
             self.labels = components(self.found)

@@ -7,17 +7,18 @@ bounded for texts of any length, and thousands of them advance together as one m
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from panelcast.llm.common import arrow_bytes, drop_rows, row_key, stored, text_of
 from panelcast.llm.words import text_blocks
 from panelcast.session import ship_package
 
@@ -28,8 +29,11 @@ SAMPLE_DOCS, SAMPLE_SEGMENTS = 400, 3
 #: Languages learned, the most frequent ones; it bounds the sample together with the above.
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
+#: Bytes of texts that are handed to Python at once.
+BATCH_BYTES = 1 << 22
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter: Unicode class L, which no digit, fraction or numeral sign belongs to.
+_LETTER = regex.compile(r"\p{L}")
 _Batches = Iterator[pa.RecordBatch]
 
 
@@ -279,3 +283,23 @@ def label_documents(docs: DataFrame, net: Network, text_col: str = "text") -> Da
         unknown = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
         return unknown
     return rows.mapInArrow(partial(_label, net, rows.columns.index(text_col)), schema)
+
+
+def drop_unrecognised(docs: DataFrame, net: Network, margin: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a language that the network knows, with all their columns.
+
+    Rows without a letter go, and those whose best language is hardly better than chance: a score
+    below 1/K + margin * (1 - 1/K) with K languages. If nothing could be learned, all rows with a
+    letter stay. Only keys and texts are handed to Python, and only keys of rows that go come back.
+    """
+    chance = 1.0 / max(1, len(net.languages))
+    least = chance + margin * (1.0 - chance)
+    rows = docs.select(*row_key(text_col=text_col), F.col(text_col).alias("_text"))
+    if net.languages:
+        found = label_documents(rows, net, "_text")
+        gone = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)
+    else:
+        found, gone = rows, ~F.regexp_like(text_of("_text"), F.lit(r"\p{L}"))
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        dropped = stored(found.where(gone).select("_k1", "_k2"), "unrecognised")
+    return drop_rows(docs, dropped, text_col=text_col)

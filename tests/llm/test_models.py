@@ -371,3 +371,124 @@ def test_distrust_flows_to_those_who_link_to_the_blocked(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = links.judge_pages(pages, [("com/", "allow"), ("net/es/", "block")]).collect()
     assert {r.page_id: r.verdict for r in found} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+# --- added with the reworked training --------------------------------------------------------
+
+
+def _dense_rounds(texts, held, states, rounds):
+    """Baum-Welch of the same model in one process, with plain loops over all texts."""
+    words = [[*t.lower().split(), ""] for t in texts]
+    counts = {}
+    for ws, h in zip(words, held):
+        for w in [] if h else ws:
+            counts[w] = counts.get(w, 0) + 1
+    vocabulary = sorted(counts)
+    c = np.array([counts[w] for w in vocabulary], float)
+    total, kinds = int(c.sum()), len(c)
+    over = total + hmm.ADD * (kinds + 1)
+    base = (c + hmm.ADD) / over
+    symbol = [0 if not w else zlib.crc32(w.encode()) % (hmm.SYMBOLS - 1) + 1 for w in vocabulary]
+    lean = np.random.default_rng(11).gamma(1.0, 1.0, (hmm.SYMBOLS + 1, states)).clip(0.05)
+    lean[hmm.SYMBOLS] = 1
+    mass = np.zeros(hmm.SYMBOLS + 1)
+    np.add.at(mass, symbol, base)
+    mass[hmm.SYMBOLS] += hmm.ADD / over
+    emits = base[:, None] * (lean / (mass @ lean))[symbol]
+    moves = np.full((states, states), 0.02 / (states - 1))
+    np.fill_diagonal(moves, 0.98)
+    start = np.full(states, 1 / states)
+    seen = []
+    for _ in range(rounds):
+        starts, steps, n, logs = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states)), 0.0
+        for ws, h in zip(words, held):
+            if h:
+                continue
+            ids = [vocabulary.index(w) for w in ws]
+            a, scale = [], []
+            for t, i in enumerate(ids):
+                v = emits[i] * (start if not t else a[-1] @ moves)
+                scale.append(v.sum())
+                a.append(v / v.sum())
+            logs += np.log(scale).sum()
+            back = np.ones(states)
+            for t in range(len(ids) - 1, -1, -1):
+                n[ids[t]] += a[t] * back
+                if t:
+                    part = emits[ids[t]] * back / scale[t]
+                    steps += a[t - 1][:, None] * moves * part
+                    back = moves @ part
+            starts += a[0] * back
+        share = n.sum(axis=0) / n.sum()
+        split = (n + hmm.PRIOR * share) / (c + hmm.PRIOR)[:, None]
+        joint = base[:, None] * split
+        z = joint.sum(axis=0) + hmm.ADD / over * share
+        emits = joint / z
+        start = (starts + 1) / (starts + 1).sum()
+        moves = (steps + 1) / (steps + 1).sum(axis=1, keepdims=True)
+        seen.append(logs)
+    return start, moves, seen
+
+
+def test_training_rounds_equal_a_dense_baum_welch(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 300)  # several blocks, and words in several of them
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "b", "cc", "D", "e"] + [f"w{i}" for i in range(30)], k=rng.randint(0, 25))) for _ in range(60)]
+    held = [i % 10 == 3 for i in range(60)]
+    docs = docs_of(list(enumerate(texts))).repartition(3)
+    rows = docs.select("doc_id", F.col("doc_id") % 10 == 3, "text").mapInArrow(hmm._blocks, hmm._BLOCK)
+    from panelcast.llm.common import stored
+
+    blocks = stored(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    counts = hmm.word_counts(blocks)
+    model, _, seen = hmm.train(hmm._placed(blocks, counts), counts, states=3, rounds=4)
+    start, moves, want = _dense_rounds(texts, held, 3, 4)
+    np.testing.assert_allclose(seen, want, rtol=1e-5)
+    np.testing.assert_allclose(model.start, start, rtol=1e-4)
+    np.testing.assert_allclose(model.moves, moves, rtol=1e-3)
+    assert all(b > a for a, b in zip(seen, seen[1:]))
+
+
+def test_signs_that_are_no_letters_are_und(spark, docs_of):
+    signs = ["½", "²", "①", "Ⅷ", "123", "", None, "-", "\x00", "٣"]
+    pairs = [(i, t) for i, t in enumerate([*signs, "ª", "字", "é"])]
+    docs = docs_of(pairs)
+    net = langid.train([b"hello there", b"bonjour la"], [0, 1], ["en", "fr"])
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.label_documents(docs, net).collect()}
+    for i in range(len(signs)):
+        assert found[i] == ("und", 0.0)
+    assert all(found[i][0] in ("en", "fr") for i in range(len(signs), len(pairs)))
+    kept = langid.drop_unrecognised(docs, langid.Network([]), 0.1)
+    assert sorted(r.doc_id for r in kept.collect()) == [10, 11, 12]
+
+
+def test_language_probabilities_equal_a_plain_forward_pass():
+    net = langid.train([b"hello there my friend", b"bonjour la compagnie"] * 3, [0, 1] * 3, ["en", "fr"])
+    data = np.frombuffer("bonjour, dear friend é!".encode(), np.uint8)
+    offsets = np.array([0, 9, 9, len(data)])
+    got = langid.document_probabilities(net, data, offsets)
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def run(direction, codes):
+        h, out = np.zeros(langid.UNITS), []
+        k = langid.UNITS
+        for c in codes:
+            x, g = net.inputs[direction][c], h @ net.recurrent[direction]
+            update, reset = (sigmoid(2 * (x[i * k : i * k + k] + g[i * k : i * k + k])) for i in (0, 1))
+            new = np.tanh(x[2 * k :] + reset * g[2 * k :])
+            h = (1 - update) * h + update * new
+            out.append(h)
+        return np.array(out)
+
+    for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+        codes = data[a:b]
+        if not len(codes):
+            assert not got[row].any()
+            continue
+        states = np.concatenate([run(0, codes), run(1, codes[::-1])[::-1]], axis=1)
+        logits = states @ net.output + net.bias
+        soft = np.exp(logits - logits.max(axis=1, keepdims=True))
+        want = (soft / soft.sum(axis=1, keepdims=True)).mean(axis=0)
+        np.testing.assert_allclose(got[row], want, atol=1e-4)
