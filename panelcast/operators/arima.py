@@ -24,7 +24,12 @@ GRID = tuple(product((0, 1), repeat=6))
 # A factor has order one at most, so |coefficient| < 1 is stationarity and invertibility.
 BOUND = 0.99
 MAX_STEPS = 80
+POLISH_STEPS = 30
+# A fit is at its minimum when the errors and their derivatives are as orthogonal as this.
+FLAT = 1e-6
 STARTS = (0.0, 0.4)
+# Values of each coefficient whose combinations are tried; the best one is a third start.
+TRIES = (-0.5, 0.0, 0.5)
 TOLERANCE = 1e-8
 
 ORDER_COLUMNS = ("p", "d", "q", "sp", "sd", "sq")
@@ -109,9 +114,69 @@ def _fit(w: np.ndarray, free: np.ndarray, used: np.ndarray, start: np.ndarray):
         if going.mean() < 0.8:
             live, errors, slope = live[going], errors[:, going], slope[:, :, going]
             going = going[going]
+    kept = np.flatnonzero(free.any(axis=0) & np.isfinite(sse))
+    coef[:, kept] = _polished(w[:, kept], coef[:, kept], free[:, kept], used[:, kept])
+    errors = _residuals(w[:, kept], coef[:, kept], used[:, kept], gradient=False)
+    sse[kept] = (errors**2).sum(axis=0)
     return coef, sse
 
 
+def _steepness(slope: np.ndarray, errors: np.ndarray, coef: np.ndarray, free: np.ndarray):
+    """Derivatives of half the sum of squares (4, lane), which coefficients may move along them, and
+    per lane the largest cosine of the errors and such a derivative: 0 at a minimum."""
+    pull = np.einsum("til,tl->il", slope, errors)
+    size = np.sqrt((slope**2).sum(axis=0) * (errors**2).sum(axis=0))
+    pinned = ((coef >= BOUND) & (pull < 0)) | ((coef <= -BOUND) & (pull > 0))
+    moves = free & ~pinned
+    cosine = np.where(moves & (size > 0), np.abs(pull) / np.maximum(size, 1e-300), 0.0)
+    return pull, moves, cosine.max(axis=0)
+
+
+def _polished(w: np.ndarray, coef: np.ndarray, free: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Newton steps for the lanes that Gauss-Newton has left short of a minimum: with large errors it
+    gains a constant factor a step only. Second derivatives are differences of first ones."""
+    lanes = np.arange(w.shape[1])
+    for _ in range(POLISH_STEPS):
+        now, part, mine = coef[:, lanes], w[:, lanes], used[:, lanes]
+        errors, slope = _residuals(part, now, mine)
+        pull, moves, cosine = _steepness(slope, errors, now, free[:, lanes])
+        open_ = np.isfinite(cosine) & (cosine > FLAT)
+        lanes = lanes[open_]
+        if not len(lanes):
+            break
+        now, part, mine, pull, moves = (v[..., open_] for v in (now, part, mine, pull, moves))
+        sse = (errors[:, open_] ** 2).sum(axis=0)
+        second = np.zeros((len(lanes), 4, 4))
+        for j in range(4):
+            shifted = now.copy()
+            shifted[j] += np.where(now[j] > 0, -1e-6, 1e-6)
+            errors, slope = _residuals(part, shifted, mine)
+            other = np.einsum("til,tl->il", slope, errors)
+            second[:, :, j] = ((other - pull) / (shifted[j] - now[j])).T
+        second = (second + second.transpose(0, 2, 1)) / 2
+        both = moves.T[:, :, None] & moves.T[:, None, :]
+        second = np.where(both, second, 0.0) + np.eye(4) * ~moves.T[:, :, None]
+        # a saddle's downward directions are followed as well, by the size of their curvature
+        values, vectors = np.linalg.eigh(second)
+        values = np.maximum(np.abs(values), 1e-9 * np.abs(values).max(axis=1, keepdims=True))
+        along = np.einsum("lij,li->lj", vectors, np.where(moves, pull, 0.0).T) / values
+        step = np.einsum("lij,lj->il", vectors, along)
+        done = np.zeros(len(lanes), dtype=bool)
+        for _ in range(12):
+            trial = np.clip(now - step, -BOUND, BOUND)
+            lower = (_residuals(part, trial, mine, gradient=False) ** 2).sum(axis=0) < sse
+            take = lower & ~done
+            coef[:, lanes[take]] = trial[:, take]
+            done |= lower
+            if done.all():
+                break
+            step = np.where(done, step, step / 4)
+        lanes = lanes[done]
+        if not len(lanes):
+            break
+    return coef
+
+
 def _forecast(
     y: np.ndarray, errors: np.ndarray, coef: np.ndarray, d: np.ndarray, sd: np.ndarray, horizon: int
 ) -> np.ndarray:
@@ -144,11 +209,14 @@ def fit_orders(
     coefficients (series, order, 4).
     """
     n_series, n_orders = len(y), len(orders)
-    rows = np.repeat(np.arange(n_series), n_orders)
-    preds, coefs = fit_pairs(y, rows, np.tile(np.array(orders), (n_series, 1)), horizon)
+    preds, coefs = fit_pairs(y, *_all_pairs(n_series, np.array(orders)), horizon)
     return preds.reshape(n_series, n_orders, horizon), coefs.reshape(n_series, n_orders, 4)
 
 
+def _all_pairs(n_series: int, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(n_series), len(orders)), np.tile(orders, (n_series, 1))
+
+
 class Lanes:
     """Pairs of a history (a row of ``y``) and an order side by side: those with a history long
     enough (``kept``), their differenced values (time, lane), free coefficients and used errors."""
@@ -173,16 +241,36 @@ class Lanes:
         self.used = np.arange(n)[:, None] >= first[self.kept]
         self.d, self.sd = d, sd
 
+    def tries(self, points: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """The best combination of ``points`` for the free coefficients (4, lane), and its sum of
+        squares."""
+        best, least = np.zeros(self.free.shape), np.full(len(self.kept), np.inf)
+        kinds, kind = np.unique(self.free, axis=1, return_inverse=True)
+        with np.errstate(all="ignore"):
+            for i, free in enumerate(kinds.T):
+                mine = np.flatnonzero(kind == i)
+                for point in product(*[points if f else (0.0,) for f in free]):
+                    coef = np.repeat(np.array(point)[:, None], len(mine), axis=1)
+                    errors = _residuals(self.values[:, mine], coef, self.used[:, mine], gradient=False)
+                    sums = (errors**2).sum(axis=0)
+                    better = sums < least[mine]
+                    best[:, mine[better]] = coef[:, better]
+                    least[mine[better]] = sums[better]
+        return best, least
+
     def fit(self) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients (4, lane) and sums of squares."""
+        starts = [np.full(self.free.shape, s) for s in STARTS] + [self.tries(TRIES)[0]]
         with np.errstate(all="ignore"):
-            # Both starts are lanes of one call; the second wins only with a clearly smaller sum.
-            start = np.repeat(STARTS, len(self.kept))
-            tiled = (np.tile(v, len(STARTS)) for v in (self.values, self.free, self.used))
-            both, sums = _fit(*tiled, start)
-            (coef, other), (sse, other_sse) = np.split(both, 2, axis=1), np.split(sums, 2)
-            second = other_sse < sse * (1 - 1e-9)
-            return np.where(second, other, coef), np.where(second, other_sse, sse)
+            # All starts are lanes of one call; a later one wins only with a clearly smaller sum.
+            tiled = (np.tile(v, len(starts)) for v in (self.values, self.free, self.used))
+            both, sums = _fit(*tiled, np.concatenate(starts, axis=1))
+        coefs, sums = np.split(both, len(starts), axis=1), np.split(sums, len(starts))
+        coef, sse = coefs[0], sums[0]
+        for other, other_sse in zip(coefs[1:], sums[1:]):
+            better = other_sse < sse * (1 - 1e-9)
+            coef, sse = np.where(better, other, coef), np.where(better, other_sse, sse)
+        return coef, sse
 
 
 def fit_pairs(
@@ -265,34 +353,18 @@ def _certify(orders: tuple, points: tuple):
     @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ') for f in fields.split(', '))}>>")
     def certificates(y: pd.Series) -> pd.Series:
         every = np.array(orders)
-        tries, owner = [], []
-        for i, (p, _, q, sp, _, sq) in enumerate(orders):
-            for point in product(*[points if free else (0.0,) for free in (p, q, sp, sq)]):
-                tries.append(point)
-                owner.append(i)
-        tries, owner = np.array(tries).T, np.array(owner)
         out = pd.Series([[] for _ in range(len(y))], dtype=object)
-        for rows, history in _batches(y, size=8):
-            for at, row in enumerate(rows):
-                lanes = Lanes(history, np.full(len(every), at), every)
-                if not len(lanes.kept):
-                    continue
-                coef, sse = lanes.fit()
-                errors, slope = _residuals(lanes.values, coef, lanes.used)
-                pull = np.einsum("til,tl->il", slope, errors)
-                size = np.sqrt((slope**2).sum(axis=0) * sse)
-                pinned = ((coef >= BOUND) & (pull < 0)) | ((coef <= -BOUND) & (pull > 0))
-                flat = np.where(lanes.free & ~pinned & (size > 0), np.abs(pull) / np.maximum(size, 1e-300), 0)
-                # all tries of the orders that were fitted, as lanes of one recursion
-                mine = np.flatnonzero(np.isin(owner, lanes.kept))
-                each = Lanes(history, np.full(len(mine), at), every[owner[mine]])
-                sums = (_residuals(each.values, tries[:, mine], each.used, gradient=False) ** 2).sum(axis=0)
-                least = np.full(len(every), np.inf)
-                np.minimum.at(least, owner[mine], sums)
-                out.at[row] = [
-                    (int(k), *coef[:, i].tolist(), sse[i], flat[:, i].max(), least[k])
-                    for i, k in enumerate(lanes.kept)
-                ]
+        for rows, history in _batches(y, size=32):
+            lanes = Lanes(history, *_all_pairs(len(history), every))
+            if not len(lanes.kept):
+                continue
+            coef, sse = lanes.fit()
+            errors, slope = _residuals(lanes.values, coef, lanes.used)
+            steep = _steepness(slope, errors, coef, lanes.free)[2]
+            least = lanes.tries(points)[1]
+            for i, (lane, row) in enumerate(zip(lanes.kept, lanes.rows)):
+                found = (lane % len(every), *coef[:, i].tolist(), sse[i], steep[i], least[i])
+                out.iloc[rows[row]].append(found)
         return out
 
     return certificates.asNondeterministic()
