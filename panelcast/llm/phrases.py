@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ OVERLAP = LONGEST - 1
 TRIGGER, CHUNK_LIMIT = 16, 128
 #: Bits of the table of frequent phrases that prunes longer ones. A false hit costs work only.
 BITS = 1 << 24
+#: Slots of the sketch of pairs: so many times the phrases that can be frequent, up to 2^28; its
+#: pieces; and the slots that a task holds before it packs them.
+SPARSE, MOST_SLOT_BITS, PIECE_BITS, HELD_SLOTS = 32, 28, 6, 1 << 22
 #: Bytes of texts that are handed to Python at once.
 BATCH_BYTES = 1 << 22
 #: Language of a text without one.
@@ -76,9 +80,11 @@ class Words:
             same[: self.n - i] = self.piece[i:] == self.piece[: self.n - i]
         return same
 
-    def phrase(self, at: int, size: int) -> bytes:
-        low, high = self.starts[at : at + size], self.ends[at : at + size]
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(low, high))
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        """The phrases of ``size`` words that start at words ``at``, with a blank between words."""
+        parts = [self.words.take(pa.array(self.codes[at + i])) for i in range(size)]
+        joined = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+        return joined.cast(pa.binary()).cast(pa.string())
 
 
 def _content_hashes(words: pa.Array) -> np.ndarray:
@@ -160,55 +166,164 @@ def _dense(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, code
 
 
-def _phrases_of(size: int, table):
+def _has_bit(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (table[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+class _Candidates:
+    """Places of phrases of ``size`` words in a block of chunks that may be frequent: those whose
+    beginning and end, of one word less, are."""
+
+    def __init__(self, batch: pa.RecordBatch, first: int, words: Words, size: int, known, langs):
+        coded, lang = langs
+        self.row = first + words.text
+        begins = np.searchsorted(words.text, words.text)
+        take = np.arange(words.n) - begins < batch.column(1).to_numpy()[self.row]
+        self.lang = lang[self.row]
+        seed = _content_hashes(coded.cast(pa.large_binary()))[self.lang]
+        if size > 1:
+            shorter = mix(_window_hashes(words, size - 1) ^ seed) % np.uint64(BITS)
+            frequent = _has_bit(known, shorter)
+            take &= words.after(size - 1) & frequent
+            take[:-1] &= frequent[1:]
+        self.at = np.flatnonzero(take)
+        self.hashes = mix(_window_hashes(words, size) ^ seed)[self.at]
+
+    def keep(self, chosen: np.ndarray) -> None:
+        self.at, self.hashes = self.at[chosen], self.hashes[chosen]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], size: int, known):
+    """(batch, languages, words, candidates) of each block of the dictionary's batches."""
+    known = np.frombuffer(known, np.uint8) if known is not None else None
+    for batch in batches:
+        coded = batch.column(0).dictionary_encode()
+        langs = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        for first, _, data, offsets in text_blocks(batch.column(2), BATCH_BYTES):
+            words = Words(data, offsets)
+            if words.n:
+                yield batch, langs[0], words, _Candidates(batch, first, words, size, known, langs)
+
+
+def _phrases_of(size: int, table, heavy):
     """Batches of the dictionary -> (lang, phrase, hash, times) of its phrases of ``size`` words.
 
     ``table`` holds a bit for each frequent phrase of one word less: a phrase that starts or ends
-    with one that is not frequent can't be frequent either and is left out.
+    with one that is not frequent can't be frequent either and is left out. ``heavy`` holds a bit
+    for each slot of a sketch that may hold a frequent phrase.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(table.value, np.uint8) if table is not None else None
+        known = table.value if table is not None else None
+        for batch, langs, words, found in _candidates(batches, size, known):
+            if heavy is not None:
+                slots = np.frombuffer(heavy.value, np.uint8)
+                found.keep(_has_bit(slots, found.hashes % np.uint64(8 * len(slots))))
+            at = found.at
+            lang = found.lang[at]
+            one, code = _dense(lang, *(words.codes[at + i] for i in range(size)))
+            total = np.zeros(len(one), np.int64)
+            np.add.at(total, code, batch.column(3).to_numpy()[found.row[at]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(lang[one])),
+                    words.phrases(at[one], size),
+                    pa.array((found.hashes[one] % np.uint64(BITS)).astype(np.int64)),
+                    pa.array(total),
+                ],
+                ["lang", "phrase", "hash", "times"],
+            )
+
+    return run
+
+
+# --- sketch of pairs -------------------------------------------------------------------------
+
+
+def _sketch(bits: int, table):
+    """Batches of the dictionary -> packed counts (piece, n, slots, times) of hash slots of pairs of
+    frequent words. A task sums its slots and packs them as sorted steps, which take few bits."""
+
+    def packed(parts: list) -> Iterator[pa.RecordBatch]:
+        slots, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.zeros(len(slots), np.int64)
+        np.add.at(total, at, np.concatenate([p[1] for p in parts]))
+        piece = slots >> np.uint64(bits - PIECE_BITS)
+        ids, cuts = np.unique(piece, return_index=True)
+        for i, low, high in zip(ids.tolist(), cuts, [*cuts[1:], len(slots)]):
+            steps = np.diff(slots[low:high], prepend=slots.dtype.type(i << (bits - PIECE_BITS)))
+            columns = [[i], [int(high - low)]]
+            columns += [[_zipped(steps.astype(np.uint32))], [_zipped(total[low:high])]]
+            yield pa.RecordBatch.from_pydict(dict(zip(_SKETCH.names, columns)), _SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch, _, _, found in _candidates(batches, 2, table.value):
+            slots, at = np.unique(found.hashes % np.uint64(1 << bits), return_inverse=True)
+            total = np.zeros(len(slots), np.int64)
+            np.add.at(total, at, batch.column(3).to_numpy()[found.row[found.at]])
+            parts.append((slots, total))
+            held += len(slots)
+            if held > HELD_SLOTS:
+                yield from packed(parts)
+                parts, held = [], 0
+        if parts:
+            yield from packed(parts)
+
+    return run
+
+
+_SKETCH = pa.schema(
+    [("piece", pa.int32()), ("n", pa.int64()), ("slots", pa.binary()), ("times", pa.binary())]
+)
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
+
+
+def _heavy(bits: int, least: int):
+    """Packed counts, a piece's all in one task -> (piece, a bit per slot: does it reach least?)."""
+    size = 1 << (bits - PIECE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            lang = coded.indices.to_numpy().astype(np.int64)
-            seeds = _content_hashes(coded.dictionary.cast(pa.large_binary()))
-            own = batch.column(1).to_numpy()
-            times = batch.column(3).to_numpy()
-            for first, _, data, offsets in text_blocks(batch.column(2), BATCH_BYTES):
-                words = Words(data, offsets)
-                if not words.n:
-                    continue
-                row = words.text
-                begins = np.searchsorted(row, row)
-                take = np.arange(words.n) - begins < own[first + row]
-                seed = seeds[lang[first + row]]
-                if size > 1:
-                    shorter = mix(_window_hashes(words, size - 1) ^ seed) % np.uint64(BITS)
-                    frequent = (known[shorter >> np.uint64(3)] >> (shorter & np.uint64(7))) & 1 > 0
-                    take &= words.after(size - 1) & frequent
-                    take[:-1] &= frequent[1:]
-                at = np.flatnonzero(take)
-                hashes = mix(_window_hashes(words, size) ^ seed)[at]
-                keys = [lang[first + row[at]], *(words.codes[at + i] for i in range(size))]
-                one, code = _dense(*keys)
-                total = np.zeros(len(one), np.int64)
-                np.add.at(total, code, times[first + row[at]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        coded.dictionary.take(pa.array(keys[0][one])),
-                        pa.array([words.phrase(i, size) for i in at[one].tolist()], pa.binary()).cast(
-                            pa.string()
-                        ),
-                        pa.array((hashes[one] % np.uint64(BITS)).astype(np.int64)),
-                        pa.array(total),
-                    ],
-                    ["lang", "phrase", "hash", "times"],
-                )
+            for piece, n, slots, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                steps = np.frombuffer(pa.decompress(slots, 4 * n, "zstd"), np.uint32)
+                values = np.frombuffer(pa.decompress(times, 8 * n, "zstd"), np.int64)
+                total = totals.setdefault(piece, np.zeros(size, np.int64))
+                total[np.cumsum(steps.astype(np.int64))] += values
+        pieces = list(totals)
+        marks = [np.packbits(totals[p] >= least, bitorder="little").tobytes() for p in pieces]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pieces, pa.int32()), pa.array(marks, pa.binary())], ["piece", "marks"]
+        )
 
     return run
 
 
+def heavy_pairs(dictionary: DataFrame, table, least: int, words: int):
+    """Bits of the slots in which pairs of frequent words occur ``least`` times together.
+
+    The number of slots follows the corpus, up to a bound: beyond it more slots are heavy by chance,
+    which costs work and changes no result. What reaches the driver is one bit per slot.
+    """
+    wanted = max(1, SPARSE * words // least).bit_length()
+    bits = min(max(wanted, PIECE_BITS + 3), MOST_SLOT_BITS)
+    parts = dictionary.mapInArrow(
+        _sketch(bits, table), "piece int, n long, slots binary, times binary"
+    )
+    marks = parts.repartition(1 << PIECE_BITS, "piece").mapInArrow(
+        _heavy(bits, least), "piece int, marks binary"
+    )
+    size = 1 << (bits - PIECE_BITS - 3)
+    out = bytearray(size << PIECE_BITS)
+    for piece, found in marks.collect():
+        out[piece * size : (piece + 1) * size] = found
+    return dictionary.sparkSession.sparkContext.broadcast(bytes(out))
+
+
 def _bit_table(spark: SparkSession, frequent: DataFrame):
     """The bits of all frequent phrases' hashes: BITS / 8 bytes, whatever their number."""
     words = frequent.groupBy(F.shiftright("hash", 3).alias("byte")).agg(
@@ -230,14 +345,16 @@ def parse(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Da
         return stored(dictionary, "chunks")
 
 
-def frequent_phrases(dictionary: DataFrame, least: int) -> DataFrame:
-    """(lang, words, phrase, f): all phrases of up to LONGEST words that occur ``least`` times."""
+def frequent_phrases(dictionary: DataFrame, least: int, total: int) -> DataFrame:
+    """(lang, words, phrase, f): all phrases of up to LONGEST words that occur ``least`` times;
+    ``total`` is the number of words, which sizes the sketch of pairs."""
     spark = dictionary.sparkSession
-    found, table = [], None
+    found, table, heavy = [], None, None
     with arrow_bytes(spark, BATCH_BYTES):
         for size in range(1, LONGEST + 1):
+            heavy = heavy_pairs(dictionary, table, least, total) if size == 2 else None
             rows = dictionary.mapInArrow(
-                _phrases_of(size, table), "lang string, phrase string, hash long, times long"
+                _phrases_of(size, table, heavy), "lang string, phrase string, hash long, times long"
             )
             sums = rows.groupBy("lang", "phrase").agg(
                 F.sum("times").alias("f"), F.max("hash").alias("hash")
@@ -311,7 +428,8 @@ def mine_phrases(
     dictionary = parse(docs, lang_col, text_col)
     own = F.sum(F.col("own").cast("long") * F.col("times"))
     totals = stored(dictionary.groupBy("lang").agg(own.alias("n")), "language-words")
-    scored = scored_phrases(frequent_phrases(dictionary, least), totals)
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    scored = scored_phrases(frequent_phrases(dictionary, least, total), totals)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
     return ranked.where(F.col("rank") <= top).select(
