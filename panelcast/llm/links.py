@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import ascii_lower, stored
+from panelcast.llm.common import ascii_lower, discard, stored
 
-#: Share of the score that follows links, most rounds, change of the sum that ends them.
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+#: Share of the score that follows links, and the change of the sum that ends the rounds. At this
+#: damping they take some 85; that many more than the bound mean an error, not an end.
+DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 1000
 #: Distrust as a share of trust and distrust from which a host is blocked.
 THRESHOLD = 0.5
 
@@ -63,8 +64,11 @@ def propagate(
     """Personalised PageRank: (host, score) for (host, seed) and weighted links (src, dst, weight).
 
     Links are one row per pair of hosts, weighted by their share of the source's links, so a hub's
-    contributions are summed before they are shuffled. A host without links keeps its score to
-    itself. Every round is stored, which keeps plans short and survives lost executors."""
+    contributions are summed before they are shuffled. What reaches a host without links goes back
+    to the seeds, in their shares: that only scales all scores, so they are summed to 1 at the end.
+    Rounds go on until the scores change by less than ``tolerance`` in sum; ``rounds`` of them
+    without reaching it are an error. Every round is stored, which keeps plans short and survives
+    lost executors, and the one before it deleted."""
     total = seeds.agg(F.sum("seed")).first()[0] or 0
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score"))
@@ -79,6 +83,7 @@ def propagate(
     score = base.select("host", F.col("seed").alias("score"))
     if shares.isEmpty():
         return score
+    before = None
     for _ in range(rounds):
         moved = shares.join(score, shares["src"] == score["host"]).select(
             F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score")
@@ -86,20 +91,23 @@ def propagate(
         own = base.select("host", (F.col("seed") * (1 - damping)).alias("score"))
         after = stored(moved.unionByName(own).groupBy("host").agg(F.sum("score").alias("score")), "rank")
         change = after.withColumnRenamed("score", "_new").join(score, "host", "full").agg(
-            F.sum(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))
+            F.sum(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0)))), F.sum("_new")
         )
-        score, moved_by = after, change.first()[0] or 0
+        moved_by, mass = change.first()
+        if before is not None:
+            discard(before)
+        score = before = after
         if moved_by < tolerance:
-            break
-    return score
+            return score.select("host", (F.col("score") / F.lit(mass)).alias("score"))
+    raise RuntimeError(f"scores still change by {moved_by} after {rounds} rounds")
 
 
 def judge_hosts(ruled: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust, verdict) for pages (host, verdict) that rules have judged or not.
 
-    Hosts with half of their pages or more allowed by rules are trusted seeds, and trust flows
-    along links. Hosts with half or more blocked are the other seeds; their distrust flows against
-    the links, to those who link to them. A host is blocked when distrust exceeds ``threshold`` of
+    Hosts are seeds of trust by the share of their pages that rules allow, and trust flows along
+    links. They are seeds of distrust by the share that rules block, and distrust flows against the
+    links, to those who link to them. A host is blocked when distrust exceeds ``threshold`` of
     both together; hosts that neither reaches are allowed."""
     hosts = ruled.where("host <> ''").groupBy("host").agg(
         F.count("*").alias("n"),
@@ -107,7 +115,7 @@ def judge_hosts(ruled: DataFrame, links: DataFrame, threshold: float = THRESHOLD
         F.count_if(F.col("verdict") == "block").alias("bad"),
     )
     hosts = stored(hosts, "hosts")
-    seed = lambda c: F.when(2 * F.col(c) >= F.col("n"), F.col(c)).otherwise(0)
+    seed = lambda c: F.col(c) / F.col("n")
     links = stored(links, "host-links")
     trust = propagate(links, hosts.select("host", seed("good").alias("seed")))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")

@@ -111,8 +111,7 @@ WITH cut AS (
   SELECT host, count(*) AS n, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad
   FROM ruled WHERE host <> '' GROUP BY host
 ), seeds AS (
-  SELECT host, CASE WHEN 2 * good >= n THEN good ELSE 0 END AS good, CASE WHEN 2 * bad >= n THEN bad ELSE 0 END AS bad
-  FROM hosts
+  SELECT host, good / n AS good, bad / n AS bad FROM hosts
 ), scores AS (
   SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS trust,
     coalesce(bad / nullif(sum(bad) OVER (), 0), 0) AS distrust FROM seeds

@@ -343,22 +343,39 @@ def test_hosts_paths_and_rules(spark):
     assert links.judge_pages(pages.limit(0), rules).count() == 0
 
 
-def test_propagation_equals_dense_iteration(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1)]
-    names = "abcde"
-    matrix = np.zeros((5, 5))
+def test_propagation_equals_the_linear_system(spark):
+    """A cycle, a hub, a host without links out, and a chain of 40 hosts that leads into the cycle."""
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("c", "end", 1)]
+    chain = [f"h{i}" for i in range(40)]
+    edges += [(x, y, 1) for x, y in zip(chain, [*chain[1:], "a"])]
+    names = sorted({x for s, t, _ in edges for x in (s, t)})
+    matrix = np.zeros((len(names), len(names)))
     for s, t, w in edges:
         matrix[names.index(s), names.index(t)] = w
     matrix /= np.maximum(matrix.sum(axis=1, keepdims=True), 1)
-    seed = np.array([1, 0, 0, 3, 0]) / 4
-    score = seed.copy()
-    for _ in range(8):
-        score = 0.85 * score @ matrix + 0.15 * seed
+    seeds = {"d": 0.25, "h0": 0.75}
+    seed = np.array([seeds.get(n, 0.0) for n in names])
+    # what reaches a host without links goes back to the seeds
+    matrix[matrix.sum(axis=1) == 0] = seed
+    want = np.linalg.solve(np.eye(len(names)) - 0.85 * matrix.T, 0.15 * seed)
     frame = spark.createDataFrame(edges, "src string, dst string, weight long")
-    seeds = spark.createDataFrame([("a", 1), ("d", 3), ("e", 0)], "host string, seed long")
-    got = {r.host: r.score for r in links.propagate(frame, seeds, rounds=8, tolerance=0).collect()}
-    for name, want in zip(names, score):
-        assert abs(got.get(name, 0.0) - want) < 1e-12
+    found = links.propagate(frame, spark.createDataFrame(list(seeds.items()), "host string, seed double"))
+    got = {r.host: r.score for r in found.collect()}
+    assert len(got) == len(names)
+    for name, value in zip(names, want):
+        assert abs(got[name] - value) < 1e-5
+    with pytest.raises(RuntimeError, match="after 3 rounds"):
+        links.propagate(frame, spark.createDataFrame([("a", 1.0)], "host string, seed double"), rounds=3)
+
+
+def test_distrust_reaches_far_hosts_and_small_shares_count(spark):
+    rows = [(i, f"http://h{i}.org/", f"<a href='http://h{i + 1}.org/'>") for i in range(30)]
+    rows += [(100, "http://h30.org/es/1", None), (101, "http://far.org/", None)]
+    rows += [(200 + i, "http://mixed.org/" + ("es/" if i < 4 else ""), None) for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in links.judge_pages(pages, [("org/es/", "block")]).collect()}
+    assert all(found[i] == "block" for i in [*range(30), 100])
+    assert found[101] == "allow" and found[209] == "block"
 
 
 def test_distrust_flows_to_those_who_link_to_the_blocked(spark):
