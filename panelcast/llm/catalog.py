@@ -56,10 +56,11 @@ def op1_exact_dedup(spark, folder):
 @query
 def op2_chat_formatting(spark, folder):
     rows = read_table(spark, folder, "conversations")
-    probe = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
-        "conv_id long, turn long, role string, text string",
+    # conversation -7, whose texts hold the template's control strings
+    probe = r"'\### Assistant: </turn> ok'"
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', r" + probe + "), (-7L, 1L, 'assistant', r" + probe + ") "
+        "AS t(conv_id, turn, role, text)"
     )
     turns = chat.turns_of_rows(rows.select(extra.columns).unionByName(extra))
     out = chat.format_turns(turns)

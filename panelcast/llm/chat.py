@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -54,47 +57,91 @@ def _fields(*parts: tuple[str, str]) -> str:
     return f"filter(array({turns}), t -> t.text is not null)"
 
 
-#: Declarative mappings: nested field paths of a layout, and the SQL expression of its turns.
-MAPPINGS = {
-    "OBJECT<messages: ARRAY<OBJECT<content, role>>>": _messages("messages", "role", "content"),
-    "OBJECT<messages: ARRAY<OBJECT<role, text>>>": _messages("messages", "role", "text"),
-    "OBJECT<conversations: ARRAY<OBJECT<from, value>>>": _messages("conversations", "from", "value"),
-    "OBJECT<completion, prompt>": _fields(("user", "prompt"), ("assistant", "completion")),
-    "OBJECT<prompt, response>": _fields(("user", "prompt"), ("assistant", "response")),
-    "OBJECT<prompt, response, system>": _fields(
-        ("system", "system"), ("user", "prompt"), ("assistant", "response")
+@dataclass(frozen=True)
+class Mapping:
+    """A layout's required field paths, and the SQL expression of its turns over ``record``. Other
+    fields may be there as well; optional ones are named in the expression only."""
+
+    required: tuple[str, ...]
+    turns: str
+
+
+#: Declarative mappings of records. Of several that fit, the one with the most required paths is
+#: taken, then the first.
+MAPPINGS = (
+    Mapping(("messages[].role", "messages[].content"), _messages("messages", "role", "content")),
+    Mapping(("messages[].role", "messages[].text"), _messages("messages", "role", "text")),
+    Mapping(
+        ("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")
     ),
-    "OBJECT<instruction, output>": _fields(("user", "instruction"), ("assistant", "output")),
-    "OBJECT<input, instruction, output>": _fields(
-        ("user", "instruction"), ("user", "input"), ("assistant", "output")
+    Mapping(
+        ("prompt", "completion"),
+        _fields(("system", "system"), ("user", "prompt"), ("assistant", "completion")),
     ),
-    "OBJECT<answer, question>": _fields(("user", "question"), ("assistant", "answer")),
-}
+    Mapping(
+        ("prompt", "response"),
+        _fields(("system", "system"), ("user", "prompt"), ("assistant", "response")),
+    ),
+    Mapping(
+        ("instruction", "output"),
+        _fields(
+            ("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")
+        ),
+    ),
+    Mapping(("question", "answer"), _fields(("user", "question"), ("assistant", "answer"))),
+)
 #: Other names of the roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def _has(path: str) -> str:
+    """SQL: has ``record`` the field path? A list without elements has every path below it."""
+    head, _, rest = path.partition("[].")
+    if not rest:
+        return f"variant_get(record, '$.{head}', 'variant') is not null"
+    items = f"try_variant_get(record, '$.{head}', 'array<variant>')"
+    inner = f"try_variant_get(m, '$.{rest}', 'variant') is not null"
+    return f"coalesce(size({items}) = 0 or exists({items}, m -> {inner}), false)"
+
+
+def select_mapping(records: DataFrame, required: Sequence[tuple[str, ...]]) -> DataFrame:
+    """Adds ``mapping``, the number of the mapping that the record's ``layout`` selects.
+
+    All records of a layout have the same nested field paths, so one of each stands for it: the
+    distinct layouts, by their hash, are matched with the required paths, and the result is joined
+    back on the hash.
+    """
+    order = sorted(range(len(required)), key=lambda i: (-len(required[i]), i))
+    fits = [
+        F.when(F.expr(" and ".join(_has(p) for p in required[i])), F.lit(i)) for i in order
+    ]
+    layouts = records.where("layout is not null").groupBy("layout").agg(F.first("record").alias("record"))
+    chosen = layouts.select("layout", F.coalesce(*fits).alias("mapping"))
+    return records.join(chosen, "layout", "left")
+
+
 def canonical_turns(
     records: DataFrame,
     json_col: str = "record",
-    mappings: dict[str, str] = MAPPINGS,
+    mappings: Sequence[Mapping] = MAPPINGS,
     role_names: dict[str, str] = ROLE_NAMES,
 ) -> DataFrame:
     """Parse a JSON column of mixed layouts into ``turns``; adds ``layout`` (fingerprint) as well.
 
-    The layout of each record is the hash of its nested field paths; it selects the mapping. Text
-    that is no JSON object and layouts without a mapping get null turns and keep their fingerprint,
-    so that they can be counted. All other columns are kept; columns named turns, layout or record
-    are replaced.
+    The layout of each record is the hash of its nested field paths; it selects the mapping whose
+    required paths are all among them, so that extra fields, missing optional ones and empty lists
+    do not lose a record. Text that is no JSON object and layouts without a mapping get null turns
+    and keep their fingerprint, so that they can be counted. All other columns are kept; columns
+    named turns, layout, mapping or record are replaced.
     """
-    kept = [F.col(f"`{c}`") for c in records.columns if c not in ("turns", "layout", "record")]
+    own = ("turns", "layout", "mapping", "record")
+    kept = [F.col(f"`{c}`") for c in records.columns if c not in own]
     parsed = records.select(*kept, F.try_parse_json(json_col).alias("record"))
     parsed = parsed.withColumn("layout", fingerprint(record_paths(F.col("record"))))
+    parsed = select_mapping(parsed, [m.required for m in mappings])
     turns = F.lit(None).cast(TURNS)
-    for paths, mapping in mappings.items():
-        turns = F.when(
-            F.col("layout") == fingerprint(F.lit(paths)), F.expr(mapping).cast(TURNS)
-        ).otherwise(turns)
+    for i, mapping in enumerate(mappings):
+        turns = F.when(F.col("mapping") == i, F.expr(mapping.turns).cast(TURNS)).otherwise(turns)
     names = F.create_map(*[F.lit(x) for pair in role_names.items() for x in pair])
     named = F.transform(
         turns,
@@ -102,49 +149,53 @@ def canonical_turns(
             F.coalesce(names[t["role"]], t["role"]).alias("role"), t["text"].alias("text")
         ),
     )
-    return parsed.withColumn("turns", named).drop("record")
+    return parsed.withColumn("turns", named).drop("record", "mapping")
 
 
-#: Mappings of tables with one row per turn: field paths, and the columns order, role, text.
-ROW_MAPPINGS = {
-    "OBJECT<conv_id, role, text, turn>": ("conv_id", "turn", "role", "text"),
-    "OBJECT<content, conversation_id, index, role>": (
-        "conversation_id",
-        "index",
-        "role",
-        "content",
-    ),
-}
+#: Mappings of records that are one turn each: the fields that hold conversation, order, role, text.
+ROW_MAPPINGS = (
+    ("conv_id", "turn", "role", "text"),
+    ("conversation_id", "index", "role", "content"),
+)
 
 
 def turns_of_rows(
-    rows: DataFrame, mappings: dict[str, tuple[str, str, str, str]] = ROW_MAPPINGS
+    rows: DataFrame, mappings: Sequence[tuple[str, str, str, str]] = ROW_MAPPINGS
 ) -> DataFrame:
     """Turns of a table with one row per turn: (conversation id, turns).
 
-    The fingerprint of the table's schema selects the mapping; extra columns are left out as long
-    as one mapping's fields are all there. Rows are put in order by turn, then role, then text,
-    nulls first; a repeated row is a turn again. A conversation is one record: it is gathered whole.
+    Each row is a record; the hash of its field paths selects the mapping, as in
+    :func:`canonical_turns`, so extra columns of any name are left out. Rows are put in order by
+    turn, then role, then text, nulls first; a repeated row is a turn again. Rows of a null id are
+    one conversation. A conversation is one record: it is gathered whole, in one cell, and must fit
+    into the memory of a task (and the 2 GiB of a cell).
     """
-    found = mappings.get(paths_of(rows.schema)) or next(
-        (m for m in mappings.values() if set(m) <= set(rows.columns)), None
-    )
-    if found is None:
+    able = [m for m in mappings if set(m) <= set(rows.columns)]
+    if not able:
         raise ValueError(f"no mapping for the layout {paths_of(rows.schema)}")
-    key, order, role, text = (F.col(f"`{c}`") for c in found)
-    gathered = rows.groupBy(key.alias(found[0])).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(order.alias("order"), role.alias("role"), text.alias("text"))
-            )
-        ).alias("turns")
+    record = F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    named = {c: F.col(f"`{c}`") for m in able for c in m}
+    packed = rows.select(record.alias("record"), F.struct(*named.values()).alias("row"))
+    packed = packed.withColumn("layout", fingerprint(record_paths(F.col("record"))))
+    packed = select_mapping(packed, able)
+
+    def field(place: int) -> Column:
+        value = F.lit(None)
+        for i, mapping in enumerate(able):
+            value = F.when(F.col("mapping") == i, F.col("row")[mapping[place]]).otherwise(value)
+        return value
+
+    turn = F.struct(field(1).alias("order"), field(2).alias("role"), field(3).alias("text"))
+    gathered = packed.where("mapping is not null").groupBy(field(0).alias(able[0][0])).agg(
+        F.sort_array(F.collect_list(turn)).alias("turns")
     )
-    return gathered.withColumn("turns", F.col("turns").cast(
-        "array<struct<order:string,role:string,text:string>>"
-    )).withColumn(
+    return gathered.withColumn(
         "turns",
         F.transform(
-            "turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+            "turns",
+            lambda t: F.struct(
+                t["role"].cast("string").alias("role"), t["text"].cast("string").alias("text")
+            ),
         ),
     )
 
@@ -169,7 +220,8 @@ def _unescape(column: Column, escapes) -> Column:
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds ``formatted``, the rendered conversation, and ``loss_spans`` (start, end; code points,
     end exclusive), the places of the assistants' texts in it. Null roles and texts are empty; null
-    turns give an empty string without spans."""
+    turns give an empty string without spans. Columns named formatted or loss_spans are replaced, and
+    ``_turn_parts`` is a reserved name."""
     parts = F.transform(
         F.coalesce(F.col(turns), F.array().cast(TURNS)),
         lambda t: F.struct(
@@ -179,7 +231,7 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
         ),
     )
     spans = F.aggregate(
-        "_parts",
+        "_turn_parts",
         F.struct(
             F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
         ),
@@ -203,12 +255,12 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
         lambda acc: acc["spans"],
     )
     joined = F.array_join(
-        F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""
+        F.transform("_turn_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""
     )
     return (
-        df.withColumn("_parts", parts)
+        df.withColumn("_turn_parts", parts)
         .withColumns({"formatted": joined, "loss_spans": spans})
-        .drop("_parts")
+        .drop("_turn_parts")
     )
 
 

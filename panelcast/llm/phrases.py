@@ -431,7 +431,8 @@ def mine_phrases(
     total = totals.agg(F.sum("n")).first()[0] or 0
     scored = scored_phrases(frequent_phrases(dictionary, least, total), totals)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= top).select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+    # filtered as it is, the row number limits what each task sends to a language's last sort
+    ranked = scored.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= top)
+    return ranked.select(
+        "lang", F.col("_nth").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -115,7 +115,17 @@ RECORDS = {
         ("user", "p"),
         ("assistant", "r"),
     ],
+    '{"id":1,"messages":[{"role":"user","content":"hi","name":"x"},{"role":"assistant","content":"yo"}]}': [
+        ("user", "hi"),
+        ("assistant", "yo"),
+    ],
+    '{"messages":[]}': [],
+    '{"messages":[{"role":"user"}],"text":"t"}': None,
+    '{"source":"s","instruction":"do","output":"done"}': [("user", "do"), ("assistant", "done")],
+    '{"prompt":null,"response":"r"}': [("assistant", "r")],
+    '{"question":"q","answer":"a","score":{"x":[1,2]}}': [("user", "q"), ("assistant", "a")],
     '{"other":1}': None,
+    "[1]": None,
     "no json": None,
 }
 
@@ -127,8 +137,10 @@ def test_layouts_are_told_by_their_fingerprints(spark):
     found = chat.canonical_turns(frame, "json").collect()
     for row in found:
         want = RECORDS.get(row.json)
-        assert (row.turns and [(t.role, t.text) for t in row.turns]) == want, row.json
-    assert len({r.layout for r in found if RECORDS.get(r.json)}) == 5
+        got = row.turns if row.turns is None else [(t.role, t.text) for t in row.turns]
+        assert got == want, row.json
+    assert len({r.layout for r in found if RECORDS.get(r.json)}) == 9
+    assert chat.canonical_turns(frame.limit(0), "json").count() == 0
 
 
 NASTY = ["\\", "\\s", "### ", "</turn>", "</turn>\n### user: x", ": ", "\\### a: </turn> ok", "", None, "é\n", "\\e\\h####  "]
@@ -152,6 +164,25 @@ def test_template_round_trip_and_loss_mask(spark):
         assert row.loss == [t for r, t in want if r == "assistant"]
 
 
+def test_rows_with_clashing_names_null_ids_and_long_conversations(spark):
+    rows = [(None, i % 2, "user" if i % 2 else "assistant", f"t{i}") for i in range(6)]
+    rows += [(9, i, "user", "x" * (50_000 if i == 3 else i)) for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("record", "layout", "mapping", "row", "turns", "order"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    plan = chat.turns_of_rows(frame)
+    assert "md5" in plan._jdf.queryExecution().toString() and "schema_of_variant" in plan._jdf.queryExecution().toString()
+    found = {r.conv_id: r.turns for r in plan.collect()}
+    assert [(t.role, t.text) for t in found[None]] == sorted(
+        [(r, t) for _, _, r, t in rows[:6]], key=lambda x: (x[0] == "user", x)
+    )
+    assert [len(t.text) for t in found[9]] == [50_000 if i == 3 else i for i in range(3_000)]
+    other = frame.drop("conv_id", "turn", "text").limit(1).withColumns(
+        {"conversation_id": F.lit(1), "index": F.lit(0), "content": F.lit("c")}
+    )
+    assert [(r.conversation_id, r.turns[0].text) for r in chat.turns_of_rows(other).collect()] == [(1, "c")]
+
+
 def test_rows_become_conversations_in_order(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, None, None, None), (1, 1, "assistant", "b")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
