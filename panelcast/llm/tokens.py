@@ -23,7 +23,7 @@ from panelcast.session import ship_package
 #: Pre-tokens of a document that one row holds; a document with more has several rows.
 ROW_PIECES = 1 << 13
 #: The most frequent pre-tokens are broadcast: at most so many, of so many bytes each.
-HEAD_PIECES, HEAD_BYTES = 1 << 15, 64
+HEAD_PIECES, HEAD_BYTES = 1 << 17, 64
 #: Bytes of texts that are handed to Python at once.
 BATCH_BYTES = 1 << 21
 
