@@ -37,6 +37,8 @@ SLICE = 1 << 14
 # Weights of the networks that train in step: 8 MB to each executor, and 2 HISTORY + 3 times as much
 # on the driver. A network with more trains alone.
 WAVE_WEIGHTS = 1 << 20
+# Rows that are worth a task of their own: a pass multiplies them with all weights.
+TASK_ROWS = 1_000
 # Steps of a training run, the same for the search and for the model that is used.
 MAX_ITER = 200
 HISTORY = 10
@@ -258,7 +260,7 @@ def _literal(values: np.ndarray):
 
 
 def _inputs(arrays: DataFrame) -> DataFrame:
-    return sized(arrays.where("NOT is_test").select("x", "label", "fold"))
+    return sized(arrays.where("NOT is_test").select("x", "label", "fold"), TASK_ROWS)
 
 
 def _r2(rss: float | None, tss: float | None) -> float:
