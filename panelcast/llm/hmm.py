@@ -54,7 +54,11 @@ _BLOCK = (
 )
 
 
-_GOT = "array<struct<bucket:int,sums:binary>>"
+_GOT = "array<struct<bucket:int,n:int,sums:binary>>"
+
+#: Expected counts travel as shares of a word's count: whole numbers of so many parts, in 16 bits, of
+#: all states but the last, whose share is the rest.
+PARTS = (1 << 16) - 1
 
 
 @dataclass
@@ -284,25 +288,42 @@ def _emissions(shared: Shared, batch: pa.RecordBatch, row: int) -> tuple[np.ndar
     emits = np.repeat(PRIOR * shared.share[None], len(base), axis=0)
     got = sorted(batch.column("got")[row].as_py() or [], key=lambda g: g["bucket"])
     if got:
-        emits[at] += np.concatenate([np.frombuffer(g["sums"], np.float32) for g in got]).reshape(-1, k)
+        raw = (pa.decompress(g["sums"], 2 * (k - 1) * g["n"], CODEC, asbytes=True) for g in got)
+        shares = np.frombuffer(b"".join(raw), np.uint16)
+        emits[at] += counts[:, None] * _shares(shares, k)
     return known, base * emits / (known[:, None] + PRIOR) / shared.z
 
 
+def _parts_of(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts -> shares of all columns but the last in whole parts."""
+    total = np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
+    return np.rint(counts[:, :-1] / total * PARTS).clip(0, PARTS).astype(np.uint16)
+
+
+def _shares(parts: np.ndarray, states: int) -> np.ndarray:
+    out = np.empty((len(parts) // max(1, states - 1), states))
+    out[:, :-1] = parts.reshape(-1, states - 1) / PARTS
+    out[:, -1] = np.maximum(1.0 - out[:, :-1].sum(axis=1), 0.0)
+    return out
+
+
 def _segments(batch: pa.RecordBatch, row: int):
     sizes = np.array(batch.column("sizes")[row].as_py(), np.int64)
     held = np.array(batch.column("held")[row].as_py(), bool)
     codes = _tokens(batch.column("tokens")[row], sizes)
     begins = (np.cumsum(sizes) - sizes)[~held]
+    own = np.bincount(codes[np.repeat(~held, sizes)], minlength=batch.column("n_words")[row].as_py())
     sizes = sizes[~held]
     parts = -(-sizes // SEGMENT)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     left = np.repeat(sizes, parts) - nth * SEGMENT
-    return codes, np.repeat(begins, parts) + nth * SEGMENT, np.minimum(left, SEGMENT)
+    return codes, np.repeat(begins, parts) + nth * SEGMENT, np.minimum(left, SEGMENT), own
 
 
 #: Rows between blocks and buckets: sums that a block adds to a bucket, then its request for the
 #: totals of the same places, and heads, which stand in bucket -1.
-_COUNTS = "bucket int, asks boolean, block long, places binary, sums binary"
+_COUNTS = "bucket int, asks boolean, block long, n int, places binary, sums binary"
+_BACK = "block long, bucket int, n int, sums binary"
 
 
 def _expect(model, batches: _Batches) -> _Batches:
@@ -315,6 +336,7 @@ def _expect(model, batches: _Batches) -> _Batches:
             ("bucket", pa.int32()),
             ("asks", pa.bool_()),
             ("block", pa.int64()),
+            ("n", pa.int32()),
             ("places", pa.binary()),
             ("sums", pa.binary()),
         ]
@@ -324,7 +346,7 @@ def _expect(model, batches: _Batches) -> _Batches:
             known, emits = _emissions(shared, batch, row)
             weights = shared.base(known) / (known + PRIOR)
             current = Model(*(v.astype(np.float32) for v in (shared.start, shared.moves, emits)))
-            codes, begins, sizes = _segments(batch, row)
+            codes, begins, sizes, own = _segments(batch, row)
             counts = np.zeros(emits.shape)
             for low in range(0, len(sizes), 2048):
                 part = expected_counts(current, codes, begins[low : low + 2048], sizes[low : low + 2048])
@@ -332,45 +354,50 @@ def _expect(model, batches: _Batches) -> _Batches:
                 sizes_z = [part[2].sum(axis=0), weights @ part[2]]
                 head += np.concatenate([part[0], part[1].ravel(), *sizes_z, [part[3]]])
             ids, at, _ = _known(batch, row)
-            sums = counts[at].astype(np.float32)
+            shares, own = _parts_of(counts[at]), own[at].astype(np.int32)
             buckets, cuts = np.unique(ids >> PLACE_BITS, return_index=True)
             places = (ids & ((1 << PLACE_BITS) - 1)).astype(np.int32)
             block = batch.column("block")[row].as_py()
             for bucket, a, b in zip(buckets.tolist(), cuts, [*cuts[1:], len(ids)]):
-                mine = places[a:b].tobytes()
-                columns = [[bucket] * 2, [False, True], [block] * 2, [mine] * 2, [sums[a:b].tobytes(), b""]]
+                mine = _packed(np.diff(places[a:b], prepend=np.int32(0)))
+                sums = _packed(np.frombuffer(own[a:b].tobytes() + shares[a:b].tobytes(), np.uint8))
+                columns = [[bucket] * 2, [False, True], [block] * 2, [int(b - a)] * 2, [mine] * 2, [sums, b""]]
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns)), schema)
-    columns = [[-1], [False], [-1], [b""], [head.tobytes()]]
+    columns = [[-1], [False], [-1], [0], [b""], [head.tobytes()]]
     yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns)), schema)
 
 
 def _add(states: int, batches: _Batches) -> _Batches:
     """Sum buckets over all blocks, and give each block the sums of its words back. Rows come sorted
     by bucket, sums before requests, so that a task holds the totals of one bucket at a time."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary())])
+    schema = pa.schema(
+        [("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("sums", pa.binary())]
+    )
     current, total, head = None, np.zeros((0, states)), 0
     for batch in batches:
         for row in range(batch.num_rows):
-            bucket, asks, block, places, sums = (batch.column(i)[row] for i in range(5))
-            bucket = bucket.as_py()
+            bucket, asks, block, n, places, sums = (batch.column(i)[row] for i in range(6))
+            bucket, n = bucket.as_py(), n.as_py()
             if bucket < 0:
                 head = head + np.frombuffer(sums.as_buffer())
                 continue
             if bucket != current:
                 current, total = bucket, np.zeros((0, states))
-            places = np.frombuffer(places.as_buffer(), np.int32)
+            places = np.cumsum(_unpacked(places, n, np.int32))
             if asks.as_py():
-                found = total[places].astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [block.as_py()], "bucket": [bucket], "sums": [found]}, schema
-                )
+                found = _packed(_parts_of(total[places]))
+                columns = [[block.as_py()], [bucket], [n], [found]]
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns)), schema)
                 continue
-            if len(total) <= places.max():
-                more = max(int(places.max()) + 1, 2 * len(total)) - len(total)
+            if len(total) <= places[-1]:
+                more = max(int(places[-1]) + 1, 2 * len(total)) - len(total)
                 total = np.concatenate([total, np.zeros((more, states))])
-            total[places] += np.frombuffer(sums.as_buffer(), np.float32).reshape(-1, states)
+            raw = _unpacked(sums, n * (4 + 2 * (states - 1)), np.uint8)
+            own = raw[: 4 * n].view(np.int32)
+            total[places] += own[:, None] * _shares(raw[4 * n :].copy().view(np.uint16), states)
     if not isinstance(head, int):
-        yield pa.RecordBatch.from_pydict({"block": [-1], "bucket": [-1], "sums": [head.tobytes()]}, schema)
+        columns = [[-1], [-1], [0], [head.tobytes()]]
+        yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns)), schema)
 
 
 def _first_model(counts: DataFrame, states: int, seed: int = 11) -> Shared:
@@ -394,7 +421,7 @@ def _with_sums(placed: DataFrame, back: DataFrame | None) -> DataFrame:
     """Each block together with the sums of its own words."""
     if back is None:
         return placed.withColumn("got", F.lit(None).cast(_GOT))
-    got = back.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "sums")).alias("got"))
+    got = back.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "sums")).alias("got"))
     return placed.drop("symbols").join(got, "block", "left")
 
 
@@ -415,7 +442,7 @@ def train(placed: DataFrame, counts: DataFrame, states: int = STATES, rounds: in
         shared = context.broadcast(model)
         parts = _with_sums(placed, back).mapInArrow(partial(_expect, shared), _COUNTS)
         dealt = parts.repartition(last + 1, "bucket").sortWithinPartitions("bucket", "asks")
-        summed = dealt.mapInArrow(partial(_add, states), "block long, bucket int, sums binary")
+        summed = dealt.mapInArrow(partial(_add, states), _BACK)
         before, back = back, stored(summed, "sums")
         if before is not None:
             discard(before)  # a round reads the sums of the round before only
