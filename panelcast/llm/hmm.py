@@ -38,7 +38,7 @@ from panelcast.session import ship_package
 #: Baum-Welch. Words of a class start alike and then learn apart.
 SYMBOLS, STATES, ROUNDS = 1 << 15, 6, 5
 #: Bytes of text in a block; tokens of a training segment. A large block names its words less often.
-BLOCK_BYTES, SEGMENT = 32 << 20, 256
+BLOCK_BYTES, SEGMENT = 16 << 20, 256
 #: A word's id is its bucket, shifted by so many bits, and its place in the bucket.
 PLACE_BITS = 33
 #: Smoothing of counts, and weight of the corpus in the split of a word over states, in tokens.
@@ -179,6 +179,8 @@ def _placed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("id", "at", "c", "symbol"))).alias("_x"))
     )
+    # stored on its own, so that the shuffles of the two joins are not on disk together
+    found = stored(found, "known-words", codec="zstd")
     kept = blocks.select("block", "ids", "held", "sizes", "tokens", F.size("words").alias("n_words"))
     known = [F.col(f"_x.{c}").alias(c) for c in ("id", "at", "c", "symbol")]
     joined = kept.join(found, "block", "left").select(*kept.columns, *known)
@@ -187,7 +189,9 @@ def _placed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
         "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, "
         "n_words int, n_known int, known binary, symbols binary",
     )
-    return stored(packed, "placed")
+    placed = stored(packed, "placed")
+    discard(found)
+    return placed
 
 
 # --- recursions ------------------------------------------------------------------------------
