@@ -830,7 +830,7 @@ SEARCH_GRIDS = {
     "gbm": {"stepSize": [0.1], "maxDepth": [5], "maxIter": [10, 20, 40]},
     "xgb": {"featureSubsetStrategy": ["0.5"], "maxIter": [10, 20, 40], "maxDepth": [5], "stepSize": [0.1]},
     "catb": {"maxIter": [10, 20, 40], "stepSize": [0.1], "maxDepth": [5]},
-    "mlp": {"alpha": [0.1, 0.01], "hidden": [(150, 250, 100)]},
+    "mlp": {"alpha": [0.1, 0.01], "hidden": [(64, 32)]},
 }
 
 
