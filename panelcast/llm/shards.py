@@ -29,7 +29,8 @@ def _prefix(depth: int | Column) -> Column:
 def _directory(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Of cells (_cell, _bytes) at depth ``high``: the depth from ``low`` at which each one's
     bucket fits the limit, null where even the cell doesn't fit. Levels are rolled up, each from
-    the level below, so they hold two rows per cell together."""
+    the level below, so they hold two rows per cell together. The joins are sorted merges: a side
+    with some rows per shard grows with the data, however small Spark finds it."""
     level = cells.withColumn("_d", F.lit(high))
     levels = level
     for depth in range(high - 1, low - 1, -1):
@@ -40,12 +41,16 @@ def _directory(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
         )
         levels = levels.unionByName(level)
     levels = stored(levels.where(F.col("_bytes") <= limit), "shard-levels")
+    first = levels.agg(F.min("_d")).first()[0]
+    if first is None:
+        return cells.select(F.col("_cell").alias("_leaf"), F.lit(None).cast("int").alias("_depth"))
+    # no bucket above the first depth fits, so no leaf need look there
     paths = cells.select(
         F.col("_cell").alias("_leaf"),
-        F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_d"),
+        F.explode(F.sequence(F.lit(first), F.lit(high))).alias("_d"),
     ).withColumn("_cell", F.expr(f"shiftright(_leaf, {high} - _d)"))
-    found = paths.join(levels, ["_d", "_cell"]).groupBy("_leaf").agg(F.min("_d").alias("_depth"))
-    return cells.select(F.col("_cell").alias("_leaf")).join(found, "_leaf", "left")
+    found = paths.join(levels.hint("merge"), ["_d", "_cell"]).groupBy("_leaf").agg(F.min("_d").alias("_depth"))
+    return cells.select(F.col("_cell").alias("_leaf")).join(found.hint("merge"), "_leaf", "left")
 
 
 def _assign(rows: DataFrame, limit: int) -> DataFrame:
@@ -56,7 +61,7 @@ def _assign(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         cells = rest.groupBy(_prefix(high).alias("_cell")).agg(F.sum("_bytes").alias("_bytes"))
         found = stored(_directory(stored(cells, "shard-cells"), low, high, limit), "shard-leaves")
-        placed = rest.withColumn("_leaf", _prefix(high)).join(found, "_leaf").drop("_leaf")
+        placed = rest.withColumn("_leaf", _prefix(high)).join(found.hint("merge"), "_leaf").drop("_leaf")
         last = high == HASH_BITS or found.where("_depth is null").isEmpty()
         part = placed.withColumn("_depth", F.coalesce("_depth", F.lit(HASH_BITS))) if last else (
             placed.where("_depth is not null")
@@ -121,7 +126,7 @@ def assign_shards(
         sizes = placed.groupBy("shard").agg(
             F.sum("_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows")
         )
-    return placed.join(sizes, "shard").select(
+    return placed.join(sizes.hint("merge"), "shard").select(
         F.col("_id").alias(id_col),
         F.col("_bytes").alias("n_bytes"),
         "shard",
