@@ -822,15 +822,15 @@ def mlp_line(spark, folder):
     return found.withColumn("pred", F.round(F.log1p("pred"), 3))
 
 
-#: Grids of the registered searches: both values of what shapes a tree, and three lengths of each
-#: ensemble, which share the fits of the longest. ``learn.FULL_GRIDS`` has the reference's.
+#: Grids of the registered searches; lengths of a boosted ensemble share the fit of the longest.
+#: ``learn.FULL_GRIDS`` and ``mlp.FULL_GRID`` are the full ones.
 SEARCH_GRIDS = {
-    "lgbm": {"featureSubsetStrategy": ["0.4"], "stepSize": [0.1], "maxIter": [10, 20, 40], "maxDepth": [5]},
-    "rf": {"maxDepth": [10], "featureSubsetStrategy": ["20", "40"], "numTrees": [100, 200]},
-    "gbm": {"stepSize": [0.1], "maxDepth": [5], "maxIter": [10, 20, 40]},
-    "xgb": {"featureSubsetStrategy": ["0.5"], "maxIter": [10, 20, 40], "maxDepth": [5], "stepSize": [0.1]},
-    "catb": {"maxIter": [10, 20, 40], "stepSize": [0.1], "maxDepth": [5]},
-    "mlp": {"alpha": [0.1, 0.01], "hidden": [(64, 32)]},
+    "lgbm": {"featureSubsetStrategy": ["0.4"], "stepSize": [0.1], "maxIter": [5, 10, 20], "maxDepth": [5]},
+    "rf": {"maxDepth": [5, 10], "numTrees": [10]},
+    "gbm": {"stepSize": [0.1], "maxDepth": [5], "maxIter": [5, 10, 20]},
+    "xgb": {"featureSubsetStrategy": ["0.5"], "maxIter": [5, 10, 20], "maxDepth": [5], "stepSize": [0.1]},
+    "catb": {"maxIter": [5, 10, 20], "stepSize": [0.1], "maxDepth": [5]},
+    "mlp": {"alpha": [0.1, 0.01], "hidden": [(16, 8)]},
 }
 
 
