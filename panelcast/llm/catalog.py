@@ -130,14 +130,10 @@ def op7_decontamination(spark, folder):
 @query
 def op8_pii(spark, folder):
     found = pii.find_spans(read_table(spark, folder, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(pii.KINDS[:4])
-    ]
     base = pii.span_list(F.col("base"))
     return found.select(
         "doc_id",
-        *counts,
+        *[pii.count_of(F.col("base"), name).alias(f"n_{name}") for name in pii.KINDS[:4]],
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         pii.span_list(F.col("base"), F.col("terms")).alias("spans"),
         F.size("terms").cast("long").alias("n_term"),

@@ -299,6 +299,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    # a second parameter of the lambda, default or not, would be the index in the array
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def span_list(base: Column, terms: Column | None = None) -> Column:
     """``kind:start:end`` of all spans by start, then kind, joined by commas."""
     parts = base

@@ -1,5 +1,6 @@
 """Pieces, language ID, the Markov model, personal data and host links: brute force and accuracy."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.llm import hmm, langid, links, pieces, pii
+from panelcast.llm import catalog, hmm, langid, links, pieces, pii
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -323,6 +324,26 @@ def test_span_list(spark):
     assert out == "term:0:1,email:2:5,phone:2:9"
 
 
+def test_pii_query_counts_each_kind_apart(spark, docs_of, tmp_path):
+    texts = [
+        None,
+        "plain",
+        "10.0.0.1 10.0.0.2 4111111111111111",
+        "+1 (017) 555-7713 then +44 20 7946 0958 then a@b.c",
+        "4111111111111111",
+        "a@b.c 10.0.0.1 4111-1111-1111-1111 +1 (017) 555-7713",
+    ]
+    docs_of(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in catalog.op8_pii(spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        spans, row = _plain_spans(text or ""), found[i]
+        counts = [sum(s[0] == k for s in spans) for k in range(4)]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == counts
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
 # --- host links ------------------------------------------------------------------------------
 
 
