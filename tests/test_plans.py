@@ -36,6 +36,13 @@ def test_period_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_shipdate" in scan
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["rf_month_means", "gbm_month_means", "mlp_line", "lgbm_missing_side"])
+def test_training_reads_saved_series_and_not_the_lines(spark, name):
+    files = catalog.queries()[name](spark, FOLDER).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
+
+
 def test_searches_run_once_even_when_filtered(make_panel):
     panel = make_panel({("a", "x"): range(84), ("b", "x"): range(84)})
     series = P.split_series(panel, "2012-01-01", ["2018-01-01"]).where("status = 'ok'")
