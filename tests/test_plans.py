@@ -50,6 +50,23 @@ def test_searches_run_once_even_when_filtered(make_panel):
         assert _plan(tuned.where("status = 'ok'")).count("ArrowEvalPython") == 1
 
 
+def test_regressors_read_the_panel_once(spark, make_panel):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    panel = make_panel({("a", "x"): range(1, 85), ("b", "x"): range(2, 86)})
+    panel = panel.mapInArrow(counted, panel.schema)
+    scored = backtest.backtest_regressors(
+        panel, "2012-01-01", ["2017-01-01", "2018-01-01"], ("gbm",), {"gbm": {"maxIter": 1, "maxDepth": 2}}
+    )
+    assert scored.count() == 48
+    assert seen.value == 2 * 84
+
+
 def test_models_share_one_grouping_of_the_panel(make_panel):
     panel = make_panel({("a", "x"): range(84), ("b", "x"): range(84)})
     scored = backtest.backtest_series(
