@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +15,41 @@ from panelcast.session import shared_path
 BITMAP_BITS = 1 << 22
 
 
+#: Tables stored since :func:`stored_alone` began, in this thread.
+_ON_THE_WAY: ContextVar[list[DataFrame] | None] = ContextVar("on_the_way", default=None)
+
+
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors. The
     shuffle files of the write go with its end, since nothing reads them again."""
     path = shared_path(df.sparkSession, name)
     with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (tables := _ON_THE_WAY.get()) is not None:
+        tables.append(table)
+    return table
+
+
+def stored_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, stored. The tables that it stores on its way are deleted then, so
+    nothing but the result may still be read."""
+    around = _ON_THE_WAY.set([])
+    try:
+        table = stored(build(), name)
+        *passed, _ = _ON_THE_WAY.get()
+    finally:
+        _ON_THE_WAY.reset(around)
+    for other in passed:
+        discard(other)
+    if (tables := _ON_THE_WAY.get()) is not None:
+        tables.append(table)
+    return table
 
 
 def discard(table: DataFrame) -> None:
-    """Delete a table that :func:`stored` has written, once nothing will read it again."""
+    """Delete a table that :func:`stored` has written, once nothing will read it again. A second
+    time does nothing."""
     context = table.sparkSession.sparkContext
     for file in table.inputFiles()[:1]:
         folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()

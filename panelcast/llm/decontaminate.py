@@ -14,6 +14,7 @@ from panelcast.llm.common import (
     maybe_in,
     row_key,
     stored,
+    stored_alone,
     text_of,
 )
 
@@ -210,5 +211,5 @@ def contamination(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    hit = stored(contamination(docs, benchmark, size).select(*_KEY), "contaminated")
+    hit = stored_alone(lambda: contamination(docs, benchmark, size).select(*_KEY), "contaminated")
     return drop_rows(docs, hit)

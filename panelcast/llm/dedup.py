@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import bitmap, drop_rows, flag_maybe_in, maybe_in, row_key, stored, text_of
+from panelcast.llm.common import (
+    bitmap,
+    drop_rows,
+    flag_maybe_in,
+    maybe_in,
+    row_key,
+    stored,
+    stored_alone,
+    text_of,
+)
 
 #: Code points of the prefix that the second step hashes.
 PREFIX_CHARS = 64
@@ -72,11 +81,11 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    marked = exact_duplicates(docs, id_col, text_col)
-    dropped = stored(
-        marked.where("not kept").select(
+
+    def keys() -> DataFrame:
+        marked = exact_duplicates(docs, id_col, text_col)
+        return marked.where("not kept").select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("_k1"), "_k2"
-        ),
-        "dedup-dropped",
-    )
-    return drop_rows(docs, dropped, id_col, text_col)
+        )
+
+    return drop_rows(docs, stored_alone(keys, "dedup-dropped"), id_col, text_col)

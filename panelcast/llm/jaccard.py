@@ -35,10 +35,12 @@ from panelcast.llm.common import (
     arrow_bytes,
     bitmap,
     components,
+    discard,
     drop_rows,
     maybe_in,
     row_key,
     stored,
+    stored_alone,
 )
 from panelcast.llm.words import mix, shingle_sets, text_blocks, word_hashes
 from panelcast.session import ship_package
@@ -230,6 +232,9 @@ class _Join:
         )
         # what is read back is the ids as they were written, once
         self.classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        # of a text that is no representative, only its keys are read again
+        whole, self.profiles = self.profiles, stored(self.profiles.select("_id", "_k2", *same), "keys")
+        discard(whole)
 
     def postings(self) -> DataFrame:
         """(shingle, size, cid, n, at, parity bits) of the prefix shingles that ``size`` > 1 classes
@@ -241,7 +246,9 @@ class _Join:
             "cid", F.col("n").cast("int").alias("n"), *_BITS, F.posexplode("prefix").alias("at", "shingle")
         )
         near = maybe_in(spread, [F.col("shingle")], bitmap(shared, ["shingle"]))
-        return stored(near.join(shared, "shingle"), "postings")
+        found = stored(near.join(shared, "shingle"), "postings")
+        discard(shared)
+        return found
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """The pairs that pass the second step of the suffix filter."""
@@ -275,6 +282,7 @@ class _Join:
             .mapInArrow(partial(_set_bytes, self.size), "cid long, set binary"),
             "sets",
         )
+        discard(need)
         self.sets = added if self.sets is None else self.sets.unionByName(added)
         return self.sets
 
@@ -315,7 +323,8 @@ class _Join:
         postings = self.postings()
         short = postings.where(F.col("size") <= FULL_LIST)
         self.test(self.compare(short, short, F.col("cid") < F.col("y_cid")))
-        long = postings.where(F.col("size") > FULL_LIST)
+        long = stored(postings.where(F.col("size") > FULL_LIST), "long")
+        discard(postings)
         side = ["cid", "n", "at", *_BITS, "comp"]
         for turn in range(rounds + 1):
             if turn == 0 and long.isEmpty():
@@ -340,6 +349,9 @@ class _Join:
                 others = placed.join(lists.select("shingle"), "shingle", "left_semi")
                 apart &= F.col("cid") < F.col("y_cid")
             self.test(self.compare(placed, others, apart))
+            discard(placed)
+            discard(lists)
+        discard(long)
         return self.labels
 
 
@@ -384,7 +396,10 @@ def similar_documents(
 def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays, the one with the smallest id; all columns are kept.
     Rows of a component that repeat that id stay too."""
-    found = similar_documents(docs, size, percent)
-    dropped = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    keys = dropped.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_k1"), "_k2")
-    return drop_rows(docs, stored(keys, "similar-dropped"))
+
+    def keys() -> DataFrame:
+        found = similar_documents(docs, size, percent)
+        dropped = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+        return dropped.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_k1"), "_k2")
+
+    return drop_rows(docs, stored_alone(keys, "similar-dropped"))
