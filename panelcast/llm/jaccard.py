@@ -18,6 +18,7 @@ A group of n near copies would have n * n / 2 pairs. Posting lists of more than
 classes are therefore first compared with one pivot per list, for some rounds; links found so far
 are contracted to components. Last, all pairs of such a list that still lie in different components
 are compared. Every link either is found, or lies inside one component, so components are exact.
+A list that lies in one component is closed: components only grow, so it is not read again.
 """
 
 from __future__ import annotations
@@ -53,8 +54,9 @@ PARTS = 128
 PIVOT_ROUNDS = 3
 #: Longest posting list whose pairs are compared at once.
 FULL_LIST = 64
-#: Bytes of texts or sets that are handed to Python at once.
-BATCH_BYTES = 1 << 22
+#: Bytes of texts or sets that are handed to Python at once. A worker holds a few times as much, and
+#: so does the JVM beside its heap.
+BATCH_BYTES = 1 << 20
 
 _BITS = [f"_b{i}" for i in range(8)]
 _Batches = Iterator[pa.RecordBatch]
@@ -261,9 +263,9 @@ class _Join:
         )
 
     def read_sets(self, pairs: DataFrame) -> DataFrame:
-        """(cid, set) of all classes in the pairs. Only texts that no round before has asked for
-        are read and hashed again."""
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        """(cid, set) of all classes in the pairs, and few others. Only texts that no round before
+        has asked for are read and hashed again."""
+        ids = wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("cid"), "cid", "left_anti")
         need = self.classes.join(ids, "cid", "left_semi").select(
@@ -283,8 +285,13 @@ class _Join:
             "sets",
         )
         discard(need)
-        self.sets = added if self.sets is None else self.sets.unionByName(added)
-        return self.sets
+        if self.sets is None:
+            self.sets = added
+            return added
+        # the sets of the rounds before that these pairs don't ask for are not shuffled
+        again = maybe_in(self.sets, [F.col("cid")], bitmap(wanted, ["cid"]))
+        self.sets = self.sets.unionByName(added)
+        return again.unionByName(added)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, those that link."""
@@ -310,6 +317,14 @@ class _Join:
             self.labels = components(self.found)
         return self.labels
 
+    def placed(self, postings: DataFrame) -> DataFrame:
+        """Postings with the component in which their class lies so far."""
+        if self.labels is None:
+            return postings.withColumn("comp", F.col("cid"))
+        named = self.labels.select(F.col("id").alias("cid"), F.col("component").alias("_c"))
+        found = postings.join(named, "cid", "left").withColumn("comp", F.coalesce("_c", "cid"))
+        return found.drop("_c")
+
     def compare(self, left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
         """Pairs (a, b) of postings of the same shingle that pass the filters."""
         named = right.select("shingle", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "shingle"])
@@ -323,35 +338,33 @@ class _Join:
         postings = self.postings()
         short = postings.where(F.col("size") <= FULL_LIST)
         self.test(self.compare(short, short, F.col("cid") < F.col("y_cid")))
-        long = stored(postings.where(F.col("size") > FULL_LIST), "long")
+        table = stored(postings.where(F.col("size") > FULL_LIST).drop("size"), "long")
         discard(postings)
-        side = ["cid", "n", "at", *_BITS, "comp"]
+        long, columns, passed = table, table.columns, [table]
         for turn in range(rounds + 1):
-            if turn == 0 and long.isEmpty():
+            table = stored(self.placed(long), "placed")
+            for before in passed:
+                discard(before)
+            pivot = F.xxhash64("cid", F.lit(turn))
+            lists = table.groupBy("shingle").agg(
+                F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min(pivot).alias("_p")
+            )
+            lists = stored(lists.where("_low < _high").select("shingle", "_p"), "lists")
+            passed = [table, lists]
+            if lists.isEmpty():
                 break
-            placed = long.select("shingle", *side[:-1], F.col("cid").alias("comp"))
-            if self.labels is not None:
-                named = self.labels.select(F.col("id").alias("cid"), F.col("component").alias("_c"))
-                placed = long.join(named, "cid", "left").select(
-                    "shingle", *side[:-1], F.coalesce("_c", "cid").alias("comp")
-                )
-            placed = stored(placed, "placed")
-            lists = placed.groupBy("shingle").agg(
-                F.min("comp").alias("_low"),
-                F.max("comp").alias("_high"),
-                F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("_o"), *side)).alias("_p"),
-            ).where("_low < _high")
-            lists = stored(lists, "lists")
+            opened = maybe_in(table, [F.col("shingle")], bitmap(lists, ["shingle"]))
             apart = F.col("comp") != F.col("y_comp")
             if turn < rounds:
-                others = lists.select("shingle", *[F.col(f"_p.{c}").alias(c) for c in side])
+                others = maybe_in(table, [F.col("shingle"), pivot], bitmap(lists, ["shingle", "_p"]))
+                others = others.withColumn("_p", pivot).join(lists, ["shingle", "_p"], "left_semi").drop("_p")
             else:
-                others = placed.join(lists.select("shingle"), "shingle", "left_semi")
+                others = opened.join(lists, "shingle", "left_semi")
                 apart &= F.col("cid") < F.col("y_cid")
-            self.test(self.compare(placed, others, apart))
-            discard(placed)
-            discard(lists)
-        discard(long)
+            self.test(self.compare(opened, others, apart))
+            long = opened.select(*columns)
+        for before in passed:
+            discard(before)
         return self.labels
 
 

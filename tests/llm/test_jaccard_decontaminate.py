@@ -75,6 +75,42 @@ def test_join_of_nothing(docs_of):
     assert jaccard.drop_similar(docs_of([(1, None)])).count() == 1
 
 
+def test_closed_lists_and_sets_of_other_rounds_are_not_read_again(docs_of, monkeypatch):
+    # a group whose lists close in the first pivot round, and one whose members never link
+    near = [(i, " ".join([*VOCAB, f"x{i}"])) for i in range(80)]
+    loose = [(100 + i, " ".join([*(f"b{j}" for j in range(13)), f"y{i}", f"z{i}"])) for i in range(80)]
+    # linked by shingles of their own, in the first round
+    short = [(200 + i, " ".join([*(f"s{i // 2}t{j}" for j in range(40)), f"u{i}"])) for i in range(20)]
+    placed, compared, read = [], [], []
+    stored, read_sets = jaccard.stored, jaccard._Join.read_sets
+
+    def keep(df, name, *rest):
+        table = stored(df, name, *rest)
+        if name == "placed":
+            placed.append(table.count())
+        return table
+
+    def ask(self, pairs):
+        sets = read_sets(self, pairs)
+        read.append(sets.count())
+        compared.append(pairs.select("a").union(pairs.select("b")).distinct().count())
+        return sets
+
+    monkeypatch.setattr(jaccard, "stored", keep)
+    monkeypatch.setattr(jaccard._Join, "read_sets", ask)
+    pairs = near + short
+    found = jaccard.similar_documents(docs_of(pairs), 5, 80)
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+    assert rows == sorted(_components(pairs, 5, 80))
+    assert len(placed) == 2
+    assert len(read) == 2 and read == compared
+    placed.clear()
+    found = jaccard.similar_documents(docs_of(near + loose), 5, 80)
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+    assert rows == sorted(_components(near + loose, 5, 80))
+    assert len(placed) == jaccard.PIVOT_ROUNDS + 1 and placed[2] == placed[3] == len(loose) < placed[0]
+
+
 def test_long_chain_of_links(spark):
     rows = [(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 1999)]
     found = {r.id: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
