@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +131,13 @@ class Pieces:
         ]
         self.spoken = np.frombuffer(b"".join(spoken), np.uint8)
         self.spoken_size = np.array([len(s) for s in spoken], np.int64)
-        self.plain = [
-            a.tolist() for a in (self.trie.base, self.trie.check, self.trie.value, self.scores)
-        ]
         self.spoken_at = np.cumsum(self.spoken_size) - self.spoken_size
 
+    @cached_property
+    def plain(self) -> list[list]:
+        """The trie and the scores as lists, which take ten times the room: for long words only."""
+        return [a.tolist() for a in (self.trie.base, self.trie.check, self.trie.value, self.scores)]
+
 
 def load_pieces(path: str) -> Pieces:
     """Read a vocabulary file with the installed library; only pieces and scores are used."""
@@ -251,6 +253,15 @@ def _segment_long(model: Pieces, word: bytes) -> np.ndarray:
     return np.array(out[::-1], np.int32)
 
 
+class _Numbers(dict):
+    """Words by the order in which they were first asked for. Nothing in it refers to itself, so it
+    goes at once when it is replaced, and not with a later collection of garbage."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts with a memory of words; the memory starts afresh when it is full."""
 
@@ -259,8 +270,7 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.seen: dict[str, int] = defaultdict()
-        self.seen.default_factory = self.seen.__len__
+        self.seen = _Numbers()
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)

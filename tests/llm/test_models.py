@@ -1,5 +1,6 @@
 """Pieces, language ID, the Markov model, personal data and host links: brute force and accuracy."""
 
+import gc
 import hashlib
 import itertools
 import random
@@ -67,6 +68,21 @@ def test_encoding_equals_plain_viterbi(byte_pieces):
         assert pieces.decode(model, ids, starts) == texts
 
 
+def test_forgotten_words_leave_no_garbage():
+    model = _tiny()
+    encoder = pieces.Encoder(model, memory=3)
+    gc.collect()
+    gc.disable()
+    try:
+        encoder.encode(["a b ab ba aab"])
+        assert len(encoder.seen) == 5
+        encoder.encode(["a"])
+        assert len(encoder.seen) == 1 and gc.collect() == 0
+    finally:
+        gc.enable()
+    assert "plain" not in vars(model)
+
+
 def test_long_words_take_the_same_path():
     model = _tiny()
     words = ["abcab" * n for n in (1, 7, 40)] + ["é€x" * 30]
