@@ -163,18 +163,16 @@ def drop_rows(df: DataFrame, dropped: DataFrame, id_col="doc_id", text_col="text
     return clear.unionByName(exact.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of undirected links (a, b): rows (id, component), the smallest id.
+def stars(links: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of undirected links (a, b): rows (id, component), the smallest id. The
+    smallest ids themselves have no row.
 
     Alternating large-star and small-star rounds. Minima are aggregated before they are joined
-    back, so the neighbours of a hub are never gathered in one place; every round is stored.
+    back, so the neighbours of a hub are never gathered in one place; every round is stored, and
+    deleted once the next one is. Rounds end when all that is left are stars, which takes one
+    round where the links are stars already.
     """
-    edges = stored(
-        links.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        name,
-    )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -186,13 +184,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), name)
-        state = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            break
-        before = state
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        roots.select("id", F.col("id").alias("component"))
-    )
+        if before is not None:
+            discard(before)
+        before = edges
+        # in stars, an id has one edge to a smaller one or is the smaller one of edges, never both
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0), F.lit(1)).toDF(*ends.columns))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up + down > 1").agg(F.count("*")).first()[0]:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of undirected links (a, b): rows (id, component), the smallest id."""
+    edges = stars(links, name)
+    roots = edges.select(F.col("component").alias("id")).distinct()
+    return edges.unionByName(roots.select("id", F.col("id").alias("component")))

@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import (
     arrow_bytes,
     bitmap,
-    components,
     discard,
     drop_rows,
     maybe_in,
     row_key,
+    stars,
     stored,
     stored_alone,
 )
@@ -199,7 +199,7 @@ class _Join:
     def __init__(self, docs, size, percent, id_col, text_col):
         self.docs, self.size, self.percent = docs, size, percent
         self.id_col, self.text_col = id_col, text_col
-        self.sets = self.tested = self.found = self.labels = None
+        self.sets = self.tested = self.labels = None
         context = docs.sparkSession.sparkContext
         ship_package(docs.sparkSession)
         keyed = docs.select(
@@ -303,7 +303,8 @@ class _Join:
         )
 
     def test(self, pairs: DataFrame) -> DataFrame | None:
-        """Verify pairs that were not tested before; components of all links so far."""
+        """Verify pairs that were not tested before; components of all links so far. Of the links
+        of the rounds before, their components are all that is read again."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         with arrow_bytes(pairs.sparkSession, BATCH_BYTES):
@@ -313,8 +314,13 @@ class _Join:
             # every row carries two whole sets
             with arrow_bytes(pairs.sparkSession, BATCH_BYTES):
                 found = stored(self.links(pairs), "links")
-            self.found = found if self.found is None else self.found.unionByName(found)
-            self.labels = components(self.found)
+            before, known = self.labels, found
+            if before is not None:
+                known = found.unionByName(before.select(F.col("id").alias("a"), F.col("component").alias("b")))
+            self.labels = stars(known)
+            for table in (found, before):
+                if table is not None:
+                    discard(table)
         return self.labels
 
     def placed(self, postings: DataFrame) -> DataFrame:
@@ -334,7 +340,7 @@ class _Join:
         ).distinct()
 
     def run(self, rounds: int) -> DataFrame | None:
-        """Components (id, component) of the classes that link."""
+        """Components (id, component) of the classes that link, but for the smallest of each."""
         postings = self.postings()
         short = postings.where(F.col("size") <= FULL_LIST)
         self.test(self.compare(short, short, F.col("cid") < F.col("y_cid")))

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from panelcast.llm import decontaminate, jaccard
+from panelcast.llm import common, decontaminate, jaccard
 from panelcast.llm.common import components
 
 VOCAB = [f"w{i}" for i in range(60)]
@@ -118,6 +118,23 @@ def test_long_chain_of_links(spark):
     assert found[2000] == found[1999] == 1999 and 1000 not in found
 
 
+def test_stars_of_links_take_one_round(spark, monkeypatch):
+    written = []
+    stored = common.stored
+
+    def keep(df, name, *rest):
+        written.append(name)
+        return stored(df, name, *rest)
+
+    monkeypatch.setattr(common, "stored", keep)
+    rows = [(25, i) for i in range(50)] + [(100, i) for i in range(101, 120)]
+    found = components(spark.createDataFrame(rows, "a long, b long"))
+    assert written == ["components"]
+    want = {i: 0 for i in range(50)} | {i: 100 for i in range(100, 120)}
+    assert {r.id: r.component for r in found.collect()} == want
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).isEmpty()
+
+
 def _words(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
