@@ -19,6 +19,9 @@ classes are therefore first compared with one pivot per list, for some rounds; l
 are contracted to components. Last, all pairs of such a list that still lie in different components
 are compared. Every link either is found, or lies inside one component, so components are exact.
 A list that lies in one component is closed: components only grow, so it is not read again.
+
+Near copies share most of their lists. Of lists with equal classes one is kept, and where all pairs of
+a list are compared, a pair is taken from the first list that both classes know to share.
 """
 
 from __future__ import annotations
@@ -54,6 +57,8 @@ PARTS = 128
 PIVOT_ROUNDS = 3
 #: Longest posting list whose pairs are compared at once.
 FULL_LIST = 64
+#: Lists by which a class tells whether a pair was found in an earlier one.
+FIRSTS = 16
 #: Bytes of texts or sets that are handed to Python at once. A worker holds a few times as much, and
 #: so does the JVM beside its heap.
 BATCH_BYTES = 1 << 20
@@ -239,17 +244,28 @@ class _Join:
         discard(whole)
 
     def postings(self) -> DataFrame:
-        """(shingle, size, cid, n, at, parity bits) of the prefix shingles that ``size`` > 1 classes
-        share."""
+        """(cid, shingle, n, at, size, parity bits) of the prefix shingles that ``size`` > 1 classes
+        share. Of lists with the same classes one is kept: another would only repeat their pairs."""
         bare = self.classes.select(F.explode("prefix").alias("shingle"))
         counts = bare.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
         shared = stored(counts, "shared")
+        # narrow rows until it is known which are kept: at size the bitmap lets more of the others through
         spread = self.classes.select(
-            "cid", F.col("n").cast("int").alias("n"), *_BITS, F.posexplode("prefix").alias("at", "shingle")
+            "cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle")
         )
         near = maybe_in(spread, [F.col("shingle")], bitmap(shared, ["shingle"]))
-        found = stored(near.join(shared, "shingle"), "postings")
+        posted = stored(near.join(shared, "shingle"), "posted")
         discard(shared)
+        lists = posted.groupBy("shingle", "size").agg(
+            F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")
+        )
+        lists = lists.groupBy("size", "_x", "_y").agg(F.min("shingle").alias("shingle"))
+        kept = stored(lists.select("shingle"), "kept")
+        near = maybe_in(posted, [F.col("shingle")], bitmap(kept, ["shingle"]))
+        near = near.join(kept, "shingle", "left_semi")
+        found = stored(near.join(self.classes.select("cid", *_BITS), "cid"), "postings")
+        for table in (posted, kept):
+            discard(table)
         return found
 
     def close(self, pairs: DataFrame) -> DataFrame:
@@ -331,19 +347,35 @@ class _Join:
         found = postings.join(named, "cid", "left").withColumn("comp", F.coalesce("_c", "cid"))
         return found.drop("_c")
 
-    def compare(self, left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
-        """Pairs (a, b) of postings of the same shingle that pass the filters."""
+    def compare(
+        self, left: DataFrame, right: DataFrame, where: Column, once: Column | None = None
+    ) -> DataFrame:
+        """Pairs (a, b) of postings of the same shingle that pass the filters, and ``once`` after
+        them."""
         named = right.select("shingle", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "shingle"])
-        pairs = left.join(named, "shingle").where(where & _passes(self.percent, "", "y_"))
+        passes = where & _passes(self.percent, "", "y_")
+        pairs = left.join(named, "shingle").where(passes if once is None else passes & once)
         return pairs.select(
             F.least("cid", "y_cid").alias("a"), F.greatest("cid", "y_cid").alias("b")
         ).distinct()
 
+    def compare_all(self, left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
+        """Pairs of postings like :meth:`compare`, of any two classes that ``where`` lets pass. Two
+        near copies share many lists, so a pair is only taken from the first of them. Each class
+        knows its first ``FIRSTS`` lists by shingle: a pair is left to an earlier list if both know
+        it, which never leaves a pair to none."""
+        lists = left.groupBy("cid").agg(
+            F.slice(F.sort_array(F.collect_list("shingle")), 1, FIRSTS).alias("firsts")
+        )
+        left, right = left.join(lists, "cid"), right.join(lists, "cid")
+        earliest = F.array_min(F.array_intersect("firsts", "y_firsts"))
+        return self.compare(left, right, where, F.coalesce(earliest >= F.col("shingle"), F.lit(True)))
+
     def run(self, rounds: int) -> DataFrame | None:
         """Components (id, component) of the classes that link, but for the smallest of each."""
         postings = self.postings()
         short = postings.where(F.col("size") <= FULL_LIST)
-        self.test(self.compare(short, short, F.col("cid") < F.col("y_cid")))
+        self.test(self.compare_all(short, short, F.col("cid") < F.col("y_cid")))
         table = stored(postings.where(F.col("size") > FULL_LIST).drop("size"), "long")
         discard(postings)
         long, columns, passed = table, table.columns, [table]
@@ -361,13 +393,14 @@ class _Join:
                 break
             opened = maybe_in(table, [F.col("shingle")], bitmap(lists, ["shingle"]))
             apart = F.col("comp") != F.col("y_comp")
+            compare = self.compare if turn < rounds else self.compare_all
             if turn < rounds:
                 others = maybe_in(table, [F.col("shingle"), pivot], bitmap(lists, ["shingle", "_p"]))
                 others = others.withColumn("_p", pivot).join(lists, ["shingle", "_p"], "left_semi").drop("_p")
             else:
                 others = opened.join(lists, "shingle", "left_semi")
                 apart &= F.col("cid") < F.col("y_cid")
-            self.test(self.compare(opened, others, apart))
+            self.test(compare(opened, others, apart))
             long = opened.select(*columns)
         for before in passed:
             discard(before)

@@ -111,6 +111,42 @@ def test_closed_lists_and_sets_of_other_rounds_are_not_read_again(docs_of, monke
     assert len(placed) == jaccard.PIVOT_ROUNDS + 1 and placed[2] == placed[3] == len(loose) < placed[0]
 
 
+def test_pairs_of_a_group_are_taken_from_one_list(docs_of, monkeypatch):
+    rng = random.Random(4)
+    # a group of near copies, each with changes of its own
+    pairs = []
+    for i in range(90):
+        words = [f"g{j}" for j in range(300)]
+        for at in rng.sample(range(300), rng.randrange(3, 9)):
+            words[at] = f"new{i}"
+        pairs.append((i, " ".join(words)))
+    made = []
+    compare = jaccard._Join.compare
+
+    def count(self, left, right, where, once=None):
+        other = right.select("shingle", *[right[c].alias(f"y_{c}") for c in right.columns if c != "shingle"])
+        joined = left.join(other, "shingle").where(where & jaccard._passes(self.percent, "", "y_"))
+        found = compare(self, left, right, where, once)
+        rows = joined.count() if once is None else joined.where(once).count()
+        made.append((rows, found.count(), joined.count(), compare(self, left, right, where).count()))
+        return found
+
+    monkeypatch.setattr(jaccard._Join, "compare", count)
+    monkeypatch.setattr(jaccard, "FULL_LIST", 1000)
+    found = jaccard.similar_documents(docs_of(pairs), 5, 80)
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+    assert rows == sorted(_components(pairs, 5, 80))
+    rows, taken, all_rows, all_pairs = made[0]
+    assert taken == all_pairs > 0
+    assert rows < 1.1 * taken and all_rows > 3 * taken
+
+
+def test_lists_of_equal_classes_are_kept_once(docs_of):
+    pairs = [(i, " ".join([*(f"t{j}" for j in range(200)), f"x{i}"])) for i in range(2)]
+    join = jaccard._Join(docs_of(pairs), 5, 80, "doc_id", "text")
+    assert sorted(r["size"] for r in join.postings().collect()) == [2, 2]
+
+
 def test_long_chain_of_links(spark):
     rows = [(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 1999)]
     found = {r.id: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
