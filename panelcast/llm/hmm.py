@@ -39,6 +39,9 @@ from panelcast.session import ship_package
 SYMBOLS, STATES, ROUNDS = 1 << 15, 6, 5
 #: Bytes of text in a block; tokens of a training segment. A large block names its words less often.
 BLOCK_BYTES, SEGMENT = 16 << 20, 256
+#: Bytes that are handed to Python at once, or one block. A worker and the JVM beside its heap hold a few
+#: times as much; a block is gathered over many batches.
+BATCH_BYTES = 1 << 20
 #: A word's id is its bucket, shifted by so many bits, and its place in the bucket.
 PLACE_BITS = 33
 #: Smoothing of counts, and weight of the corpus in the split of a word over states, in tokens.
@@ -89,34 +92,54 @@ class Shared:
 # --- blocks ----------------------------------------------------------------------------------
 
 
+class _Block:
+    """Rows on their way into a block: what stays of a text is its token numbers."""
+
+    def __init__(self):
+        self.ids, self.held, self.parts, self.bytes = [], [], [], 0
+        self.seen: dict[bytes, int] = defaultdict()
+        self.seen.default_factory = self.seen.__len__
+        self.seen[END]
+
+    def add(self, ids: list, held: list, data: np.ndarray, offsets: np.ndarray) -> None:
+        look, raw = self.seen.__getitem__, data.tobytes()
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            words = raw[a:b].lower().split()
+            words.append(END)
+            self.parts.append(np.fromiter(map(look, words), np.int32, len(words)))
+        self.ids += ids
+        self.held += map(bool, held)
+        self.bytes += len(raw)
+
+    def batch(self) -> pa.RecordBatch:
+        sizes = np.array([len(p) for p in self.parts])
+        tokens, seen = np.concatenate(self.parts), self.seen
+        self.parts.clear()
+        counts = np.bincount(tokens[np.repeat(~np.array(self.held), sizes)], minlength=len(seen))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.ids], pa.list_(pa.int64())),
+                pa.array([self.held], pa.list_(pa.bool_())),
+                pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([pa.compress(pa.py_buffer(tokens), CODEC, asbytes=True)], pa.binary()),
+                pa.array([list(seen)], pa.list_(pa.binary())),
+                pa.array([counts], pa.list_(pa.int64())),
+            ],
+            ["ids", "held", "sizes", "tokens", "words", "counts"],
+        )
+
+
 def _blocks(batches: _Batches) -> _Batches:
+    block = _Block()
     for batch in batches:
-        held_all = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for first, end, data, offsets in text_blocks(batch.column(2), BLOCK_BYTES):
-            seen: dict[bytes, int] = defaultdict()
-            seen.default_factory = seen.__len__
-            look = seen.__getitem__
-            look(END)
-            raw, parts = data.tobytes(), []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                words = raw[a:b].lower().split()
-                words.append(END)
-                parts.append(np.fromiter(map(look, words), np.int32, len(words)))
-            held = held_all[first:end]
-            sizes = np.array([len(p) for p in parts])
-            tokens = np.concatenate(parts)
-            counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(seen))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([batch.column(0).slice(first, end - first).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([held.tolist()], pa.list_(pa.bool_())),
-                    pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([pa.compress(tokens.tobytes(), CODEC, asbytes=True)], pa.binary()),
-                    pa.array([list(seen)], pa.list_(pa.binary())),
-                    pa.array([counts], pa.list_(pa.int64())),
-                ],
-                ["ids", "held", "sizes", "tokens", "words", "counts"],
-            )
+        for first, end, data, offsets in text_blocks(batch.column(2), min(BATCH_BYTES, BLOCK_BYTES)):
+            if block.parts and block.bytes + len(data) > BLOCK_BYTES:
+                yield block.batch()
+                block = _Block()
+            ids, held = (batch.column(i).slice(first, end - first).to_pylist() for i in (0, 1))
+            block.add(ids, held, data, offsets)
+    if block.parts:
+        yield block.batch()
 
 
 def _tokens(packed: pa.BinaryScalar, sizes: np.ndarray) -> np.ndarray:
@@ -516,15 +539,16 @@ def score_documents(
     )
     blocks = rows.mapInArrow(_blocks, _BLOCK)
     # what is read back is the numbers as they were written, once
-    with arrow_bytes(docs.sparkSession, BLOCK_BYTES):
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
         blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
         counts = word_counts(blocks)
         placed = _placed(blocks, counts)
         discard(blocks)  # what the rounds need of it is in ``placed``
         model, back, _ = train(placed, counts, states, rounds)
-    context = docs.sparkSession.sparkContext
-    return _with_sums(placed, back).mapInArrow(
-        partial(_score, context.broadcast(model)),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-        "base_score double, score double",
-    )
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        scores = _with_sums(placed, back).mapInArrow(
+            partial(_score, shared),
+            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+            "base_score double, score double",
+        )
+        return stored(scores, "scores")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,3 +547,17 @@ def test_language_probabilities_equal_a_plain_forward_pass():
         soft = np.exp(logits - logits.max(axis=1, keepdims=True))
         want = (soft / soft.sum(axis=1, keepdims=True)).mean(axis=0)
         np.testing.assert_allclose(got[row], want, atol=1e-4)
+
+
+def test_a_block_is_gathered_over_many_batches():
+    def batches():
+        for i in range(6):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([2 * i, 2 * i + 1]), pa.array([False, i == 2]), pa.array([f"a b{i}", None])],
+                ["id", "held", "text"],
+            )
+
+    (block,) = hmm._blocks(batches())
+    assert block["ids"][0].as_py() == list(range(12)) and block["sizes"][0].as_py() == [3, 1] * 6
+    assert block["words"][0].as_py() == [b"", b"a", *(f"b{i}".encode() for i in range(6))]
+    assert block["counts"][0].as_py() == [11, 6, 1, 1, 1, 1, 1, 1]
