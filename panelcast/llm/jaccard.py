@@ -249,12 +249,12 @@ class _Join:
         bare = self.classes.select(F.explode("prefix").alias("shingle"))
         counts = bare.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
         shared = stored(counts, "shared")
-        # narrow rows until it is known which are kept: at size the bitmap lets more of the others through
+        # narrow rows until it is known which are kept, all of them: a bitmap of fixed size would let a
+        # share through that grows with the corpus
         spread = self.classes.select(
             "cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle")
         )
-        near = maybe_in(spread, [F.col("shingle")], bitmap(shared, ["shingle"]))
-        posted = stored(near.join(shared, "shingle"), "posted")
+        posted = stored(spread.join(shared.hint("merge"), "shingle"), "posted")
         discard(shared)
         lists = posted.groupBy("shingle", "size").agg(
             F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")
