@@ -1,13 +1,16 @@
 """Shapes of physical plans, and the shared folder."""
 
+import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from panelcast.operators import arima, features, smoothing
+from panelcast.operators import arima, features, learn, mlp, smoothing
 from panelcast.operators import panel as P
 from panelcast.plans import backtest, catalog, report
 from panelcast.session import shared_dir, shared_path
+from panelcast.sources import store
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -118,3 +121,36 @@ def test_every_report_covers_both_test_years(make_panel):
     assert {(r.year, r.Product) for r in ranked} == {
         (2018, "x"), (2018, "y"), (2019, "x"), (2019, "y")
     }
+
+
+def test_registered_pipeline_searches_all_candidates_of_the_full_grids(spark, make_panel, monkeypatch):
+    panel = make_panel({("a", "x"): range(1, 73), ("b", "y"): range(2, 74)}, start="1995-01-01")
+    monkeypatch.setattr(catalog, "_panel", lambda spark, folder: panel)
+    asked, refits = [], []
+
+    def search(vectors, model, grid, cutoff, parallelism):
+        size = math.prod(len(values) for values in grid.values())
+        asked.append((model, cutoff, size, grid))
+        winner = {name: str(values[-1]) for name, values in grid.items()}
+        schema = "model string, params map<string,string>, r2 double, best boolean"
+        return store.best_regressor_params(spark.createDataFrame([(model, winner, 1.0, True)], schema), cutoff)
+
+    def forecast(vectors, model, settings):
+        refits.append((model, settings))
+        return vectors.where("is_test").select(
+            *P.KEYS, "Time", F.lit(model).alias("model"), F.col("real").alias("pred"), "real"
+        )
+
+    monkeypatch.setattr(backtest, "_search", search)
+    monkeypatch.setattr(backtest, "_forecast", forecast)
+    ranked = catalog.queries()["regressor_pipeline"](spark, FOLDER).collect()
+    assert len(ranked) == 2 * 6 * 2
+    full = {"lgbm": 54, "rf": 27, "mlp": 12, "gbm": 27, "xgb": 54, "catb": 18}
+    assert {(model, cutoff): size for model, cutoff, size, _ in asked} == {
+        (model, cutoff): size for model, size in full.items() for cutoff in catalog.CUTOFFS
+    }
+    assert all(grid == {**learn.FULL_GRIDS, "mlp": mlp.FULL_GRID}[model] for model, _, _, grid in asked)
+    # the winners are read back as they were saved
+    last = {model: {n: v[-1] for n, v in grid.items()} for model, _, _, grid in asked}
+    assert sorted(m for m, _ in refits) == sorted(2 * list(full))
+    assert all(settings == last[model] for model, settings in refits)
